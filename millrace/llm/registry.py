@@ -6,7 +6,9 @@ import importlib
 
 #: query -> module of this subpackage
 OPERATORS = {
+    "op1_chat": "chat",
     "op2_mixing": "mixing",
+    "op4_decontamination": "decontamination",
     "op6_sharding": "sharding",
     "op9_exact_dedup": "exact_dedup",
 }
