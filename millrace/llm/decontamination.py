@@ -51,8 +51,8 @@ def _shingle(words: Column, at: Column, n: int) -> Column:
 
 
 def _positions(words: DataFrame, n: int) -> DataFrame:
-    """One row per shingle of n words: adds at and token."""
-    rows = words.select("*", F.posexplode("words").alias("at", "word"))
+    """One row per shingle of n words: adds at and token (outer, as Spark would else add a filter that splits the text again)."""
+    rows = words.select("*", F.posexplode_outer("words").alias("at", "word"))
     return rows.where(F.col("at") <= F.size("words") - n).withColumn("token", _shingle(F.col("words"), F.col("at"), n))
 
 

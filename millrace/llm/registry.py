@@ -10,6 +10,7 @@ OPERATORS = {
     "op2_mixing": "mixing",
     "op4_decontamination": "decontamination",
     "op6_sharding": "sharding",
+    "op7_near_dedup": "near_dedup",
     "op9_exact_dedup": "exact_dedup",
 }
 

@@ -92,7 +92,7 @@ def assign(
     if n_shards is None:
         total = rows.agg(F.sum("size")).first()[0] or 0
         n_shards = max(1, math.ceil(total / target_bytes))
-    rows = _scaled(rows).withColumn("node", F.lit(0).cast("long"))
+    rows = scratch.write(_scaled(rows).withColumn("node", F.lit(0).cast("long")))
     small = n_shards <= broadcast_leaves
     sent = F.broadcast if small else (lambda x: x)
     leaves = {0: n_shards}  # by node: leaves; the first leaf of a node is its number
@@ -100,10 +100,13 @@ def assign(
         cuts = _cuts(rows, leaves, sent, scratch, small)
         key = _key(F.col("dim"))
         cut = (F.col("dim").isNotNull() & (key >= F.col("cut"))).cast("long")
-        rows = rows.join(sent(cuts), "node", "left").select(
+        late = rows.join(sent(cuts), "node", "left").select(
             "doc_id", "size", "text_crc32", "tie", *[f"d_{d}" for d in DIMS],
             (F.col("node") + cut * F.coalesce(F.col("left_leaves"), F.lit(0))).alias("node"),
         )
+        late = scratch.write(late)
+        scratch.drop(rows)
+        rows = late
         grown = {}
         for node, n in leaves.items():
             grown |= {node: (n + 1) // 2, node + (n + 1) // 2: n // 2} if n > 1 else {node: n}
