@@ -8,6 +8,7 @@ import importlib
 OPERATORS = {
     "op1_chat": "chat",
     "op2_mixing": "mixing",
+    "op3_toxicity": "toxicity",
     "op4_decontamination": "decontamination",
     "op6_sharding": "sharding",
     "op7_near_dedup": "near_dedup",
