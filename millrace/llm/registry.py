@@ -10,9 +10,12 @@ OPERATORS = {
     "op2_mixing": "mixing",
     "op3_toxicity": "toxicity",
     "op4_decontamination": "decontamination",
+    "op5_url_filter": "url_filter",
     "op6_sharding": "sharding",
     "op7_near_dedup": "near_dedup",
+    "op8_secrets": "secrets",
     "op9_exact_dedup": "exact_dedup",
+    "op10_line_dedup": "line_dedup",
 }
 
 
