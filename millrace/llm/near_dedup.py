@@ -7,12 +7,14 @@ tokens. In each of ``TREES`` independent trees a node picks, by its own name
 only, one token position (with chance 1/4 a second, so that about 1/0.8
 branches leave it), and documents go to the child named by their token there.
 Nodes of one document end; nodes of up to ``SMALL`` are leaves; larger ones
-branch on, to depth ``DEPTH``. Two sets of similarity s share a leaf of depth
-d in one tree with chance s**d or more, so with 16 trees a pair at 0.8 is
-missed with chance 1e-5 at depth 3 and 2e-4 at depth 4, where only nodes of
-very similar documents are still large.
+branch on, to depth ``DEPTH``. A pair of similarity 0.8 stays together in one
+tree with chance 0.64 to depth 3 and 0.48 to depth 6, so in 16 trees it is
+missed with chance 1e-7 to 3e-5; only nodes of very similar documents are
+still large at depth 6, and those are compared as well.
 
-Links are confirmed on the full sets: 100 * intersection >= 80 * union.
+A pair is weighed on its signatures first: fewer than ``LEAST_EQUAL`` equal
+bytes of 64 happen once in a million pairs at 0.8. Links are confirmed on the
+full sets: 100 * intersection >= 80 * union.
 
 Nodes are compared exhaustively, but for what is already known:
 
@@ -50,7 +52,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, read
 
-SIGNATURE, TREES, DEPTH, SMALL = 64, 16, 4, 32
+SIGNATURE, TREES, FIRST_DEPTH, DEPTH, SMALL, LEAST_EQUAL = 64, 16, 3, 6, 16, 36
 #: Below so many ids the documents of tested pairs are picked by a broadcast, beyond by a shuffle.
 PICK_BY_BROADCAST = 500_000
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -104,8 +106,9 @@ def _sketch(n: int):
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle_set(text, n, words)
                 has = len(s) and doc_id is not None and doc_id == doc_id
-                out.append((doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if has else None, signature(s).tobytes() if has else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "sig"])
+                sig = signature(s) if has else None
+                out.append((doc_id, len(s), *((xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), (sig & 255).astype(np.uint8).tobytes()) if has else (None,) * 3)))
+            yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "sig", "brief"])
 
     return run
 
@@ -144,14 +147,14 @@ def _frame(nodes: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
 
 
 def _roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Nodes of depth 2: at depth 1 a node holds whoever shares one shingle."""
+    """Nodes of the first depth: above it, nodes hold whoever shares a shingle or two."""
     for batch in batches:
         if not len(batch):
             continue
         sigs = _signatures(batch["sig"])
         rows = np.tile(np.arange(len(batch)), TREES)
         nodes = np.repeat(_mixed(np.arange(1, TREES + 1, dtype=np.uint64)), len(batch))
-        for _ in range(2):
+        for _ in range(FIRST_DEPTH):
             nodes, rows = _children(nodes, rows, sigs)
         yield _frame(nodes, batch["id"].to_numpy()[rows])
 
@@ -180,11 +183,18 @@ def _confirm(percent: int):
     return run
 
 
+def _alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, SIGNATURE) for c in ("brief_a", "brief_b"))
+            yield batch.loc[(x == y).sum(axis=1) >= LEAST_EQUAL, ["a", "b"]]
+
+
 def _nodes(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members (node, id) of the leaves of all trees: small leaves, each once however many trees have it; large ones."""
     rows = scratch.write(reps.select("id", "sig").mapInPandas(_roots, "node long, id long"))
     small = None
-    for depth in range(2, DEPTH + 1):
+    for depth in range(FIRST_DEPTH, DEPTH + 1):
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         sized = scratch.write(rows.join(sizes, "node"))
         leaves = sized.where(F.col("n") <= SMALL)
@@ -208,12 +218,14 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 class _Confirmer:
-    def __init__(self, docs: DataFrame, scratch: Scratch, n: int, percent: int):
-        self.docs, self.scratch, self.n, self.percent = docs.select("doc_id", "text"), scratch, n, percent
+    def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, n: int, percent: int):
+        self.docs, self.reps, self.scratch, self.n, self.percent = docs.select("doc_id", "text"), reps, scratch, n, percent
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The pairs whose full sets are similar enough."""
-        pairs = self.scratch.write(pairs)
+        briefs = [self.reps.select(F.col("id").alias(e), F.col("brief").alias(f"brief_{e}")) for e in ("a", "b")]
+        weighed = pairs.join(briefs[0], "a").join(briefs[1], "b").select("a", "b", "brief_a", "brief_b")
+        pairs = self.scratch.write(weighed.mapInPandas(_alike, "a long, b long").distinct())
         ids = self.scratch.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         picked = F.broadcast(ids) if ids.count() <= PICK_BY_BROADCAST else ids
         sets = self.scratch.write(self.docs.join(picked, "doc_id", "left_semi").mapInPandas(_sets(self.n), "id long, shingles binary"))
@@ -255,12 +267,12 @@ def _unsettled(members: DataFrame, labels: DataFrame, tested: DataFrame) -> Data
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id long, text)."""
     scratch = Scratch(docs.sparkSession, "near")
-    schema = "doc_id long, n_shingles long, set_key binary, sig binary"
+    schema = "doc_id long, n_shingles long, set_key binary, sig binary, brief binary"
     sketches = scratch.write(docs.select("doc_id", "text").mapInPandas(_sketch(words), schema))
-    reps = sketches.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"))
+    reps = sketches.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("brief").alias("brief"))
     reps = scratch.write(reps)
     small, large = _nodes(reps, scratch)
-    confirm = _Confirmer(docs, scratch, words, percent)
+    confirm = _Confirmer(docs, reps, scratch, words, percent)
     tested = scratch.write(_stars(small).union(_stars(large)).distinct())
     links = confirm(tested)
     labels = components(links, scratch)
