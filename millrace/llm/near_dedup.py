@@ -8,9 +8,10 @@ only, one token position (with chance 1/4 a second, so that about 1/0.8
 branches leave it), and documents go to the child named by their token there.
 Nodes of one document end; nodes of up to ``SMALL`` are leaves; larger ones
 branch on, to depth ``DEPTH``. A pair of similarity 0.8 stays together in one
-tree with chance 0.64 to depth 3 and 0.48 to depth 6, so in 16 trees it is
-missed with chance 1e-7 to 3e-5; only nodes of very similar documents are
-still large at depth 6, and those are compared as well.
+tree with chance 0.52 to depth 5 and 0.44 to depth 7, so in 16 trees it is
+missed with chance 7e-6 to 9e-5; only nodes of very similar documents are
+still large at depth 7, and those are compared as well. Nodes above depth 5
+are not listed: unrelated documents would fill them.
 
 A pair is weighed on its signatures first: fewer than ``LEAST_EQUAL`` equal
 bytes of 64 happen once in a million pairs at 0.8. Links are confirmed on the
@@ -20,12 +21,16 @@ Nodes are compared exhaustively, but for what is already known:
 
 1. every node sends one star of edges from a member drawn by the node (other
    members in other trees); confirmed edges give components;
-2. members of a node that ended in different components are compared in all
-   pairs across components that were not yet tested, and components grow.
+2. members of a small node that ended in different components are compared in
+   all pairs across components, and the similar ones confirmed;
+3. large nodes that overlap are joined to clusters. Members of a cluster
+   outside its largest component are compared with all its members, on full
+   sets, in blocks of about ``BLOCK`` by ``BLOCK``, and a block sends one link
+   for each two components that it finds linked.
 
 So a node whose members are all linked costs one edge per member, however
-large it is; only pairs that connectivity has not settled are listed. After
-step 2 every two members of a node are in one component or were tested.
+large it is, and no step lists the pairs of a group. In the end every two
+members of a node are in one component or were compared.
 
 Shuffles carry ids and node names; signatures travel once per level for large
 nodes only; full sets once for documents in some tested pair. The join of
@@ -52,7 +57,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import Scratch, read
 
-SIGNATURE, TREES, FIRST_DEPTH, DEPTH, SMALL, LEAST_EQUAL = 64, 16, 3, 6, 16, 36
+SIGNATURE, TREES, FIRST_DEPTH, DEPTH, SMALL, LEAST_EQUAL, BLOCK = 64, 16, 5, 7, 16, 36, 256
 #: Below so many ids the documents of tested pairs are picked by a broadcast, beyond by a shuffle.
 PICK_BY_BROADCAST = 500_000
 _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -252,16 +257,71 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return labels.select("id", "component")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFrame:
-    """Untested pairs of members of one node that are in different components."""
+def _open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """node, id, component, top (the node's largest component), n, m (members in and out of it) where components are several."""
     rows = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = rows.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    rows = rows.join(top.select("node", "top"), "node")
-    some = rows.where(F.col("component") != F.col("top")).select("node", F.col("id").alias("x"), F.col("component").alias("cx"))
-    pairs = some.join(rows.select("node", F.col("id").alias("y"), F.col("component").alias("cy")), "node").where(F.col("cx") != F.col("cy"))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    top = sizes.groupBy("node").agg(F.max_by("component", F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("m"))
+    return rows.join(top.where("m > 0"), "node")
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of similar signatures across components of small nodes."""
+    for batch in batches:
+        out = []
+        for members in batch["members"]:
+            ids, comps = np.array([m["id"] for m in members]), np.array([m["component"] for m in members])
+            briefs = np.frombuffer(b"".join(m["brief"] for m in members), np.uint8).reshape(-1, SIGNATURE)
+            x, y = np.nonzero(np.triu((briefs[:, None] == briefs[None]).sum(axis=2) >= LEAST_EQUAL, 1) & (comps[:, None] != comps[None]))
+            out += zip(np.minimum(ids[x], ids[y]).tolist(), np.maximum(ids[x], ids[y]).tolist(), strict=True)
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
+def _block_links(percent: int):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        """Links of the block's outer members with its members, one for each two components."""
+        sets = [np.frombuffer(x, np.uint64) for x in block["shingles"]]
+        ids, comps, outer = block["id"].tolist(), block["component"].tolist(), block["outer"].tolist()
+        inner = [k for k, o in enumerate(outer) if not o]
+        sizes = np.array([len(sets[k]) for k in inner])
+        tokens, owners = np.concatenate([sets[k] for k in inner] or [np.empty(0, np.uint64)]), np.repeat(np.arange(len(inner)), sizes)
+        order = np.argsort(tokens, kind="stable")
+        tokens, owners = tokens[order], owners[order]
+        up = {c: c for c in comps}
+
+        def root(c):
+            while up[c] != c:
+                c = up[c]
+            return c
+
+        found = []
+        for k in (k for k, o in enumerate(outer) if o):
+            lo, hi = np.searchsorted(tokens, sets[k], "left"), np.searchsorted(tokens, sets[k], "right")
+            spots = np.repeat(lo - np.r_[0, np.cumsum(hi - lo)[:-1]], hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(owners[spots], minlength=len(inner))
+            for j in np.nonzero(100 * both >= percent * (sizes + len(sets[k]) - both))[0]:
+                x, y = root(comps[k]), root(comps[inner[j]])
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    found.append((ids[k], ids[inner[j]]))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return run
+
+
+def _cluster_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Links across components of clusters; rows as by _open_nodes."""
+    ids = rows.select(F.col("id").alias("doc_id")).distinct()
+    picked = F.broadcast(ids) if ids.count() <= PICK_BY_BROADCAST else ids
+    sets = docs.select("doc_id", "text").join(picked, "doc_id", "left_semi").mapInPandas(_sets(words), "id long, shingles binary")
+    rows = rows.join(sets, "id")
+    many, few = (F.ceil(F.col(c) / BLOCK).cast("long") for c in ("n", "m"))
+    own = F.pmod(F.xxhash64("id"), many)
+    inner = rows.select("node", "id", "component", "shingles", F.lit(False).alias("outer"), own.alias("at"), F.explode(F.sequence(F.lit(0).cast("long"), few - 1)).alias("by"))
+    outer = rows.where(F.col("component") != F.col("top"))
+    own = F.pmod(F.xxhash64("id"), few)
+    outer = outer.select("node", "id", "component", "shingles", F.lit(True).alias("outer"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("at"), own.alias("by"))
+    return scratch.write(inner.unionByName(outer).groupBy("node", "at", "by").applyInPandas(_block_links(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -273,11 +333,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = scratch.write(reps)
     small, large = _nodes(reps, scratch)
     confirm = _Confirmer(docs, reps, scratch, words, percent)
-    tested = scratch.write(_stars(small).union(_stars(large)).distinct())
-    links = confirm(tested)
+    spokes = scratch.write(_stars(large))
+    links = confirm(_stars(small).union(spokes).distinct())
+    labels = components(links, scratch)
+    open_small = _open_nodes(small, labels).join(reps.select("id", "brief"), "id").groupBy("node")
+    open_small = open_small.agg(F.collect_list(F.struct("id", "component", "brief")).alias("members")).select("members")
+    links = links.union(confirm(open_small.mapInPandas(_across, "a long, b long").distinct()))
     labels = components(links, scratch)
-    more = confirm(_unsettled(small, labels, tested).union(_unsettled(large, labels, tested)).distinct())
-    labels = components(links.union(more), scratch)
+    if spokes.limit(1).count():
+        clusters = components(spokes, scratch).select(F.col("component").alias("node"), "id")
+        links = links.union(_cluster_links(docs, scratch.write(_open_nodes(clusters, labels)), scratch, words, percent))
+        labels = components(links, scratch)
     of_set = reps.select("set_key", "id").join(labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
