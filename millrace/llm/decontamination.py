@@ -38,12 +38,21 @@ from pyspark.sql.window import Window as W
 
 from millrace.llm.common import Scratch, ascii_lower, read
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words, with an empty string before or after where a text begins or ends with other characters.
+
+    Splitting takes less than half the time of extracting words, and an empty string equals no word of an item.
+    """
+    return F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN)
+
+
+def count_of(words: Column) -> Column:
+    first, last = F.get(words, F.lit(0)) == "", (F.size(words) > 1) & (F.get(words, F.size(words) - 1) == "")
+    return (F.size(words) - first.cast("int") - last.cast("int")).cast("long")
 
 
 def _shingle(words: Column, at: Column, n: int) -> Column:
@@ -57,7 +66,8 @@ def _positions(words: DataFrame, n: int) -> DataFrame:
 
 
 def _items(benchmark: DataFrame, window: int) -> DataFrame:
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text")).alias("words"))
+    words = F.array_remove(words_of(F.col("text")), "")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words.alias("words"))
     items = items.where((F.size("words") > 0) & F.col("item_id").isNotNull()).distinct()
     return items.withColumn("need", F.least(F.size("words"), F.lit(window)))
 
@@ -133,7 +143,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     )["n"]
     items = F.array_sort(F.collect_set("item_id"))
     hits = runs.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(covered.alias("n_hit"), items.alias("items"))
-    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("__h"), words_of(F.col("text")).alias("w"))
+    rows = rows.select("doc_id", "__h", count_of(F.col("w")).alias("n_words"))
     met = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash"))
     none = F.array().cast("array<string>")
     return rows.join(hits, met, "left").select(
