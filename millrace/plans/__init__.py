@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("advantage",)
+FAMILIES = ("advantage", "metrics", "batch", "text")
 
 
 def _modules():
