@@ -120,6 +120,10 @@ def concat(*batches: DataFrame) -> DataFrame:
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Same columns by name and the same rows, repeated ones as often."""
+    if sorted(a.columns) != sorted(b.columns):
+        return False
+    b = b.select(*a.columns)
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("advantage", "metrics", "batch", "text")
+FAMILIES = ("advantage", "metrics", "batch", "text", "pipeline", "streams")
 
 
 def _modules():
