@@ -39,7 +39,7 @@ from millrace.llm.common import Scratch, read
 
 DIMS = ("source", "lang", "topic")
 #: Production mix: token shares to these powers.
-TEMPERATURE = {"source": 0.7, "lang": 0.8, "topic": 0.9}
+TEMPERATURE = {"source": 0.85, "lang": 0.9, "topic": 0.95}
 ITERATIONS, TOLERANCE, SEED = 40, 1e-10, 17
 
 
