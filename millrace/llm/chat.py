@@ -2,7 +2,8 @@
 
 Messages point to their parents. Iterative self-joins double the reach of each
 message's ancestor pointer (2**k steps up after k joins), summing branch
-scores on the way, so a tree of depth d takes log2(d) joins. Leaves of a tree
+scores on the way, so a tree of depth d takes log2(d) joins, each over the
+messages only that have not reached their root. Leaves of a tree
 are ranked by the score of their root-to-leaf path; the chosen leaves then
 collect their ancestors by the stored pointers, again in log2(d) joins, and
 only these messages meet their texts. Rows grow with the output: each chosen
@@ -25,6 +26,8 @@ each other by role, then text, and rows that repeat are all kept.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -59,30 +62,31 @@ def chosen_paths(messages: DataFrame, top_k: int = 1) -> DataFrame:
     rows = rows.join(known, ["tree_id", "parent_id"], "left").withColumn("parent_id", F.when(F.col("held"), F.col("parent_id"))).drop("held")
     own = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
     state = scratch.write(rows.select("tree_id", "id", F.col("parent_id").alias("up"), own.alias("sum"), F.lit(1).cast("long").alias("steps")))
-    links = [state]
-    last = None
-    while True:
-        left = state.where(F.col("up").isNotNull()).count()
-        if not left or left == last and len(links) > 40:
-            break
+    going, done = state.where(F.col("up").isNotNull()), [state.where(F.col("up").isNull())]
+    links, last = [going], None
+    while (left := going.count()) and not (left == last and len(links) > 40):  # only a cycle goes on for 2**40 steps
         last = left
-        above = state.select("tree_id", F.col("id").alias("up"), F.col("up").alias("far"), F.col("sum").alias("far_sum"), F.col("steps").alias("far_steps"))
-        state = scratch.write(
-            state.join(above, ["tree_id", "up"], "left").select(
+        known = reduce(DataFrame.unionAll, done, going)
+        above = known.select("tree_id", F.col("id").alias("up"), F.col("up").alias("far"), F.col("sum").alias("far_sum"), F.col("steps").alias("far_steps"))
+        late = scratch.write(
+            going.join(above, ["tree_id", "up"], "left").select(
                 "tree_id", "id", F.col("far").alias("up"), (F.col("sum") + F.coalesce("far_sum", F.lit(0.0))).alias("sum"),
                 (F.col("steps") + F.coalesce("far_steps", F.lit(0))).alias("steps"),
             )
         )
-        links.append(state)
-    parents = links[0].where(F.col("up").isNotNull()).select("tree_id", F.col("up").alias("id")).distinct()
-    leaves = state.where(F.col("up").isNull()).join(parents, ["tree_id", "id"], "left_anti")
+        going = late.where(F.col("up").isNotNull())
+        done.append(late.where(F.col("up").isNull()))
+        links.append(going)
+    state = reduce(DataFrame.unionAll, done)
+    parents = links[0].select("tree_id", F.col("up").alias("id")).distinct()
+    leaves = state.join(parents, ["tree_id", "id"], "left_anti")
     best = F.row_number().over(W.partitionBy("tree_id").orderBy(F.col("sum").desc(), "id"))
     paths = leaves.withColumn("path_rank", best).where(F.col("path_rank") <= top_k)
-    paths = paths.select("tree_id", F.col("id").alias("leaf_id"), "path_rank", "id", (F.col("steps") - 1).alias("depth"))
+    paths = scratch.write(paths.select("tree_id", F.col("id").alias("leaf_id"), "path_rank", "id", (F.col("steps") - 1).alias("depth")))
     for k in reversed(range(len(links) - 1)):
-        up = links[k].where(F.col("up").isNotNull()).select("tree_id", "id", "up")
+        up = links[k].select("tree_id", "id", "up")
         more = paths.join(up, ["tree_id", "id"]).select("tree_id", "leaf_id", "path_rank", F.col("up").alias("id"), (F.col("depth") - (1 << k)).alias("depth"))
-        paths = paths.unionAll(more)
+        paths = scratch.write(paths.unionAll(more))  # read twice by the next join
     return paths
 
 
