@@ -18,8 +18,8 @@ Scale: documents are summed with map-side combine, so a hot source costs one
 row a task. Cells number at most the product of the three vocabularies. They
 are counted first: up to ``small_cells`` they stay in one partition, where
 windows need no exchange, and are broadcast back to the documents; beyond
-that, windows shuffle and the join back is a shuffle join that adaptive
-execution splits where a cell is hot. Both ways compute the same.
+that, sums combine map-side and joins are shuffle joins that adaptive
+execution splits where a value or a cell is hot. Both ways compute the same.
 
 Defined cases: null source, lang or topic are values of their own; a null or
 blank text has no tokens, weighs nothing and is sampled by its cell's
@@ -68,6 +68,14 @@ def uniform(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _with_sums(cells: DataFrame, d: str, one_task: bool) -> DataFrame:
+    """Adds have: the weight of the cell's value of d. Few cells: a window in their one partition; many: sums and a join."""
+    if one_task:
+        return cells.withColumn("have", F.sum("w").over(W.partitionBy(d)))
+    sums = cells.groupBy(F.col(d).alias("__d")).agg(F.sum("w").alias("have"))
+    return cells.join(sums, F.col(d).eqNullSafe(F.col("__d"))).drop("__d")
+
+
 def rake(
     cells: DataFrame,
     targets: Mapping[str, Mapping | float],
@@ -78,25 +86,22 @@ def rake(
 ) -> DataFrame:
     """cells: DIMS and n (tokens). Adds factor: the raked weight of one token of the cell, 0 where nothing is wanted."""
     cells = cells.coalesce(1) if one_task else cells
-    total = F.sum("n").over(W.partitionBy(F.lit(1)))
+    total = float(cells.agg(F.sum("n")).first()[0] or 0) or 1.0
     state = cells.withColumn("w", F.col("n") / total)
     for d in DIMS:
         goal = targets[d]
         if isinstance(goal, Mapping):
             share = F.coalesce(*[F.when(F.col(d).eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in goal.items()], F.lit(0.0))
         else:
-            share = F.pow(F.sum("w").over(W.partitionBy(d)), F.lit(float(goal)))
-        state = state.withColumn(f"t_{d}", F.when(F.sum("w").over(W.partitionBy(d)) > 0, share).otherwise(0.0))
-    for d in DIMS:  # shares of a dimension sum to 1 over its values, each counted once
-        once = F.row_number().over(W.partitionBy(d).orderBy(*DIMS)) == 1
-        state = state.withColumn("once", F.when(once, F.col(f"t_{d}")).otherwise(0.0))
-        state = state.withColumn(f"t_{d}", F.col(f"t_{d}") / F.sum("once").over(W.partitionBy(F.lit(1)))).drop("once")
+            share = F.pow(F.col("have"), F.lit(float(goal)))
+        state = _with_sums(state, d, one_task).withColumn(f"t_{d}", F.when(F.col("have") > 0, share).otherwise(0.0)).drop("have")
     state = scratch.write(state)
+    sums = {d: float(state.groupBy(d).agg(F.max(f"t_{d}").alias("t")).agg(F.sum("t")).first()[0] or 0) or 1.0 for d in DIMS}
     for _ in range(iterations):
         late = (state.coalesce(1) if one_task else state).withColumn("was", F.col("w"))
         for d in DIMS:
-            have = F.sum("w").over(W.partitionBy(d))
-            late = late.withColumn("w", F.when(have > 0, F.col("w") * F.col(f"t_{d}") / have).otherwise(0.0))
+            late = _with_sums(late, d, one_task)
+            late = late.withColumn("w", F.when(F.col("have") > 0, F.col("w") * F.col(f"t_{d}") / sums[d] / F.col("have")).otherwise(0.0)).drop("have")
         late = scratch.write(late)
         moved = late.agg(F.max(F.abs(F.col("w") - F.col("was")))).first()[0]
         scratch.drop(state)
