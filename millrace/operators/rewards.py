@@ -90,3 +90,64 @@ def component_faults(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Rows whose total is not base plus bonus, or not finite."""
     odd = F.abs(F.col("total") - F.col("base") - F.col("bonus")) > tolerance
     return rows.where(odd | F.isnan("total") | F.col("total").isNull())
+
+
+# --- dispatch ----------------------------------------------------------------
+
+_SCORERS: dict[str, object] = {}
+
+
+def register(source: str, scorer) -> None:
+    """Names the scorer of a data source: a function of the columns (response, golden) to a score column."""
+    if _SCORERS.setdefault(source, scorer) is not scorer:
+        raise ValueError(f"a scorer for {source!r} is already registered")
+
+
+def dispatch(rows: DataFrame) -> DataFrame:
+    """rows: data_source, response, golden. Adds score by the source's scorer; an unknown source raises."""
+    score = F.when(F.lit(False), F.lit(None).cast("double"))
+    for source, scorer in _SCORERS.items():
+        score = score.when(F.col("data_source") == source, scorer(F.col("response"), F.col("golden")))
+    unknown = F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce("data_source", F.lit("null")))).cast("double")
+    return rows.withColumn("score", score.otherwise(unknown))
+
+
+def search_score(response: Column, golden: Column, score: float = 1.0, format_score: float = 0.0, most_tags: int = 10) -> Column:
+    """Exact match of the last <answer>; a quarter of it where more than ten tags were opened or closed."""
+    bodies = F.regexp_extract_all(response, F.lit(r"(?s)<answer>(.*?)</answer>"), F.lit(1))
+    tags = F.size(F.regexp_extract_all(response, F.lit("</?answer>"), F.lit(0)))
+    hit = T.exact_match(F.trim(F.try_element_at(bodies, F.lit(-1))), F.array(golden)) == 1
+    return F.when(F.size(bodies) == 0, 0.0).when(hit, F.when(tags > most_tags, score / 4).otherwise(score)).otherwise(format_score)
+
+
+def boxed_score(response: Column, golden: Column) -> Column:
+    """1 where the last boxed answer equals golden after normalisation."""
+    return F.coalesce((T.minerva_normal(T.last_box(response)) == T.minerva_normal(golden)).cast("double"), F.lit(0.0))
+
+
+def number_scorer(response: Column, golden: Column) -> Column:
+    return F.coalesce((T.last_number(response) == golden).cast("double"), F.lit(0.0))
+
+
+register("numbers", number_scorer)
+register("search", search_score)
+register("boxed", boxed_score)
+
+
+def at_last_token(score: Column, mask: Column) -> Column:
+    """Token rewards: the score at the last token of mask 1, else 0."""
+    last = F.array_max(F.transform(mask, lambda m, i: F.when(m == 1, i)))
+    return F.transform(mask, lambda m, i: F.when(i == last, score).otherwise(0.0))
+
+
+def custom(path: str, name: str, **options):
+    """A reward function from a file, with options bound; it takes and returns columns or pandas Series."""
+    import importlib.util
+    from functools import partial
+
+    spec = importlib.util.spec_from_file_location("custom_reward", path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if not hasattr(module, name):
+        raise AttributeError(f"{path} has no function {name}")
+    return partial(getattr(module, name), **options)

@@ -11,6 +11,7 @@ from millrace.functions import text as T
 from millrace.operators import advantage as A
 from millrace.operators import balance as K
 from millrace.operators import batch as B
+from millrace.operators import checks as C
 from millrace.operators import losses as L
 from millrace.operators import metrics as M
 from millrace.operators import pairing as P
@@ -158,3 +159,31 @@ def test_entry_and_sql_fit_together(spark):
     assert set(sql) <= set(names)
     out = entry.entry(spark)
     assert out.columns == ["uid", "perm", "pslot", "score", "weight", "advantage"] and out.count() > 0
+
+
+def test_dispatch_refuses_unknown_sources_and_second_scorers(spark, tmp_path):
+    rows = spark.createDataFrame([("numbers", "#### 4", "4"), ("boxed", r"\boxed{\$ 1,000}", "1000")], "data_source string, response string, golden string")
+    assert [r["score"] for r in R.dispatch(rows).collect()] == [1.0, 1.0]
+    with pytest.raises(Exception, match="no scorer for other"):
+        R.dispatch(rows.withColumn("data_source", F.lit("other"))).collect()
+    with pytest.raises(ValueError):
+        R.register("numbers", R.search_score)
+    (tmp_path / "mine.py").write_text("def score(column, factor):\n    return column * factor\n")
+    f = R.custom(str(tmp_path / "mine.py"), "score", factor=3)
+    assert spark.range(3).select(f(F.col("id")).alias("x")).agg(F.sum("x")).first()[0] == 9
+    with pytest.raises(AttributeError):
+        R.custom(str(tmp_path / "mine.py"), "none")
+
+
+def test_checks_find_each_corruption(spark):
+    good = spark.createDataFrame([("a" * 64, "x", 1, 0.5)], "text_hash string, id string, n long, rate double")
+    faults = lambda df: {r["column"]: r["n"] for r in C.record_faults(df, ("text_hash",), ("id",), ("n",), ("rate",)).collect()}
+    assert set(faults(good).values()) == {0}
+    for column, value in (("text_hash", "g" * 64), ("id", "  "), ("n", -1), ("rate", float("nan")), ("rate", float("inf"))):
+        assert faults(good.withColumn(column, F.lit(value)))[column] == 1
+    pairs = spark.createDataFrame([("q", "p1", "n1", 4)], "question string, positive string, negative string, gap long")
+    permuted = P.permutations(pairs)
+    assert C.mirrored(permuted).count() == 0 and C.mirrored(permuted.where("permutation_id = 0")).count() == 1
+    texts = spark.createDataFrame([("p1", "good"), ("n1", "bad")], "key string, text string")
+    rows = P.trainer_rows(permuted, texts, "Judge.").orderBy("extra_info.permutation_id").collect()
+    assert [r["reward_model"]["ground_truth"] for r in rows] == ["A", "B"] and "Response A:\nbad" in rows[1]["prompt"][1]["content"]
