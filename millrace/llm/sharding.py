@@ -25,7 +25,7 @@ texts need not share a shard, as one group of them may outweigh one.
 Defined cases: a null text has no bytes, and every document counts one more
 than its bytes; nulls in other columns sort before all values; rows that
 repeat every key go to one side of a cut; no rows give no rows; text and other
-columns do not pass through ``assign`` but do through ``shard_documents``.
+columns pass through ``shard_documents``.
 """
 
 from __future__ import annotations
@@ -52,66 +52,77 @@ def _prefix(text: Column) -> Column:
     return F.conv(padded, 16, 10).cast("double")
 
 
-def _measures(docs: DataFrame) -> DataFrame:
-    """Narrow table: row key, size and one raw number per dimension."""
-    size = size_of(F.col("text"))
+def _measures() -> dict[str, Column]:
+    """Size, checksum, tie-break and one raw number per dimension of a document."""
     crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(
-        F.col("doc_id"),
-        size.alias("size"),
-        crc.alias("text_crc32"),
-        F.log2(size.cast("double")).alias("d_bytes"),
-        _prefix(F.col("lang").cast("string")).alias("d_lang"),
-        _prefix(F.col("source").cast("string")).alias("d_source"),
-        F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)).alias("d_id"),
-        F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), crc, F.lit(7)), 64 - TIE_BITS).alias("tie"),
-    )
-
-
-def _scaled(rows: DataFrame) -> DataFrame:
-    """Dimensions as whole numbers of POSITION_BITS bits over the corpus' range."""
-    ends = rows.agg(*[f(f"d_{d}").alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    top = (1 << POSITION_BITS) - 1
-
-    def scaled(d: str) -> Column:
-        lo, hi = ends[f"lo_{d}"], ends[f"hi_{d}"]
-        if lo is None or hi == lo:
-            return F.lit(0).cast("long")
-        return F.floor((F.col(f"d_{d}") - lo) / (hi - lo) * top).cast("long")
-
-    return rows.select("doc_id", "size", "text_crc32", "tie", *[scaled(d).alias(f"d_{d}") for d in DIMS])
-
-
-def assign(
-    docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, broadcast_leaves: int = 100_000
-) -> DataFrame:
-    """doc_id, size, text_crc32, shard of every row; give the number of leaves or the bytes of one."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "shards")
-    rows = scratch.write(_measures(docs))
-    if n_shards is None:
-        total = rows.agg(F.sum("size")).first()[0] or 0
-        n_shards = max(1, math.ceil(total / target_bytes))
-    rows = scratch.write(_scaled(rows).withColumn("node", F.lit(0).cast("long")))
-    small = n_shards <= broadcast_leaves
-    sent = F.broadcast if small else (lambda x: x)
-    leaves = {0: n_shards}  # by node: leaves; the first leaf of a node is its number
-    while any(n > 1 for n in leaves.values()):
-        cuts = _cuts(rows, leaves, sent, scratch, small)
-        key = _key(F.col("dim"))
-        cut = (F.col("dim").isNotNull() & (key >= F.col("cut"))).cast("long")
-        late = rows.join(sent(cuts), "node", "left").select(
-            "doc_id", "size", "text_crc32", "tie", *[f"d_{d}" for d in DIMS],
-            (F.col("node") + cut * F.coalesce(F.col("left_leaves"), F.lit(0))).alias("node"),
-        )
-        late = scratch.write(late)
-        scratch.drop(rows)
-        rows = late
-        grown = {}
-        for node, n in leaves.items():
-            grown |= {node: (n + 1) // 2, node + (n + 1) // 2: n // 2} if n > 1 else {node: n}
-        leaves = grown
-    return rows.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
+    return {
+        "size": size_of(F.col("text")),
+        "text_crc32": crc,
+        "tie": F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), crc, F.lit(7)), 64 - TIE_BITS),
+        "d_bytes": F.log2(size_of(F.col("text")).cast("double")),
+        "d_lang": _prefix(F.col("lang").cast("string")),
+        "d_source": _prefix(F.col("source").cast("string")),
+        "d_id": F.coalesce(F.col("doc_id").cast("double"), F.lit(-1.0)),
+    }
+
+
+class Tree:
+    """A k-d tree built over docs (doc_id, text, lang, source): one table of cuts per level, and the corpus' ranges."""
+
+    def __init__(self, docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None, broadcast_leaves: int = 100_000):
+        self.scratch = Scratch(docs.sparkSession, "shards")
+        rows = self.scratch.write(docs.select("doc_id", *[c.alias(k) for k, c in _measures().items()]))
+        if n_shards is None:
+            total = rows.agg(F.sum("size")).first()[0] or 0
+            n_shards = max(1, math.ceil(total / target_bytes))
+        self.small = n_shards <= broadcast_leaves
+        self.ends = rows.agg(*[f(f"d_{d}").alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        self.cuts: list[DataFrame] = []
+        rows = self.scratch.write(rows.withColumns(self._scaled()).withColumn("node", F.lit(0).cast("long")))
+        leaves = {0: n_shards}  # by node: leaves; the first leaf of a node is its number
+        while any(n > 1 for n in leaves.values()):
+            self.cuts.append(_cuts(rows, leaves, self._sent, self.scratch))
+            late = self.scratch.write(self._below(rows, self.cuts[-1]))
+            self.scratch.drop(rows)
+            rows = late
+            grown = {}
+            for node, n in leaves.items():
+                grown |= {node: (n + 1) // 2, node + (n + 1) // 2: n // 2} if n > 1 else {node: n}
+            leaves = grown
+        #: doc_id, size, text_crc32, shard of every document.
+        self.rows = rows.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
+
+    def _sent(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.small else table
+
+    def _scaled(self) -> dict[str, Column]:
+        """Dimensions as whole numbers of POSITION_BITS bits over the corpus' range."""
+        top, out = (1 << POSITION_BITS) - 1, {}
+        for d in DIMS:
+            lo, hi = self.ends[f"lo_{d}"], self.ends[f"hi_{d}"]
+            same = lo is None or hi == lo
+            out[f"d_{d}"] = F.lit(0).cast("long") if same else F.floor((F.col(f"d_{d}") - lo) / (hi - lo) * top).cast("long")
+        return out
+
+    def _below(self, rows: DataFrame, cuts: DataFrame) -> DataFrame:
+        """Rows with their node of the next level."""
+        right = (F.col("dim").isNotNull() & (_key(F.col("dim")) >= F.col("cut"))).cast("long")
+        node = F.col("node") + right * F.coalesce(F.col("left_leaves"), F.lit(0))
+        return rows.join(self._sent(cuts), "node", "left").withColumn("node", node).select(*rows.columns)
+
+    def shard(self, docs: DataFrame) -> DataFrame:
+        """All columns of docs, a table that the tree was built over, and shard int (a column of that name is replaced).
+
+        Documents walk down the tables of cuts, so texts are not shuffled while the cuts can be broadcast.
+        """
+        docs = docs.drop("shard")
+        named = [f"__{k}" for k in range(len(docs.columns))]  # docs may have columns named like the tree's
+        held = docs.select(*[docs[c].alias(n) for c, n in zip(docs.columns, named, strict=True)], *[c.alias(k) for k, c in _measures().items()])
+        rows = held.withColumns(self._scaled()).withColumn("node", F.pmod(F.col("tie"), F.lit(1)))
+        for cuts in self.cuts:
+            rows = self._below(rows, cuts)
+        back = [F.col(n).alias(c) for c, n in zip(docs.columns, named, strict=True)]
+        return rows.select(*back, F.col("node").cast("int").alias("shard"))
 
 
 def _key(dim: Column) -> Column:
@@ -121,7 +132,7 @@ def _key(dim: Column) -> Column:
     return F.shiftleft(at, TIE_BITS) + F.col("tie")
 
 
-def _cuts(rows: DataFrame, leaves: dict[int, int], sent, scratch: Scratch, small: bool) -> DataFrame:
+def _cuts(rows: DataFrame, leaves: dict[int, int], sent, scratch: Scratch) -> DataFrame:
     """node, dim, cut, left_leaves for every node of more than one leaf."""
     spark = rows.sparkSession
     split = [(n, k, (k + 1) // 2) for n, k in leaves.items() if k > 1]
@@ -172,20 +183,13 @@ def with_slots(rows: DataFrame, n_rows: int, rows_per_cell: int = 50_000) -> Dat
 
 
 def shard_documents(docs: DataFrame, n_shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """All columns of docs with shard int (a column of that name is replaced); rows meet by doc_id, size and checksum."""
-    docs = docs.drop("shard")
-    at = assign(docs, n_shards, target_bytes).select(
-        F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard")
-    )
-    at = at.groupBy("__id", "__size", "__crc").agg(F.min("__shard").alias("__shard"))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    met = F.col("doc_id").eqNullSafe(F.col("__id")) & (size_of(F.col("text")) == F.col("__size")) & (crc == F.col("__crc"))
-    return docs.join(at, met, "left").select(*docs.columns, F.col("__shard").alias("shard"))
+    """All columns of docs with shard int."""
+    return Tree(docs, n_shards, target_bytes).shard(docs)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    rows = Scratch(spark, "sharded").write(assign(docs, n_shards=8))
+    rows = Tree(docs, n_shards=8).rows
     return with_slots(rows, rows.count()).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
