@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read
+from millrace.llm.common import bounded_batches, read
 
 # Patterns and kinds.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -97,14 +97,17 @@ def joined(spans: list[Span]) -> str:
 
 
 def frequent_words(docs: DataFrame, n: int = DICTIONARY_WORDS) -> list[str]:
-    """The n most frequent words of all documents; ties by word."""
+    """The n most frequent words of all documents; ties by word. Strings that could be candidates stay out, however often they are copied."""
     words = F.split(F.coalesce(F.col("text"), F.lit("")), r"[^A-Za-z0-9_]+")
-    counts = docs.select(F.explode_outer(words).alias("word")).where(F.length("word").between(4, 40)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = docs.select(F.explode_outer(words).alias("word")).where(F.length("word").between(4, 40))
+    like_a_secret = (F.length("word") >= 16) & F.col("word").rlike("[0-9].*[0-9]") & F.col("word").rlike("[A-Za-z].*[A-Za-z]")
+    counts = counts.where(~like_a_secret).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     return [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(n).collect()]
 
 
 def scan(docs: DataFrame, words: list[str]) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_novel, base_sha256, spans of every row of docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         novelty = Novelty(words)
