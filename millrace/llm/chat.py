@@ -16,7 +16,8 @@ undoes: ``</turn>`` becomes ``<\\/turn>`` (and ``<\\/turn>`` ``<\\\\/turn>``),
 characters stay. ``loss_spans`` gives the code points of each assistant text
 inside the formatted string.
 
-Defined cases: null texts and roles are empty; a message whose parent is null
+Defined cases: messages without a tree or an id belong to no conversation and
+are left out; null texts and roles are empty; a message whose parent is null
 or missing is a root; messages that repeat an id within a tree are one message
 (the least by role and text stays); cycles have no root and yield nothing;
 ties in score go to the smaller leaf id; no messages give no conversations. A

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -34,6 +36,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/millrace-{name}-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self._clear)
 
     def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -45,9 +48,44 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing lazy reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        self._remove(df._scratch)
+
+    def _remove(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def _clear(self) -> None:
+        """At exit, as results read these tables lazily; the session may be gone by then."""
+        with contextlib.suppress(Exception):
+            self._remove(self.root)
+
+
+def most_frequent(counts: DataFrame, limit: int, scratch: Scratch) -> list:
+    """Rows of counts (word, n) of largest n, at most limit of them, in order.
+
+    Counts fall in classes of one sixteenth of a doubling (a thousand at most); whole classes are taken from the top
+    while they fit. So tasks send no more than limit rows to the driver between them, however many tasks there are.
+    """
+    counts = scratch.write(counts.withColumn("class", F.floor(F.log2("n") * 16)))
+    cut, held = None, 0
+    for r in sorted(counts.groupBy("class").agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        if held + r["k"] > limit:
+            break
+        held, cut = held + r["k"], r["class"]
+    got = counts.where(F.col("class") >= cut).collect() if held else []
+    scratch.drop(counts)
+    return sorted(got, key=lambda r: (-r["n"], r["word"]))
+
+
+ARROW_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Python stages hold one Arrow batch of whole texts per task; larger batches than ARROW_ROWS are lowered to that for the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
 
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and no other letter."""

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import read, shared_dir
+from millrace.llm.common import Scratch, read
 
 BUCKETS = 32
 
@@ -93,8 +93,7 @@ class DigestIndex:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    tag = uuid.uuid4().hex
-    index = DigestIndex(spark, f"millrace_digests_{tag}", f"{shared_dir(spark)}/millrace-digests-{tag}")
+    index = DigestIndex(spark, f"millrace_digests_{uuid.uuid4().hex}", f"{Scratch(spark, 'digests').root}/index")
     index.append(docs)
     return index.label(docs).withColumnRenamed("digest", "text_sha256")
 

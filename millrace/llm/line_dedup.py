@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, read
+from millrace.llm.common import Scratch, bounded_batches, read
 
 MIN_WORDS = 50
 
@@ -83,7 +83,7 @@ def _windows(min_words: int):
             rows = []
             for doc_id, text_hash, text in zip(b["doc_id"], b["text_hash"], b["text"], strict=True):
                 rows += [(doc_id, text_hash, *w) for w in windows_of(lines_of(text), min_words)]
-            yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -92,7 +92,7 @@ def _places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         found = [lines_of(t) for t in b["text"]]
         yield pd.DataFrame({
-            "doc_id": b["doc_id"].astype("Int64"), "text_hash": b["text_hash"],
+            "doc_id": b["doc_id"], "text_hash": b["text_hash"],
             "starts": [[x[0] for x in y] for y in found], "ends": [[x[1] for x in y] for y in found],
         })
 
@@ -120,18 +120,20 @@ def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             spans = _spans(starts, ends, runs if runs is not None else ())
             rows.append((doc_id, text_hash, len(starts), sum(x[2] for x in spans), sum(x[1] - x[0] for x in spans), ",".join(f"{x[0]}:{x[1]}" for x in spans)))
         columns = ["doc_id", "text_hash", "n_lines", "n_removed", "removed_chars", "spans"]
-        yield pd.DataFrame(rows, columns=columns).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
+    """doc_id as a string while in Python, as pandas has no whole numbers beside nulls."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, lo, hi: runs of lines (numbered without blank ones) that repeat an earlier run."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
-    schema = "doc_id long, text_hash long, fingerprint long, window long, first int, last int, tail array<long>"
-    seen = scratch.write(_keyed(docs).mapInPandas(_windows(min_words), schema))
+    schema = "doc_id string, text_hash long, fingerprint long, window long, first int, last int, tail array<long>"
+    seen = scratch.write(_keyed(docs).mapInPandas(_windows(min_words), schema).withColumn("doc_id", F.col("doc_id").cast("long")))
     place = F.struct("doc_id", "text_hash", "first", "last", "tail")
     firsts = seen.groupBy("fingerprint", "window").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     same_doc = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash"))
@@ -147,10 +149,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, n_lines, n_removed, removed_chars, spans (start:end in code points, comma-joined) of every row of docs."""
     runs = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     runs = runs.agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
-    rows = _keyed(docs).mapInPandas(_places, "doc_id long, text_hash long, starts array<int>, ends array<int>")
+    rows = _keyed(docs).mapInPandas(_places, "doc_id string, text_hash long, starts array<int>, ends array<int>").withColumn("doc_id", F.col("doc_id").cast("long"))
     met = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
-    schema = "doc_id long, text_hash long, n_lines long, n_removed long, removed_chars long, spans string"
-    return rows.join(runs, met, "left").select("doc_id", "text_hash", "starts", "ends", "runs").mapInPandas(_listed, schema)
+    schema = "doc_id string, text_hash long, n_lines long, n_removed long, removed_chars long, spans string"
+    joined = rows.join(runs, met, "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text_hash", "starts", "ends", "runs")
+    return joined.mapInPandas(_listed, schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -56,7 +56,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, read
+from millrace.llm.common import Scratch, bounded_batches, read
 
 SIGNATURE, TREES, FIRST_DEPTH, DEPTH, SMALL, LEAST_EQUAL, BLOCK = 64, 16, 5, 7, 16, 36, 256
 #: Below so many ids the documents of tested pairs are picked by a broadcast, beyond by a shuffle.
@@ -78,7 +78,7 @@ _ODD = _mixed(np.arange(1, SIGNATURE + 1, dtype=np.uint64)) | np.uint64(1)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -111,7 +111,7 @@ def _sketch(n: int):
             out = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle_set(text, n, words)
-                has = len(s) and doc_id is not None and doc_id == doc_id
+                has = len(s) and doc_id is not None
                 sig = signature(s) if has else None
                 out.append((doc_id, len(s), *((xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), (sig & 255).astype(np.uint8).tobytes()) if has else (None,) * 3)))
             yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_key", "sig", "brief"])
@@ -327,9 +327,11 @@ def _cluster_links(docs: DataFrame, rows: DataFrame, scratch: Scratch, words: in
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id long, text)."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "near")
-    schema = "doc_id long, n_shingles long, set_key binary, sig binary, brief binary"
-    sketches = scratch.write(docs.select("doc_id", "text").mapInPandas(_sketch(words), schema))
+    schema = "doc_id string, n_shingles long, set_key binary, sig binary, brief binary"
+    sketches = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_sketch(words), schema)
+    sketches = scratch.write(sketches.withColumn("doc_id", F.col("doc_id").cast("long")))  # pandas has no whole numbers beside nulls
     reps = sketches.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min("sig").alias("sig"), F.min("brief").alias("brief"))
     reps = scratch.write(reps)
     small, large = _nodes(reps, scratch)

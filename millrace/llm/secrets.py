@@ -9,7 +9,7 @@ identifiers and words. Its novelty is the marginal cost: compressed bytes of
 context and candidate less those of the context, per character. Names and
 repeated strings compress to little; random strings do not.
 
-The dictionary holds the ``DICTIONARY_WORDS`` most frequent words of four to 40
+The dictionary holds up to ``DICTIONARY_WORDS`` most frequent words of four to 40
 characters over all documents (a documented bound of the model; counts cover
 every document and combine per task). The scan itself is one pass without a
 shuffle; texts are read whole.
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import bounded_batches, read
+from millrace.llm.common import Scratch, bounded_batches, most_frequent, read
 
 # Patterns and kinds.
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -97,12 +97,12 @@ def joined(spans: list[Span]) -> str:
 
 
 def frequent_words(docs: DataFrame, n: int = DICTIONARY_WORDS) -> list[str]:
-    """The n most frequent words of all documents; ties by word. Strings that could be candidates stay out, however often they are copied."""
+    """About the n most frequent words of all documents (see ``most_frequent``), the most frequent first. Strings that could be candidates stay out, however often they are copied."""
     words = F.split(F.coalesce(F.col("text"), F.lit("")), r"[^A-Za-z0-9_]+")
     counts = docs.select(F.explode_outer(words).alias("word")).where(F.length("word").between(4, 40))
     like_a_secret = (F.length("word") >= 16) & F.col("word").rlike("[0-9].*[0-9]") & F.col("word").rlike("[A-Za-z].*[A-Za-z]")
     counts = counts.where(~like_a_secret).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [r["word"] for r in counts.where("n > 1").orderBy(F.desc("n"), "word").limit(n).collect()]
+    return [r["word"] for r in most_frequent(counts.where("n > 1"), n, Scratch(docs.sparkSession, "words"))]
 
 
 def scan(docs: DataFrame, words: list[str]) -> DataFrame:
@@ -122,8 +122,9 @@ def scan(docs: DataFrame, words: list[str]) -> DataFrame:
                 out.append((doc_id, n["assign"], n["access"], n["hex"], len(more), digest, joined(base + more)))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id string, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string"
+    rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))  # pandas has no whole numbers beside nulls
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

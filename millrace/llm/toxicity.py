@@ -39,10 +39,11 @@ import numpy as np
 import pandas as pd
 import regex
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from millrace.llm.common import Scratch, read
+from millrace.llm.common import Scratch, bounded_batches, read
 
 MAX_LABELLED, THRESHOLD = 20_000, 0.3
 SHORTEST, LONGEST = 3, 10
@@ -185,9 +186,12 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic."""
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    known = known.where(~held_out(F.col("doc_id"))).withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 2))
+    share = min(1.0, 1.1 * max_labelled / max(known.count(), 1))  # so that tasks send little more than the limit to be ranked
+    known = known.where(F.col("h") <= int(share * (1 << 62))).orderBy("h", "doc_id").limit(max_labelled).drop("h")
     part = F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 3, 1).otherwise(0)
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", part.alias("part"), "text")
     sample = sample.mapInPandas(_bucketed, "doc_id long, toxic int, part int, text string, bucket long")
@@ -215,27 +219,29 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     return Model(_lexicon(toxic[1], clean[1], sum(n_toxic), sum(n_clean)), coef)
 
 
-def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Every row of docs (doc_id, text): doc_id, held_out, score, predicted."""
+def score_of(text: Column, model: Model) -> Column:
+    """The score of a text; only texts go to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(DoubleType())
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(model)
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": [matcher.score(t) for t in b["text"]]})
+        for texts in batches:
+            yield pd.Series([matcher.score(t) for t in texts], dtype="float64")
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInPandas(run, "doc_id long, held_out boolean, score double")
+    return run(text)
+
+
+def scores(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Every row of docs (doc_id, text): doc_id, held_out, score, predicted."""
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score_of(F.col("text"), model).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs under the threshold, with their own columns."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(model)
-        for b in batches:
-            yield b[[matcher.score(t) < threshold for t in b["text"]]]
-
-    return docs.mapInPandas(run, docs.schema)
+    bounded_batches(docs.sparkSession)
+    return docs.where(score_of(docs["text"], model) < threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ corpus (unknown pieces pay for every character). Multinomial naive Bayes
 scores the host words and path words against two classes.
 
 Training: word counts come from all pages' html (markup stripped) plus the
-word list of the seeds; the ``DICTIONARY`` most frequent words are the
+word list of the seeds; up to ``DICTIONARY`` most frequent words are the
 dictionary, a documented bound of the model. Classes are started by seed words
 of unwanted hosts: a page whose segmented host holds one is a block example,
 every other page an allow example, so the model learns what else such hosts
@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, read
+from millrace.llm.common import Scratch, ascii_lower, bounded_batches, most_frequent, read
 
 DICTIONARY, BUCKETS, LONGEST_WORD = 50_000, 1 << 15, 24
 
@@ -109,7 +109,7 @@ class Tokens:
 
     def host(self, host: str) -> list[str]:
         if host not in self.hosts:
-            if len(self.hosts) > 100_000:
+            if len(self.hosts) > 50_000:
                 self.hosts.clear()
             words = []
             for run in _LABEL.findall(host):
@@ -146,7 +146,8 @@ def word_counts(pages: DataFrame) -> DataFrame:
 
 
 def train(pages: DataFrame, dictionary: int = DICTIONARY) -> Model:
-    top = word_counts(pages).orderBy(F.desc("n"), "word").limit(dictionary).collect()
+    bounded_batches(pages.sparkSession)
+    top = most_frequent(word_counts(pages), dictionary, Scratch(pages.sparkSession, "words"))
     counts = {r["word"]: r["n"] for r in top}
     floor = max(1, sum(counts.values()) // 1000)  # seeds are words in any corpus
     segmenter = Segmenter.of(counts | {s: counts.get(s, 0) + floor for s in SEEDS})
@@ -184,11 +185,11 @@ def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
             pairs = list(zip(b["host"], b["path"], strict=True))
             yield b.assign(score=[float(model.score(tokens.page(h, p))) for h, p in pairs], words=[" ".join(tokens.host(h)) for h, _ in pairs])
 
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    scored = urls.mapInPandas(run, "page_id long, host string, path string, score double, words string")
+    urls = pages.select(F.col("page_id").cast("string").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    scored = urls.mapInPandas(run, "page_id string, host string, path string, score double, words string")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules], F.when(F.col("score") > 0, "block").otherwise("allow"))
-    return scored.withColumn("rule", rule).withColumn("verdict", verdict).select("page_id", "host", "path", "rule", "verdict", "score", "words")
+    return scored.withColumn("rule", rule).withColumn("verdict", verdict).select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", "verdict", "score", "words")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

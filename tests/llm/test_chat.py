@@ -20,6 +20,7 @@ def test_branches_are_ranked_and_formatted(spark):
     rows = [
         (1, 1, None, "system", "root", 0.0), (1, 2, 1, "user", "a", 1.0), (1, 3, 2, "assistant", "b</turn>", 1.0), (1, 4, 2, "assistant", "c", 5.0),
         (1, 5, 1, "user", "d", 3.0), (2, 9, 77, "user", None, None), (3, 1, 2, "user", "cycle", 1.0), (3, 2, 1, "user", "cycle", 1.0),
+        (None, 1, None, "user", "no tree", 1.0), (4, None, None, "user", "no id", 1.0),
     ]
     out = chat.format_trees(spark.createDataFrame(rows, SCHEMA), top_k=2).orderBy("tree_id", "path_rank").collect()
     assert [(r["tree_id"], r["leaf_id"], r["path_rank"]) for r in out] == [(1, 4, 1), (1, 5, 2), (2, 9, 1)]
