@@ -19,7 +19,7 @@ full sets: 100 * intersection >= 80 * union.
 
 Nodes are compared exhaustively, but for what is already known:
 
-1. every node sends one star of edges from one of its members, by one of four
+1. every node sends one star of edges from one of its members, by one of two
    draws, so that the many nodes of one group mostly send the same edges;
    confirmed edges give components;
 2. members of a small node that ended in different components are compared in
@@ -216,8 +216,8 @@ def _nodes(reps: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """One edge from each member to the member of least hash, by one of four hashes."""
-    draw = F.xxhash64(F.pmod("node", F.lit(4)), "id")
+    """One edge from each member to the member of least hash, by one of two hashes."""
+    draw = F.xxhash64(F.pmod("node", F.lit(2)), "id")
     centre = members.groupBy("node").agg(F.min_by("id", draw).alias("centre"))
     edges = members.join(centre, "node").where(F.col("id") != F.col("centre"))
     return edges.select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
@@ -227,11 +227,15 @@ class _Confirmer:
     def __init__(self, docs: DataFrame, reps: DataFrame, scratch: Scratch, n: int, percent: int):
         self.docs, self.reps, self.scratch, self.n, self.percent = docs.select("doc_id", "text"), reps, scratch, n, percent
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough."""
+    def weighed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs of similar signatures."""
         briefs = [self.reps.select(F.col("id").alias(e), F.col("brief").alias(f"brief_{e}")) for e in ("a", "b")]
-        weighed = pairs.join(briefs[0], "a").join(briefs[1], "b").select("a", "b", "brief_a", "brief_b")
-        pairs = self.scratch.write(weighed.mapInPandas(_alike, "a long, b long").distinct())
+        rows = pairs.join(briefs[0], "a").join(briefs[1], "b").select("a", "b", "brief_a", "brief_b")
+        return rows.mapInPandas(_alike, "a long, b long")
+
+    def __call__(self, pairs: DataFrame) -> DataFrame:
+        """The pairs, each given once, whose full sets are similar enough."""
+        pairs = self.scratch.write(pairs)
         ids = self.scratch.write(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         picked = F.broadcast(ids) if ids.count() <= PICK_BY_BROADCAST else ids
         sets = self.scratch.write(self.docs.join(picked, "doc_id", "left_semi").mapInPandas(_sets(self.n), "id long, shingles binary"))
@@ -337,11 +341,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     small, large = _nodes(reps, scratch)
     confirm = _Confirmer(docs, reps, scratch, words, percent)
     spokes = scratch.write(_stars(large))
-    links = confirm(_stars(small).union(spokes).distinct())
+    tested = scratch.write(confirm.weighed(_stars(small).union(spokes).distinct()))
+    links = confirm(tested)
     labels = components(links, scratch)
     open_small = _open_nodes(small, labels).join(reps.select("id", "brief"), "id").groupBy("node")
     open_small = open_small.agg(F.collect_list(F.struct("id", "component", "brief")).alias("members")).select("members")
-    links = links.union(confirm(open_small.mapInPandas(_across, "a long, b long").distinct()))
+    across = open_small.mapInPandas(_across, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+    links = links.union(confirm(across))
     labels = components(links, scratch)
     if spokes.limit(1).count():
         clusters = components(spokes, scratch).select(F.col("component").alias("node"), "id")
