@@ -47,5 +47,5 @@ def _mixed(s, d):
 _add("rwd_dispatch", lambda s, d: W.dispatch(_mixed(s, d)).select("o_orderkey", "score"), "SELECT o_orderkey, CAST(o_orderkey % 2 = 0 AS DOUBLE) AS score FROM orders")
 _add("rwd_at_last_token", lambda s, d: trajectories(s, d).groupBy("uid").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "mask"))), lambda x: x["mask"]).alias("mask")).select("uid", F.array_position(W.at_last_token(F.lit(1.0), F.col("mask")), 1.0).alias("at")),
      "WITH t AS (SELECT l_orderkey AS uid, l_returnflag <> 'R' AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem) SELECT uid, coalesce(max(k) FILTER (m), 0) AS at FROM t GROUP BY uid")
-_add("par_rank_balance", lambda s, d: K.balanced(_batches(s, d).where("batch < 200"), R.rank_balance, ranks=8))
+_add("par_rank_balance", lambda s, d: K.balanced(_batches(s, d), R.rank_balance, ranks=8))
 _add("rwd_scores_rounded", lambda s, d: W.number_score(table(s, d, "orders").select("o_orderkey", F.concat(F.lit("#### "), F.col("o_custkey") % 9).alias("response"), F.lit("4").alias("golden")), True, 0.25).select("o_orderkey", r6("score").alias("score")), "SELECT o_orderkey, CASE WHEN o_custkey % 9 = 4 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS score FROM orders")

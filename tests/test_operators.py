@@ -187,3 +187,12 @@ def test_checks_find_each_corruption(spark):
     texts = spark.createDataFrame([("p1", "good"), ("n1", "bad")], "key string, text string")
     rows = P.trainer_rows(permuted, texts, "Judge.").orderBy("extra_info.permutation_id").collect()
     assert [r["reward_model"]["ground_truth"] for r in rows] == ["A", "B"] and "Response A:\nbad" in rows[1]["prompt"][1]["content"]
+
+
+def test_rank_balance_takes_every_batch(spark):
+    got = entry.queries()["par_rank_balance"](spark, "/root/testdata/sf0.01").groupBy("batch", "part").count().collect()
+    assert sum(r["count"] for r in got) == 15_000
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["batch"], []).append(r["count"])
+    assert len(sizes) == 235 and all(len(x) == 8 and len(set(x)) == 1 for x in sizes.values())
