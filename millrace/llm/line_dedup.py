@@ -8,7 +8,10 @@ same minimum: fingerprints are guaranteed. Positions meet by fingerprint; so
 that a common line does not tie a passage to some other text where that line
 came first, positions are told apart by a hash of their window. Of the
 positions with equal windows the first in order of doc_id stands, and each
-later one is compared with that one only, never with all.
+later one is compared with that one. Those that go on otherwise than the first
+meet each other by hashes of the lines that follow, with the first position of
+each continuation and never in pairs, so a match ends where no earlier position
+goes on alike.
 
 Matches are extended line by line while both documents go on alike. To the
 left that is done by the windows themselves (if the line before is equal too,
@@ -19,7 +22,7 @@ behind the first.
 
 Rows shuffled are windows (hashes and positions), once to find the firsts with
 map-side combine and once to join them, where adaptive execution splits a hot
-window; texts are not shuffled.
+window; continuations that leave the first likewise. Texts are not shuffled.
 
 Defined cases: a null text has no lines; blank lines match nothing and go only
 if they lie inside a deleted run; white space at line ends does not count;
@@ -141,10 +144,25 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     differs = F.array_position(F.zip_with("tail", "at.tail", lambda x, y: x.eqNullSafe(y)), False)
     more = F.when(differs == 0, F.size("tail")).otherwise(differs - 1).cast("int")
     own = F.when(same_doc, F.greatest("first", F.col("at.last") + 1)).otherwise(F.col("first"))
-    runs = later.select("doc_id", "text_hash", own.alias("lo"), (F.col("last") + more).alias("hi"))
+    later = scratch.write(later.select("doc_id", "text_hash", "fingerprint", "window", "first", "last", "tail", own.alias("lo"), more.alias("more")))
+    longer = _continued(later).select("doc_id", "text_hash", "lo", (F.col("last") + F.col("k")).alias("hi"))
+    runs = later.select("doc_id", "text_hash", "lo", (F.col("last") + F.col("more")).alias("hi")).union(longer)
     return runs.where(F.col("lo") <= F.col("hi")).distinct()
 
 
+def _continued(later: DataFrame) -> DataFrame:
+    """later, with k: lines after the window that repeat an earlier position which, like this one, left the first after ``more`` lines.
+
+    Two positions that left the first at different lines part where the sooner one left it, so they never share a longer continuation.
+    """
+    prefixes = F.transform(F.sequence(F.col("more") + 1, F.size("tail")), lambda k: F.struct(k.alias("k"), F.xxhash64(F.slice("tail", 1, k)).alias("prefix")))
+    place = ["doc_id", "text_hash", "first"]
+    left = later.where(F.size("tail") > F.col("more")).select("fingerprint", "window", *place, "lo", "last", F.inline(prefixes))
+    firsts = left.groupBy("fingerprint", "window", "k", "prefix").agg(F.min(F.struct(*place)).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = left.join(firsts, ["fingerprint", "window", "k", "prefix"]).where(~F.struct(*place).eqNullSafe(F.col("at")))
+    return met.groupBy(*place, "lo", "last").agg(F.max("k").cast("int").alias("k"))
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, n_lines, n_removed, removed_chars, spans (start:end in code points, comma-joined) of every row of docs."""
     runs = repeated_runs(docs, min_words).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))

@@ -55,3 +55,33 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == 9
     assert out.where("doc_id = 8").select(F.length("text")).first()[0] == 450_000
     assert ld.repeats(docs.limit(0)).count() == 0 and ld.without_repeats(docs.limit(0)).count() == 0
+
+
+def _brute_all(docs, min_words):
+    """Each window against all earlier equal windows, extended line by line to the end; spans of deleted lines."""
+    lines = {i: ld.lines_of(t) for i, t in docs}
+    windows = [(i, w) for i, _ in sorted(docs) for w in ld.windows_of(lines[i], min_words)]
+    seen, cut = {}, {i: set() for i, _ in docs}
+    for i, (_, key, lo, hi, _) in windows:
+        for j, _, y in seen.setdefault(key, []):
+            k = 1
+            while hi + k < len(lines[i]) and y + k < len(lines[j]) and lines[i][hi + k][3] == lines[j][y + k][3]:
+                k += 1
+            cut[i] |= set(range(max(lo, y + 1) if i == j else lo, hi + k))
+        seen[key].append((i, lo, hi))
+    return {i: (len(lines[i]), len(c)) for i, c in cut.items()}
+
+
+def test_random_documents_against_all_earlier_positions(spark):
+    rng = random.Random(16)
+    pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 4, 9]))) for _ in range(12)]
+    docs = [(i, "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randrange(25)))) for i in range(60)]
+    got = ld.repeats(spark.createDataFrame(docs, "doc_id long, text string"), min_words=8).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == _brute_all(docs, 8)
+
+
+def test_a_run_that_repeats_a_later_document_than_the_first(spark):
+    x, y1, y2 = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("x", 60), ("y", 20), ("z", 20)))
+    docs = [(1, f"{x}\nother"), (2, f"{x}\n{y1}\n{y2}\nb"), (3, f"{x}\n{y1}\n{y2}\nc"), (4, f"{x}\n{y1}\nd"), (5, f"{x}\nother\ne")]
+    got = {r["doc_id"]: r["text"] for r in ld.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: f"{y1}\n{y2}\nb", 3: "c", 4: "d", 5: "e"}
