@@ -6,18 +6,20 @@ corpus (unknown pieces pay for every character). Multinomial naive Bayes
 scores the host words and path words against two classes.
 
 Training: word counts come from all pages' html (markup stripped) plus the
-word list of the seeds; up to ``DICTIONARY`` most frequent words are the
-dictionary, a documented bound of the model. Classes are started by seed words
-of unwanted hosts: a page whose segmented host holds one is a block example,
-every other page an allow example, so the model learns what else such hosts
-and paths hold. Token counts cover all pages; they are hashed to ``BUCKETS``
-bins, so the model stays bounded whatever the number of tokens.
+word list of the seeds. Classes are started by seed words of unwanted hosts: a
+page whose segmented host holds one is a block example, every other page an
+allow example, so the model learns what else such hosts and paths hold. Words
+and tokens are counted whole and stay tables: the candidate substrings of the
+distinct hosts are looked up among the words, and the tokens of urls among the
+tokens. Keys that make up a large share of the rows of a look-up (at most
+``HOT`` by construction) are broadcast, the others are joined by key.
 
 Rules are ``host/path``: a rule fits its host and all subdomains if the path of
 the url starts with the rule's path (which begins with ``/``); the longest
 rule that fits decides, else the method.
 
-Every pass is one scan without a shuffle of rows; counts combine per task.
+Counts combine per task. Html is scanned once and not shuffled. Odds are summed
+in fixed point, so that a score does not depend on the order of rows.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no
 rule and no tokens: the method allows it; null html gives no words; ports and
@@ -28,20 +30,18 @@ rows.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pandas as pd
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from millrace.llm.common import Scratch, ascii_lower, bounded_batches, most_frequent, read
+from millrace.llm.common import Scratch, ascii_lower, bounded_batches, read
 
-DICTIONARY, BUCKETS, LONGEST_WORD = 50_000, 1 << 15, 24
+LONGEST_WORD, HOT, UNIT, CHUNK = 24, 1024, 1 << 32, 100_000
 
 # Rules of the query, seed words.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -81,8 +81,9 @@ class Segmenter:
     unknown: float
 
     @classmethod
-    def of(cls, counts: dict[str, int]) -> Segmenter:
-        total = sum(counts.values()) + 1
+    def of(cls, counts: dict[str, int], total: int | None = None) -> Segmenter:
+        """counts: of all words, or of those that can occur, with the total of all."""
+        total = sum(counts.values()) + 1 if total is None else total
         return cls({w: -math.log(n / total) for w, n in counts.items()}, math.log(total) + 2.0)
 
     def split(self, name: str) -> list[str]:
@@ -103,38 +104,73 @@ class Segmenter:
         return words[::-1]
 
 
-class Tokens:
-    def __init__(self, segmenter: Segmenter):
-        self.segmenter, self.hosts = segmenter, {}
-
-    def host(self, host: str) -> list[str]:
-        if host not in self.hosts:
-            if len(self.hosts) > 50_000:
-                self.hosts.clear()
-            words = []
-            for run in _LABEL.findall(host):
-                words += ["#"] if run[0].isdigit() else self.segmenter.split(run[:256]) + ([run[256:]] if len(run) > 256 else [])
-            self.hosts[host] = words
-        return self.hosts[host]
+@dataclass
+class Model:
+    words: DataFrame  # word, n
+    floor: int  # what each seed has besides
+    total: int
+    tokens: DataFrame  # token, odds: log P(token | block) - log P(token | allow) in UNITs
+    prior: float
+    pages: DataFrame  # of the training
+    rows: DataFrame  # their tokens
+
+
+def looked_up(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """rows with the columns of found, which holds every key of rows once, with its number of rows as uses."""
+    least = (found.agg(F.sum("uses")).first()[0] or 0) // HOT
+    hot = found.where(F.col("uses") > least).withColumn("__hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), key, "left")
+    rest = met.where("__hot is null").select(rows.columns).join(found.where(F.col("uses") <= least), key)
+    return met.where("__hot").select(rest.columns).union(rest)
+
+
+def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    rows = []
+    for b in batches:
+        for host in b["host"]:
+            runs = [r for r in _LABEL.findall(host) if not r[0].isdigit()]
+            rows += [(host, x) for x in {r[i:k] for r in runs for i in range(len(r)) for k in range(i + 1, min(len(r), i + LONGEST_WORD) + 1)}]
+            if len(rows) > CHUNK:
+                yield pd.DataFrame(rows, columns=["host", "piece"])
+                rows = []
+    yield pd.DataFrame(rows, columns=["host", "piece"])
+
+
+def segmented(hosts: DataFrame, words: DataFrame, floor: int, total: int, scratch: Scratch) -> DataFrame:
+    """hosts (host, uses) with words (array) and block, by the counts of those words that occur in them."""
+    pieces = scratch.write(hosts.select("host").mapInPandas(_pieces, "host string, piece string"))
+    uses = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("uses"))
+    found = scratch.write(uses.join(words.withColumnRenamed("word", "piece"), "piece", "left"))
+    known = looked_up(pieces, "piece", found).where("n is not null").groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("piece", "n"))).alias("known"))
 
-    def page(self, host: str, path: str) -> list[str]:
-        path_words = ["#" if w[0].isdigit() else w for w in _LABEL.findall(path.lower())]
-        return [f"h:{w}" for w in self.host(host)] + [f"p:{w}" for w in path_words]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            split = []
+            for host, known in zip(b["host"], b["known"], strict=True):
+                n = dict(known) if known is not None else {}
+                segmenter = Segmenter.of(n | {s: n.get(s, 0) + floor for s in SEEDS}, total)
+                split.append([w for r in _LABEL.findall(host) for w in (["#"] if r[0].isdigit() else segmenter.split(r))])
+            yield pd.DataFrame({"host": b["host"], "uses": b["uses"], "words": split, "block": [not MARKS.isdisjoint(w) for w in split]})
 
+    joined = hosts.join(known, "host", "left").select("host", "uses", "known")
+    return scratch.write(joined.mapInPandas(run, "host string, uses long, words array<string>, block boolean"))
 
-def bucket(token: str) -> int:
-    return xxhash.xxh32_intdigest(token) % BUCKETS
 
+@F.pandas_udf(ArrayType(StringType()))
+def page_tokens(words: pd.Series, path: pd.Series) -> pd.Series:
+    out = []
+    for w, p in zip(words, path, strict=True):
+        out.append([f"h:{x}" for x in w] + ["p:#" if x[0].isdigit() else f"p:{x}" for x in _LABEL.findall(p.lower())])
+    return pd.Series(out)
 
-@dataclass
-class Model:
-    segmenter: Segmenter
-    log_odds: np.ndarray  # by bucket: log P(token | block) - log P(token | allow)
-    prior: float
 
-    def score(self, tokens: list[str]) -> float:
-        """Log odds of block; a page without tokens is an allow page."""
-        return self.prior + sum(self.log_odds[bucket(t)] for t in tokens) if tokens else -math.inf
+def tokenised(pages: DataFrame, words: DataFrame, floor: int, total: int, scratch: Scratch) -> DataFrame:
+    """row, page_id, host, path, words, block, tokens of every row of pages."""
+    urls = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = scratch.write(urls)  # fixes the row numbers
+    hosts = scratch.write(urls.groupBy("host").agg(F.count(F.lit(1)).alias("uses")))
+    rows = looked_up(urls, "host", segmented(hosts, words, floor, total, scratch)).drop("uses")
+    return scratch.write(rows.withColumn("tokens", page_tokens("words", "path")))
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
@@ -145,51 +181,39 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode_outer(words).alias("word")).where(F.char_length("word").between(1, LONGEST_WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(pages: DataFrame, dictionary: int = DICTIONARY) -> Model:
+def train(pages: DataFrame) -> Model:
     bounded_batches(pages.sparkSession)
-    top = most_frequent(word_counts(pages), dictionary, Scratch(pages.sparkSession, "words"))
-    counts = {r["word"]: r["n"] for r in top}
-    floor = max(1, sum(counts.values()) // 1000)  # seeds are words in any corpus
-    segmenter = Segmenter.of(counts | {s: counts.get(s, 0) + floor for s in SEEDS})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, seen, n = Tokens(segmenter), Counter(), Counter()
-        for b in batches:
-            for host, path in zip(b["host"], b["path"], strict=True):
-                block = not MARKS.isdisjoint(tokens.host(host))
-                n[block] += 1
-                seen.update((bucket(t), block) for t in tokens.page(host, path))
-        rows = [(k, c, v) for (k, c), v in seen.items()] + [(-1, c, v) for c, v in n.items()]
-        yield pd.DataFrame(rows, columns=["bucket", "block", "n"])
-
-    urls = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    got = urls.mapInPandas(run, "bucket int, block boolean, n long").groupBy("bucket", "block").agg(F.sum("n").alias("n")).collect()
-    n, table = {True: 0, False: 0}, np.zeros((2, BUCKETS))
-    for r in got:
-        if r["bucket"] < 0:
-            n[r["block"]] = r["n"]
-        else:
-            table[int(r["block"]), r["bucket"]] = r["n"]
-    share = np.log(table + 0.1) - np.log((table + 0.1).sum(axis=1, keepdims=True))
-    unseen = table.sum(axis=0) == 0
-    odds = np.where(unseen, 0.0, share[1] - share[0])
-    return Model(segmenter, odds, math.log((n[True] + 0.5) / (n[False] + 0.5)))
+    scratch = Scratch(pages.sparkSession, "urls")
+    words = scratch.write(word_counts(pages))
+    n = words.agg(F.sum("n")).first()[0] or 0
+    floor = max(1, n // 1000)  # seeds are words in any corpus
+    total = n + floor * len(SEEDS) + 1
+    rows = tokenised(pages, words, floor, total, scratch)
+    block = F.col("block").cast("long")
+    tokens = rows.select("block", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum(block).alias("b"), F.sum(1 - block).alias("a"))
+    tokens = scratch.write(tokens)
+    v, b, a = tokens.agg(F.count(F.lit(1)), F.coalesce(F.sum("b"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))).first()
+    apart = math.log((a + 0.1 * v) / (b + 0.1 * v)) if v else 0.0
+    odds = F.round((F.log(F.col("b") + 0.1) - F.log(F.col("a") + 0.1) + apart) * UNIT).cast("long")
+    k = {r["block"]: r["count"] for r in rows.groupBy("block").count().collect()}
+    return Model(words, floor, total, tokens.select("token", odds.alias("odds")), math.log((k.get(True, 0) + 0.5) / (k.get(False, 0) + 0.5)), pages, rows)
 
 
 def judge(pages: DataFrame, model: Model, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block by the method), words of every row of pages."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(model.segmenter)
-        for b in batches:
-            pairs = list(zip(b["host"], b["path"], strict=True))
-            yield b.assign(score=[float(model.score(tokens.page(h, p))) for h, p in pairs], words=[" ".join(tokens.host(h)) for h, _ in pairs])
-
-    urls = pages.select(F.col("page_id").cast("string").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    scored = urls.mapInPandas(run, "page_id string, host string, path string, score double, words string")
+    bounded_batches(pages.sparkSession)
+    scratch = Scratch(pages.sparkSession, "urls")
+    rows = model.rows if pages is model.pages else tokenised(pages, model.words, model.floor, model.total, scratch)
+    seen = rows.select("row", F.explode("tokens").alias("token"))
+    uses = seen.groupBy("token").agg(F.count(F.lit(1)).alias("uses"))
+    found = scratch.write(uses.join(model.tokens, "token", "left"))  # tokens not seen in the training tell nothing
+    sums = looked_up(seen, "token", found).groupBy("row").agg(F.coalesce(F.sum("odds"), F.lit(0)).alias("odds"))
+    # a page without tokens is an allow page
+    score = F.when(F.size("tokens") > 0, F.col("odds") / F.lit(float(UNIT)) + F.lit(model.prior)).otherwise(F.lit(-math.inf))
+    scored = rows.join(sums, "row", "left").select("page_id", "host", "path", score.alias("score"), F.array_join("words", " ").alias("words"))
     rule = rule_of(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(*[F.when(F.col("rule") == r, F.lit(v)) for r, v in rules], F.when(F.col("score") > 0, "block").otherwise("allow"))
-    return scored.withColumn("rule", rule).withColumn("verdict", verdict).select(F.col("page_id").cast("long").alias("page_id"), "host", "path", "rule", "verdict", "score", "words")
+    return scored.withColumn("rule", rule).withColumn("verdict", verdict).select("page_id", "host", "path", "rule", "verdict", "score", "words")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import math
 import random
 
 from millrace.llm import url_filter as u
@@ -64,3 +65,41 @@ def test_method_blocks_what_looks_like_the_marked_hosts(spark):
 def test_empty_table(spark):
     pages = _pages(spark).limit(0)
     assert u.judge(pages, u.train(pages)).count() == 0
+
+
+def _all_words(n):
+    """n words of letters, none the start of another."""
+    letters = "bcdfghjklmnpqrst"
+    return ["z" + "".join(letters[i >> 4 * k & 15] for k in range(4)) for i in range(n)]
+
+
+def test_rare_words_of_a_large_vocabulary_split_hosts(spark):
+    words = _all_words(60_000)  # one class of more words than any fixed dictionary
+    long = "".join(words[7:80])  # a label of more than 256 letters
+    rows = [(i, f"http://{words[i]}{words[59_990 - i]}.example.net/x", " ".join(words[i * 6000 : (i + 1) * 6000])) for i in range(10)]
+    pages = spark.createDataFrame([*rows, (10, f"http://{long}.net/", None)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["words"].split() for r in u.judge(pages, u.train(pages)).collect()}
+    assert all(got[i][:2] == [words[i], words[59_990 - i]] for i in range(10))
+    assert got[10][:73] == words[7:80]
+
+
+def test_scores_against_whole_counts(spark):
+    rows = [(i, f"http://{'casino' if i % 7 == 0 else 'news'}.net/t{i % 50}k/{'' if i % 3 else 'offer'}", "casino news net") for i in range(400)]
+    rows = [(i, url.replace(f"t{i % 50}k", "".join(chr(97 + int(c)) for c in f"{i % 50:02}")), html) for i, url, html in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = u.train(pages)
+    got = {r["page_id"]: r for r in u.judge(pages, model).collect()}
+    tokens = {i: [f"h:{w}" for w in got[i]["words"].split()] + [f"p:{w}" for w in url.split(".net/")[1].split("/") if w] for i, url, _ in rows}
+    n = {c: {} for c in (True, False)}
+    for i, ts in tokens.items():
+        for t in ts:
+            n[i % 7 == 0][t] = n[i % 7 == 0].get(t, 0) + 1
+    seen = n[True].keys() | n[False].keys()
+    whole = {c: sum(n[c].values()) + 0.1 * len(seen) for c in n}
+    pages_of = {c: sum((i % 7 == 0) is c for i in tokens) for c in n}
+    for i, ts in tokens.items():
+        want = math.log((pages_of[True] + 0.5) / (pages_of[False] + 0.5))
+        want += sum(math.log((n[True].get(t, 0) + 0.1) / whole[True]) - math.log((n[False].get(t, 0) + 0.1) / whole[False]) for t in ts)
+        assert abs(got[i]["score"] - want) < 1e-6
+    other = u.judge(pages.where("page_id < 50"), model).collect()  # other pages by the same model
+    assert {r["page_id"]: r["score"] for r in other} == {i: got[i]["score"] for i in range(50)}
