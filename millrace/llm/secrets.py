@@ -2,12 +2,19 @@
 
 Base patterns find assignments, access keys and long hex runs. The method adds
 strings that no pattern names: a candidate (letters and digits mixed, 16
-characters or more) in a sensitive context (a word such as key, token or
-password shortly before it) is compressed with the text around it, by a
-zstandard compressor primed with a dictionary of the corpus' most frequent
-identifiers and words. Its novelty is the marginal cost: compressed bytes of
-context and candidate less those of the context, per character. Names and
-repeated strings compress to little; random strings do not.
+characters or more, of any length) in a sensitive context is compressed with
+the text around it, by a zstandard compressor primed with a dictionary of the
+corpus' most frequent identifiers and words. Its novelty is the marginal cost:
+compressed bytes of context and candidate less those of the context, per
+character. Names and repeated strings compress to little; random strings do
+not. A long candidate is compressed in even pieces of at most ``PIECE``
+characters, and reported whole if one of them is novel.
+
+The context is sensitive if a word such as key, token or password stands
+shortly before the candidate in its line, or in the header of the block it
+opens, or if the line before ends in a candidate in sensitive context. The last
+line of a block is a candidate whatever its length; it counts with the line
+before, as it is too short to be measured.
 
 The dictionary holds up to ``DICTIONARY_WORDS`` most frequent words of four to 40
 characters over all documents (a documented bound of the model; counts cover
@@ -39,9 +46,14 @@ ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ of 32 characters or more
 KINDS = ("assign", "access", "hex", "novel")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"(?i)(?:key|token|secret|passw|pwd|auth|credential|bearer|private|signature)[^\n]{0,40}$", re.ASCII)
-DICTIONARY_WORDS, AROUND, LEVEL = 4096, 200, 3
+#: The header of a block, with lines of fields, right before its first line; HEADER is how far it is looked for.
+BLOCK = re.compile(r"(?i)-----BEGIN [^\n]*(?:key|token|secret|passw|pwd|auth|credential|bearer|private|signature)[^\n]*\n(?:[A-Za-z-]+:[^\n]*\n|[\x20\t]+[^\x20\t\n][^\n]*\n)*\s*$", re.ASCII)
+#: What stands between two lines of one secret: a line end, also an escaped one, quotes, joining signs and indentation.
+NEXT_LINE = re.compile(r"[\"',;+.\x20\t]*(?:\\?\r?\n[\"'+#*>|\x20\t]*|\\)", re.ASCII)
+LAST_LINE = re.compile(r"\s*\n[\x20\t]*([A-Za-z0-9+/_=]{1,15})(?=\s*\n[\x20\t]*(?:=[A-Za-z0-9+/]{4}\s*\n[\x20\t]*)?-----END )", re.ASCII)
+DICTIONARY_WORDS, AROUND, LEVEL, PIECE, HEADER = 4096, 200, 3, 512, 600
 #: Marginal compressed bytes per character from which a candidate is reported: hex costs 0.5, base64 0.75.
 NOVELTY = 0.45
 
@@ -74,6 +86,12 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
+        """The most novel of the pieces of a span."""
+        n = -(-(end - start) // PIECE)
+        cuts = [start + (end - start) * k // n for k in range(n + 1)]
+        return max(self._piece(text, s, e) for s, e in zip(cuts, cuts[1:], strict=False))
+
+    def _piece(self, text: str, start: int, end: int) -> float:
         before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
         context = len(self.compressor.compress((before + after).encode("utf-8", "replace")))
         whole = len(self.compressor.compress((before + text[start:end] + after).encode("utf-8", "replace")))
@@ -83,15 +101,39 @@ class Novelty:
 def novel_spans(text: str, taken: list[Span], novelty: Novelty) -> list[Span]:
     """Spans of the method beside the base spans."""
     found = []
+    taken = sorted(taken, key=lambda x: x[1])
+    at, last, carried = 0, -1, False  # first base span that can meet a candidate; end of the candidate before, and whether its context is sensitive
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
-        if any(s < hi and lo < e for _, lo, hi in taken) or not _mixed(m[0]):
+        carried = carried and NEXT_LINE.fullmatch(text, last, s) is not None
+        context = carried or SENSITIVE.search(text, max(0, s - 60), s) is not None or BLOCK.search(text, max(0, s - HEADER), s) is not None
+        while at < len(taken) and taken[at][2] <= s and taken[at][1] < s:
+            at += 1
+        met = []
+        for kind, lo, hi in taken[at:]:
+            if lo >= e:
+                break
+            met += [(lo, hi, kind)] if s < hi else []
+        last, carried = e, context or any(k != "hex" for _, _, k in met)
+        if not context:
             continue
-        if SENSITIVE.search(text, max(0, s - 60), s) and novelty(text, s, e) >= NOVELTY:
-            found.append(("novel", s, e))
+        for lo, hi in _beside(s, e, met):
+            if hi - lo >= 16 and _mixed(text[lo:hi]) and novelty(text, lo, hi) >= NOVELTY:
+                found.append(("novel", lo, hi))
+        if found and found[-1][2] == e and (tail := LAST_LINE.match(text, e)) and not any(lo < tail.end(1) and tail.start(1) < hi for _, lo, hi in taken[at:]):
+            found.append(("novel", *tail.span(1)))
     return found
 
 
+def _beside(start: int, end: int, met: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a span that no base span covers."""
+    out = []
+    for lo, hi, _ in met:
+        out.append((start, lo))
+        start = max(start, hi)
+    return [x for x in [*out, (start, end)] if x[0] < x[1]]
+
+
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2])))
 

@@ -53,3 +53,36 @@ def test_query_columns_and_odd_rows(spark):
     assert got[4]["spans"] == "assign:250000:250015"
     assert got[5]["spans"] == f"assign:2:{8 + len(KEY)}"
     assert s.scan(docs.limit(0), s.frequent_words(docs.limit(0))).count() == 0
+
+
+def _base64(n):
+    return "".join(RNG.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+
+
+def test_long_secrets_are_one_span():
+    novelty = s.Novelty(["connection"])
+    for n in (500, 513, 1600, 9000):
+        text = f"private: {_base64(n)} end"
+        assert s.novel_spans(text, [], novelty) == [("novel", 9, 9 + n)]
+    text = f"private: {_base64(300)}{'ab12' * 400} end"  # the secret part makes the whole a secret
+    assert s.novel_spans(text, [], novelty) == [("novel", 9, 1909)]
+    assert s.novel_spans(f"private: {'ab12' * 400} end", [], novelty) == []
+    key = _base64(700)
+    text = f"private: {key}{'0f' * 20}G{key[::-1]}"
+    base = s.base_spans(text)
+    assert [k for k, _, _ in base] == ["hex"]
+    assert s.novel_spans(text, base, novelty)[0][1] == 9 and s.novel_spans(text, base, novelty)[-1][2] == len(text)
+
+
+def test_context_goes_on_over_lines_of_a_block():
+    novelty = s.Novelty(["connection"])
+    lines = [_base64(64) for _ in range(6)] + ["aB3+d9=="]
+    for head in ("-----BEGIN RSA PRIVATE KEY-----\n", "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n", "private key: "):
+        text = head + "\n".join(lines) + "\n-----END RSA PRIVATE KEY-----\n"
+        assert [text[a:b] for _, a, b in s.novel_spans(text, [], novelty)] == lines
+    text = "private key:\t'" + "' +\n    '".join(lines[:6]) + "'\nend of it"
+    assert [text[a:b] for _, a, b in s.novel_spans(text, [], novelty)] == lines[:6]
+    text = f"private key: {lines[0]}\nand some words, {lines[1]}"
+    assert [text[a:b] for _, a, b in s.novel_spans(text, [], novelty)] == lines[:1]
+    text = f"token={lines[0]}\n{lines[1]}\n"
+    assert [text[a:b] for _, a, b in s.novel_spans(text, s.base_spans(text), novelty)] == lines[1:2]
