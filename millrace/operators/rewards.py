@@ -86,6 +86,28 @@ def point_in_box(points: Column, box: Column) -> Column:
     return F.when(at > 0, 1.0 / at).otherwise(0.0)
 
 
+def collinear(points: Column) -> Column:
+    """Whether three of the points lie on one line, by cross products equal within one in 10^9."""
+    n = F.size(points)
+
+    def on_line(i, j, k):
+        p, q, r = F.get(points, i), F.get(points, j), F.get(points, k)
+        a, b = (q["y"] - p["y"]) * (r["x"] - p["x"]), (r["y"] - p["y"]) * (q["x"] - p["x"])
+        return F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.abs(b))
+
+    later = lambda i: F.filter(F.sequence(F.lit(0), n - 1), lambda j: j > i)
+    triple = F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.exists(later(i), lambda j: F.exists(later(j), lambda k: on_line(i, j, k))))
+    return F.when(n >= 3, triple).otherwise(False)
+
+
+def point_accuracy(points: Column, box: Column) -> Column:
+    """1 / sqrt(n * rank) of the first of n points inside [x1, y1, x2, y2]; -1 / n if none is; -1 without points or with three on one line."""
+    inside = F.transform(points, lambda p: (p["x"] >= box[0]) & (p["x"] <= box[2]) & (p["y"] >= box[1]) & (p["y"] <= box[3]))
+    n, at = F.size(points), F.array_position(inside, True)
+    invalid = points.isNull() | (n <= 0) | collinear(points)
+    return F.when(invalid, -1.0).when(at > 0, 1.0 / F.sqrt(n * at)).otherwise(-1.0 / n)
+
+
 def component_faults(rows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
     """Rows whose total is not base plus bonus, or not finite."""
     odd = F.abs(F.col("total") - F.col("base") - F.col("bonus")) > tolerance

@@ -196,3 +196,22 @@ def test_rank_balance_takes_every_batch(spark):
     for r in got:
         sizes.setdefault(r["batch"], []).append(r["count"])
     assert len(sizes) == 235 and all(len(x) == 8 and len(set(x)) == 1 for x in sizes.values())
+
+
+def test_point_accuracy_against_the_literal_rule(spark):
+    from itertools import combinations
+
+    rng = random.Random(3)
+    cases = [None, [], [(1.0, 1.0)], [(9.0, 9.0)], [(0.1, 0.3), (0.2, 0.6), (0.3, 0.9)], [(9.0, 0.0), (9.0, 1.0), (9.0, 7.0)], [(9.0, 9.0), (1.0, 2.0), (3.0, 1.0), (8.0, 1.5)]]
+    cases += [[(float(rng.randrange(12)), float(rng.randrange(12))) for _ in range(rng.randrange(1, 6))] for _ in range(60)]
+
+    def want(ps):
+        if not ps or any(math.isclose((b[1] - a[1]) * (c[0] - a[0]), (c[1] - a[1]) * (b[0] - a[0])) for a, b, c in combinations(ps, 3)):
+            return -1.0
+        at = [k for k, (x, y) in enumerate(ps, 1) if 0 <= x <= 4 and 0 <= y <= 4]
+        return 1 / math.sqrt(len(ps) * at[0]) if at else -1 / len(ps)
+
+    df = spark.createDataFrame(list(enumerate(cases)), "i int, p array<struct<x:double,y:double>>")
+    got = {r["i"]: r["s"] for r in df.select("i", R.point_accuracy(F.col("p"), F.array(*map(F.lit, (0.0, 0.0, 4.0, 4.0)))).alias("s")).collect()}
+    assert got == {i: pytest.approx(want(c)) for i, c in enumerate(cases)}
+    assert len({round(x, 6) for x in got.values()}) > 6
