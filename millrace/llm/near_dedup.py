@@ -8,9 +8,11 @@ only, one token position (with chance 1/4 a second, so that about 1/0.8
 branches leave it), and documents go to the child named by their token there.
 Nodes of one document end; nodes of up to ``SMALL`` are leaves; larger ones
 branch on, to depth ``DEPTH``. A pair of similarity 0.8 stays together in one
-tree with chance 0.52 to depth 5 and 0.44 to depth 7, so in 16 trees it is
-missed with chance 7e-6 to 9e-5; only nodes of very similar documents are
-still large at depth 7, and those are compared as well. Nodes above depth 5
+tree with chance 0.52 to depth 5 and 0.44 to depth 7. All 16 trees draw from
+the same ``SIGNATURE`` positions, so over the number of equal positions it is
+missed by all with chance 2.8e-4 to 2.0e-3, unless other members join the two;
+only nodes of very similar documents are still large at depth 7, and those are
+compared as well. Nodes above depth 5
 are not listed: unrelated documents would fill them.
 
 A pair is weighed on its signatures first: fewer than ``LEAST_EQUAL`` equal
