@@ -7,7 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -46,6 +46,12 @@ class Scratch:
         out._scratch = path
         return out
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The written table and its number of rows, counted while it is written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return out, seen.get["n"]
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that nothing lazy reads any more."""
         self._remove(df._scratch)

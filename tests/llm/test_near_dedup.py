@@ -92,3 +92,57 @@ def test_no_pair_at_the_threshold_is_missed(spark):
         docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words[:-5] + [f"z{rng.random()}" for _ in range(5)]))]
     got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=1)
     assert got.agg(F.sum((~F.col("kept")).cast("int"))).first()[0] == 150
+
+
+def test_components_of_many_tasks_equal_union_find(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(4000), rng.randrange(4000)) for _ in range(2600)] + [(k, k + 1) for k in range(5000, 5400)] + [(9000, k) for k in range(6000, 6300)]
+    up = {i: i for e in edges for i in e}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in edges:
+        hi, lo = sorted((root(a), root(b)), reverse=True)
+        up[hi] = lo
+    df = spark.createDataFrame(edges, "a long, b long").repartition(13)
+    got = {r["id"]: r["component"] for r in nd.components(df, nd.Scratch(spark, "test")).collect()}
+    assert got == {i: root(i) for i in up if root(i) != i}
+    assert nd.components(df.limit(0), nd.Scratch(spark, "test")).count() == 0
+
+
+def test_recall_at_five_words(spark):
+    """Pairs near the threshold, each alone in the corpus, so that no third document can join them."""
+    rng = random.Random(12)
+    docs = []
+    for g in range(400):
+        words = [f"g{g}w{i}" for i in range(104)]
+        near = list(words)
+        for k in rng.sample(range(0, 100, 10), rng.choice([1, 2])):
+            near[k + rng.randrange(3)] = f"x{rng.random()}"
+        docs += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(near))]
+    got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=5).collect()
+    found = {(r["doc_id"], r["component_id"]) for r in got if not r["kept"]}
+    want = {(i, c) for i, _, c, kept in _brute(docs, 5) if not kept}
+    assert not found - want and len(found) >= 0.99 * len(want) > 300
+
+
+def test_crowds_that_do_not_link_branch_on(spark, monkeypatch):
+    """Documents that share two thirds of their words fill large nodes without being linked; a pair among them is found."""
+    monkeypatch.setattr(nd, "CROWD", 8)
+    monkeypatch.setattr(nd, "SMALL", 3)
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(140)]
+    docs = [(i, " ".join(shared + [f"u{i}x{k}" for k in range(40)])) for i in range(120)]
+    docs += [(500 + i, t + f" more{i}") for i, t in docs[:30]]
+    rng.shuffle(docs)
+    got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=1).collect()
+    assert sorted(map(tuple, got)) == _brute(docs, 1)
+
+
+def test_trees_follow_the_target_recall():
+    assert nd.trees_for(80, 0.9) < nd.trees_for(80, 0.99) < nd.trees_for(80, 0.999)
+    assert nd.trees_for(90, 0.99) < nd.trees_for(80, 0.99)
+    assert nd.least_equal(80) < nd.least_equal(90) < 64
