@@ -6,12 +6,13 @@ Built-in expressions throughout; Python is used only where no built-in exists
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, StringType
 
 
 def _null_if_empty(x: Column) -> Column:
@@ -21,55 +22,81 @@ def _null_if_empty(x: Column) -> Column:
 # --- answers -----------------------------------------------------------------
 
 
+# Fixed value: white space as Unicode text functions see it (also the four separators below the space).
+_SPACES = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def strip(text: Column) -> Column:
+    """text without white space at its ends, line ends included."""
+    return F.regexp_replace(F.regexp_replace(text, f"^[{_SPACES}]+", ""), f"(?<![{_SPACES}])[{_SPACES}]+\\z", "")
+
+
+def between(text: Column, start: str, end: str) -> Column:
+    """What stands between the first start and the first end behind it; null if one is missing. Linear in the text, whatever it repeats."""
+    at = F.position(F.lit(start), text)
+    upto = F.position(F.lit(end), text, at + len(start))
+    return F.when((at > 0) & (upto > 0), F.substr(text, at + len(start), upto - at - len(start)))
+
+
 def tagged_letter(text: Column, letters: str = "ABCD") -> Column:
     """The letter in the first <answer> tag that holds one alone, in either case; null if there is none."""
-    return _null_if_empty(F.upper(F.regexp_extract(text, rf"(?i)<answer>\s*([{letters}])\s*</answer>", 1)))
+    return _null_if_empty(F.upper(F.regexp_extract(text, rf"(?i)<answer>[{_SPACES}]*+([{letters}])[{_SPACES}]*+</answer>", 1)))
+
+
+def _after_final(text: Column) -> Column:
+    """A or B right after the first "Final Answer:"; empty if something else stands there."""
+    at = F.position(F.lit("Final Answer:"), text)
+    return F.when(at > 0, F.regexp_extract(F.substr(text, at + 13), f"^[{_SPACES}]*([AB])", 1)).otherwise("")
 
 
 def judge_letter(text: Column) -> Column:
     """First <answer> tag exactly A or B, else the first character after "Final Answer:"."""
-    tag = F.trim(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1))
-    final = F.regexp_extract(text, r"Final Answer:\s*([AB])", 1)
-    return F.when(tag.isin("A", "B"), tag).otherwise(_null_if_empty(final))
+    tag = strip(between(text, "<answer>", "</answer>"))
+    return F.when(tag.isin("A", "B"), tag).otherwise(_null_if_empty(_after_final(text)))
+
+
+# A letter alone near the end, and the phrases that announce one.
+_ALONE = rf"(?:^|[{_SPACES}.:,;!?])(A|B)(?:[{_SPACES}.:,;!?]|$)"
+_PHRASE = rf"(?i)(?:answer[{_SPACES}]+is|choose|选择|选)[{_SPACES}]*+:?[{_SPACES}]*+(A|B)"
 
 
 def answer_with_confidence(text: Column) -> Column:
     """struct<answer, confidence, method> by a cascade from the tag to the last A or B of the text."""
-    tag = F.trim(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1))
-    final = F.regexp_extract(text, r"(?s)^.*?Final Answer:\s*(\S)", 1)
+    tag = strip(between(text, "<answer>", "</answer>"))
     tail = F.when(F.char_length(text) > 100, F.right(text, F.lit(100))).otherwise(text)
-    alone = F.regexp_extract(tail, r"(?:^|[\s.:,;!?])(A|B)(?:[\s.:,;!?]|$)", 1)
-    phrase = F.upper(F.regexp_extract(text, r"(?i)(?:answer\s+is|choose)\s*[:\s]?\s*(A|B)", 1))
-    last = F.regexp_extract(text, r"(?s).*([AB])", 1)
-
-    def got(answer: Column, confidence: float, method: str) -> Column:
-        return F.struct(answer.alias("answer"), F.lit(confidence).alias("confidence"), F.lit(method).alias("method"))
-
-    return (
-        F.when(tag.isin("A", "B"), got(tag, 1.0, "answer_tag"))
-        .when(final.isin("A", "B"), got(final, 0.8, "final_answer"))
-        .when(alone != "", got(alone, 0.6, "tail_standalone"))
-        .when(phrase != "", got(phrase, 0.5, "pattern_match"))
-        .when(last != "", got(last, 0.3, "last_occurrence"))
-        .otherwise(got(F.lit(None).cast("string"), 0.0, "not_found"))
+    steps = (
+        ("answer_tag", 1.0, F.when(tag.isin("A", "B"), tag)),
+        ("final_answer", 0.8, _after_final(text)),
+        ("tail_standalone", 0.6, F.regexp_extract(tail, _ALONE, 1)),
+        ("pattern_match", 0.5, F.upper(F.regexp_extract(text, _PHRASE, 1))),
+        ("last_occurrence", 0.3, F.regexp_extract(text, r"(?s)^.*([AB])", 1)),
     )
-
-
-def thinking(text: Column) -> Column:
-    """Text inside <thinking>, else <think>, stripped; null without either."""
-    out = F.lit(None).cast("string")
-    for tag in ("think", "thinking"):
-        pattern = rf"(?is)<{tag}>(.*?)</{tag}>"
-        out = F.when(text.rlike(pattern), F.trim(F.regexp_extract(text, pattern, 1))).otherwise(out)
-    return out
-
-
-def controlled_letter(text: Column, letters: str = "AB") -> Column:
-    """The letter of exactly one well-formed <answer> tag; null otherwise."""
+    # each step is computed once and only where the ones before gave nothing
+    found = F.coalesce(*[F.nullif(F.concat(answer, F.lit(str(k))), F.lit(str(k))) for k, (_, _, answer) in enumerate(steps)], F.lit(str(len(steps))))
+    at = F.right(found, F.lit(1)).cast("int")
+    confidence = F.array(*[F.lit(c) for _, c, _ in steps], F.lit(0.0))
+    method = F.array(*[F.lit(m) for m, _, _ in steps], F.lit("not_found"))
+    return F.struct(
+        F.when(F.char_length(found) == 2, F.left(found, F.lit(1))).alias("answer"), F.get(confidence, at).alias("confidence"), F.get(method, at).alias("method")
+    )
+
+
+def thinking(text: Column, tags: tuple[str, ...] = ("thinking", "think")) -> Column:
+    """Text inside the first of the tags that is there, stripped; null without any."""
+    return F.coalesce(*[strip(between(text, f"<{tag}>", f"</{tag}>")) for tag in tags])
+
+
+def controlled_letter(text: Column, letters: str = "AB", mode: str = "thinking") -> Column:
+    """The letter, in either case, of exactly one <answer> tag, or in mode direct of the whole text; null otherwise."""
+    if mode not in ("direct", "think", "thinking"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if mode == "direct":
+        body = F.upper(strip(text))
+        return F.when(body.isin(*letters), body)
     count = lambda p: F.size(F.regexp_extract_all(text, F.lit(p), F.lit(0)))
-    body = F.trim(F.regexp_extract(text, r"(?s)<answer>(.*?)</answer>", 1))
-    one = (count("<answer>") == 1) & (count("</answer>") == 1)
-    return F.when(one & body.rlike(rf"^[{letters}]$"), body)
+    one = (count(rf"(?i)<[{_SPACES}]*+answer[{_SPACES}]*+>") == 1) & (count(rf"(?i)<[{_SPACES}]*+/[{_SPACES}]*+answer[{_SPACES}]*+>") == 1)
+    body = F.upper(F.regexp_extract(text, rf"(?i)<answer>[{_SPACES}]*+([{letters}])[{_SPACES}]*+</answer>", 1))
+    return F.when(one & (body != ""), body)
 
 
 def final_marker(text: Column) -> Column:
@@ -99,7 +126,8 @@ def option_letter(label: Column) -> Column:
 def qa_normal(text: Column) -> Column:
     """Lower case without ASCII punctuation, articles and doubled spaces."""
     plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), r"\s+", " "))
+    bare = F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " ")
+    return F.trim(F.regexp_replace(bare, f"[{_SPACES}]+", " "))
 
 
 def exact_match(text: Column, golden: Column) -> Column:
@@ -113,7 +141,7 @@ def substring_match(text: Column, golden: Column) -> Column:
 
 def title_cleanup(text: Column) -> Column:
     """Strips, turns `` [title]`` to a stop, removes brackets and doubled spaces."""
-    return F.replace(F.regexp_replace(F.replace(F.trim(text), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
+    return F.replace(F.regexp_replace(F.replace(strip(text), F.lit(" [title]"), F.lit(". ")), r"(?d)\[[^\]\n]*+\]", ""), F.lit("  "), F.lit(" "))
 
 
 @F.pandas_udf(StringType())
@@ -146,19 +174,114 @@ def last_box(x: pd.Series) -> pd.Series:
     return x.map(balanced_box)
 
 
-# Rewrites of final answers, in this order.
+# Rewrites of final answers, in this order, and what is removed from them.
 _REWRITES = (("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), (r"\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}"))
+_REMOVED = (
+    "square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents",
+    "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}",
+    "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", r"\mathrm{th}", r"^\circ", r"^{\circ}", r"\;", r",\!", "{,}", '"', "\\dots",
+)
 
 
 def minerva_normal(answer: Column) -> Column:
-    """Text after the last equals sign with the rewrites, without units, and digits without commas."""
-    x = F.try_element_at(F.split(answer, "="), F.lit(-1))
-    for old, new in _REWRITES:
+    """Text after the last equals sign with the rewrites, without units and wrappers, shorthand fractions and roots in braces, digits without commas."""
+    x = F.substring_index(answer, "=", -1)
+    for old, new in (*_REWRITES, *((word, "") for word in _REMOVED)):
         x = F.replace(x, F.lit(old), F.lit(new))
-    x = F.regexp_replace(x, r"^.*?\$(.*?)\$.*$", r"\$$1\$")
-    x = F.regexp_replace(x, r"\\text\{(.*?)\}", "$1")
+    x = F.when(F.contains(x, F.lit("$")), F.regexp_replace(x, r"(?d)(.*?)\$(.*?)\$(.*)", r"\$$2\$")).otherwise(x)
+    for wrapper in ("text", "textbf", "overline"):
+        x = F.regexp_replace(x, rf"(?d)\\{wrapper}\{{(.*?)\}}", "$1")
+    x = F.regexp_replace(x, r"(?d)\\boxed\{(.*)\}", "$1")
+    x = F.regexp_replace(F.regexp_replace(x, r"(?d)frac([^{])(.)", r"frac{$1}{$2}"), r"sqrt([^{])", r"sqrt{$1}")
     x = F.replace(x, F.lit("$"), F.lit(""))
-    return F.when(F.replace(x, F.lit(","), F.lit("")).rlike(r"^\d+$"), F.replace(x, F.lit(","), F.lit(""))).otherwise(x)
+    plain = F.replace(x, F.lit(","), F.lit(""))
+    return strip(F.when(plain.rlike(r"^\d+\z"), plain).otherwise(x))
+
+
+# Rewrites of boxed answers, in this order.
+_BOX_REWRITES = (
+    ("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", ""),
+)
+
+
+def math_normal(answer: Column) -> Column:
+    """A boxed answer in one spelling: no units, braces around what follows \\sqrt and \\frac, plain fractions and 0.5 as \\frac.
+
+    Null where the rule has no result: units named twice, or a root or fraction of nothing.
+    """
+    x = answer
+    for old, new in _BOX_REWRITES:
+        x = F.replace(x, F.lit(old), F.lit(new))
+    units = F.size(F.split(x, r"\\text\{ ", -1)) - 1
+    x = F.when(units <= 1, F.substring_index(x, "\\text{ ", 1))
+    for old, new in (("\\\\%", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0.")):
+        x = F.replace(x, F.lit(old), F.lit(new))
+    x = F.regexp_replace(x, r"\A\.", "0.")
+    x = F.regexp_replace(x, r"(?s)\A[^=]{0,2}=([^=]*)\z", "$1")  # a name of up to two characters before the only equals sign
+    x = F.when(~x.rlike(r"\\sqrt(?:\\sqrt|\z)"), F.regexp_replace(x, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}"))
+    x = F.replace(x, F.lit(" "), F.lit(""))
+    short = F.regexp_extract(x, r"(?s)\\frac([^{]?)(?=\\frac|\z)", 0)  # the first fraction that lacks its second part
+    whole = F.regexp_replace(F.regexp_replace(x, r"(?s)\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"(?s)\\frac([^{])\{", r"\\frac{$1}{")
+    x = F.when(short == "", whole).when(short != "\\frac", x)
+    x = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
+    return F.regexp_replace(x, r"\A(0|-?[1-9]\d*)/(0|-?[1-9]\d*)\z", r"\\frac{$1}{$2}")
+
+
+def math_equal(answer: Column, truth: Column) -> Column:
+    """Whether two boxed answers have one spelling; where one has none, whether they are the same text. Two nulls are equal."""
+    x, y = math_normal(answer), math_normal(truth)
+    spelled = F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(answer.eqNullSafe(truth))
+    return spelled & (answer.isNull() == truth.isNull())
+
+
+# How a prompt states its options.
+_CUE = re.compile(r"\b(?:answer|reply|respond|choose|select|single\s+letter)\b|\bX\s+is\b", re.IGNORECASE)
+_NO_MORE = r"(?!\s*(?:(?:,\s*)?(?:or|and)\s+|[,/|]\s*)[A-Z]\b)"
+_LISTS = {
+    2: re.compile(rf"\bA\s+or\s+B\b{_NO_MORE}", re.IGNORECASE),
+    4: re.compile(rf"\bA(?:\s+or\s+B\s*,?\s*or\s+C\s+or\s+D|\s*,\s*B\s*,\s*C\s*,?\s*(?:or|and)\s*D)\b{_NO_MORE}", re.IGNORECASE),
+}
+_OPTION = re.compile(r"[^\S\n]*(?:option\s+)?([A-Z])\s*[\).:\]]", re.IGNORECASE)
+_CUE_REACH = 120
+
+
+def options_of(messages: list[str]) -> int | None:
+    """2 or 4, as the prompt says it has; None if it says neither, both, or names options beyond D.
+
+    An instruction counts if a list of the letters follows a cue within 120 characters and is not itself an option; a
+    paragraph of lines labelled A to D counts as four. Of a comparison of two answers only what precedes the query is read.
+    """
+    texts = []
+    for text in messages:
+        parts = [re.search(rf"###\s*{name}\s*:", text, re.IGNORECASE) for name in (r"A\s+Answer", r"B\s+Answer", "Query")]
+        cut = len(text)
+        if parts[0] and parts[1]:
+            cut = parts[2].start() if parts[2] else min(parts[0].start(), parts[1].start())
+        texts.append(text[:cut])
+    text = "\n".join(texts)
+    said = set()
+    for n, listed in _LISTS.items():
+        for at in (m.start() for m in listed.finditer(text)):
+            line = max((end + len(mark) for mark in ("\n", r"\n") if (end := text.rfind(mark, 0, at)) >= 0), default=0)
+            label = _OPTION.match(text[line:at])
+            option = label is not None and label.group(1).upper() in "ABCD"
+            if not option and _CUE.search(text[max(0, at - _CUE_REACH) : at]):
+                said.add(n)
+                break
+    for paragraph in re.split(r"\n\s*\n", text):
+        labels = {m.group(1) for m in map(_OPTION.match, paragraph.split("\n")) if m}
+        if {*"ABCD"} <= labels:
+            if labels - {*"ABCD"}:
+                return None
+            said.add(4)
+            break
+    return said.pop() if len(said) == 1 else None
+
+
+@F.pandas_udf(IntegerType())
+def n_options(messages: pd.Series) -> pd.Series:
+    """options_of for arrays of message texts; null for no messages."""
+    return pd.Series([None if m is None or not len(m) else options_of([t or "" for t in m]) for m in messages], dtype="Int32")
 
 
 def canonical_json(**columns: Column) -> Column:

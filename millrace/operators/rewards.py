@@ -151,9 +151,16 @@ def number_scorer(response: Column, golden: Column) -> Column:
     return F.coalesce((T.last_number(response) == golden).cast("double"), F.lit(0.0))
 
 
+def math_score(response: Column, golden: Column) -> Column:
+    """1 where the last boxed answer and golden have one spelling; 0 otherwise or without a box."""
+    box = T.last_box(response)
+    return F.when(box.isNotNull() & T.math_equal(box, golden), 1.0).otherwise(0.0)
+
+
 register("numbers", number_scorer)
 register("search", search_score)
 register("boxed", boxed_score)
+register("math", math_score)
 
 
 def at_last_token(score: Column, mask: Column) -> Column:

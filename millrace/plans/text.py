@@ -11,19 +11,31 @@ from millrace.sources.tables import EVAL, TRAJ, evaluations, r6, s6, table, traj
 
 QUERIES, SQL = {}, {}
 
-_WRAP = """r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'A' END AS golden, CASE doc_id % 7
-WHEN 0 THEN '<think>' || text || '</think><answer> A </answer>' WHEN 1 THEN text || ' Final Answer:  B' WHEN 2 THEN text || ' so B.' WHEN 3 THEN 'the answer is ' || chr(97 + CAST(doc_id % 2 AS INT)) || lower(text)
-WHEN 4 THEN '<thinking>' || text || text || '</thinking><answer>b</answer>' WHEN 5 THEN lower(text) || ' Final Answer: C' ELSE '<answer>A</answer><answer>B</answer> Final Answer: B' END AS response FROM documents)"""
+_WRAP = """r AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'B' ELSE 'A' END AS golden, CASE doc_id % 12
+WHEN 0 THEN '<think>' || text || '</think><answer> A </answer>'
+WHEN 1 THEN text || ' Final Answer:  B'
+WHEN 2 THEN text || ' so B.'
+WHEN 3 THEN 'the answer is ' || chr(97 + CAST(doc_id % 2 AS INT)) || lower(text)
+WHEN 4 THEN '<thinking>' || text || text || '</thinking><answer>b</answer>'
+WHEN 5 THEN lower(text) || ' Final Answer: C'
+WHEN 6 THEN '<answer>A</answer><answer>B</answer> Final Answer: B'
+WHEN 7 THEN '<think>' || chr(10) || text || chr(9) || chr(10) || '</think><answer>' || chr(10) || 'A' || chr(9) || '</answer>'
+WHEN 8 THEN lower(text) || '选择 : b' || repeat('z', 120)
+WHEN 9 THEN '< Answer ></ ANSWER >' || lower(text)
+WHEN 10 THEN chr(10) || ' b' || chr(160) || chr(13) || chr(10)
+ELSE 'Final Answer:' || chr(10) || chr(9) || 'A' || text || '<Answer>' || chr(10) || 'b </ANSWER>' END AS response FROM documents)"""
 
 
 def _responses(s, d):
-    t, k = F.col("text"), F.col("doc_id") % 7
-    cat = F.concat
-    response = (
-        F.when(k == 0, cat(F.lit("<think>"), t, F.lit("</think><answer> A </answer>"))).when(k == 1, cat(t, F.lit(" Final Answer:  B"))).when(k == 2, cat(t, F.lit(" so B.")))
-        .when(k == 3, cat(F.lit("the answer is "), F.char(97 + F.col("doc_id") % 2), F.lower(t))).when(k == 4, cat(F.lit("<thinking>"), t, t, F.lit("</thinking><answer>b</answer>")))
-        .when(k == 5, cat(F.lower(t), F.lit(" Final Answer: C"))).otherwise("<answer>A</answer><answer>B</answer> Final Answer: B")
+    t, lit = F.col("text"), F.lit
+    shapes = (
+        (lit("<think>"), t, lit("</think><answer> A </answer>")), (t, lit(" Final Answer:  B")), (t, lit(" so B.")),
+        (lit("the answer is "), F.char(97 + F.col("doc_id") % 2), F.lower(t)), (lit("<thinking>"), t, t, lit("</thinking><answer>b</answer>")),
+        (F.lower(t), lit(" Final Answer: C")), (lit("<answer>A</answer><answer>B</answer> Final Answer: B"),),
+        (lit("<think>\n"), t, lit("\t\n</think><answer>\nA\t</answer>")), (F.lower(t), lit("选择 : b" + "z" * 120)), (lit("< Answer ></ ANSWER >"), F.lower(t)),
+        (lit("\n b\xa0\r\n"),), (lit("Final Answer:\n\tA"), t, lit("<Answer>\nb </ANSWER>")),
     )
+    response = F.coalesce(*[F.when(F.col("doc_id") % len(shapes) == k, F.concat(*parts)) for k, parts in enumerate(shapes)])
     return table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "B").otherwise("A").alias("golden"), response.alias("response"))
 
 
@@ -32,29 +44,46 @@ def _text(name, column, sql):
     SQL[name] = f"WITH {_WRAP} SELECT doc_id, {sql} AS x FROM r"
 
 
-_text("str_tagged_letter", T.tagged_letter, r"nullif(upper(regexp_extract(response, '(?i)<answer>\s*([ABCD])\s*</answer>', 1)), '')")
-_TAG = r"trim(regexp_extract(response, '(?s)<answer>(.*?)</answer>', 1), ' ')"
-_text("str_judge_letter", T.judge_letter, rf"CASE WHEN {_TAG} IN ('A', 'B') THEN {_TAG} ELSE nullif(regexp_extract(response, 'Final Answer:\s*([AB])', 1), '') END")
-_text("str_thinking_md5", lambda c: F.md5(T.thinking(c)), r"""md5(CASE WHEN regexp_matches(response, '(?is)<thinking>(.*?)</thinking>') THEN trim(regexp_extract(response, '(?is)<thinking>(.*?)</thinking>', 1), ' ')
-WHEN regexp_matches(response, '(?is)<think>(.*?)</think>') THEN trim(regexp_extract(response, '(?is)<think>(.*?)</think>', 1), ' ') END)""")
-_text("str_controlled_letter", T.controlled_letter, rf"CASE WHEN len(regexp_extract_all(response, '<answer>')) = 1 AND len(regexp_extract_all(response, '</answer>')) = 1 AND regexp_matches({_TAG}, '^[AB]$') THEN {_TAG} END")
+_SP = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
+def _strip(x):
+    return f"regexp_replace({x}, '^[{_SP}]+|[{_SP}]+$', '', 'g')"
+
+
+def _inside(tag):
+    """What the first <tag> holds, by positions."""
+    rest = f"substr(response, strpos(response, '<{tag}>') + {len(tag) + 2})"
+    return f"CASE WHEN strpos(response, '<{tag}>') > 0 AND strpos({rest}, '</{tag}>') > 0 THEN {_strip(f"left({rest}, strpos({rest}, '</{tag}>') - 1)")} END"
+
+
+_TAG = _inside("answer")
+_FIN = f"CASE WHEN strpos(response, 'Final Answer:') > 0 THEN left({_strip("substr(response, strpos(response, 'Final Answer:') + 13)")}, 1) END"
+_THINK = f"coalesce({_inside('thinking')}, {_inside('think')})"
+_ONE = rf"""len(regexp_extract_all(lower(response), '<[{_SP}]*answer[{_SP}]*>')) = 1 AND len(regexp_extract_all(lower(response), '</[{_SP}]*answer[{_SP}]*>')) = 1
+AND strpos(lower(response), '<answer>') > 0 AND strpos(lower(response), '</answer>') > strpos(lower(response), '<answer>')"""
+_BODY = f"upper({_strip("split_part(split_part(lower(response), '<answer>', 2), '</answer>', 1)")})"
+_text("str_tagged_letter", T.tagged_letter, rf"nullif(upper(regexp_extract(response, '(?i)<answer>[{_SP}]*([ABCD])[{_SP}]*</answer>', 1)), '')")
+_text("str_judge_letter", T.judge_letter, f"CASE WHEN {_TAG} IN ('A', 'B') THEN {_TAG} WHEN {_FIN} IN ('A', 'B') THEN {_FIN} END")
+_text("str_thinking_md5", lambda c: F.md5(T.thinking(c)), f"md5({_THINK})")
+_text("str_controlled_letter", T.controlled_letter, f"CASE WHEN {_ONE} AND {_BODY} IN ('A', 'B') THEN {_BODY} END")
+_text("str_controlled_direct", lambda c: T.controlled_letter(c, mode="direct"), f"CASE WHEN upper({_strip('response')}) IN ('A', 'B') THEN upper({_strip('response')}) END")
 _text("str_final_marker", lambda c: F.concat_ws("|", T.final_marker(c)["status"], T.final_marker(c)["answer"]), r"""CASE len(list_distinct(regexp_extract_all(response, 'Final Answer: ([A-D])', 1))) WHEN 0 THEN 'invalid' WHEN 1 THEN
 CASE WHEN regexp_matches(response, 'Final Answer: [A-D]\s*$') THEN 'parsed|' || regexp_extract(response, 'Final Answer: ([A-D])', 1) ELSE 'invalid' END ELSE 'ambiguous' END""")
-_CASC = rf"""c AS (SELECT doc_id, golden, response, {_TAG} AS tag, regexp_extract(response, '(?s)^.*?Final Answer:\s*(\S)', 1) AS fin,
-regexp_extract(CASE WHEN length(response) > 100 THEN right(response, 100) ELSE response END, '(?:^|[\s.:,;!?])(A|B)(?:[\s.:,;!?]|$)', 1) AS alone,
-upper(regexp_extract(response, '(?i)(?:answer\s+is|choose)\s*[:\s]?\s*(A|B)', 1)) AS phrase, regexp_extract(response, '(?s).*([AB])', 1) AS last FROM r),
+_CASC = rf"""c AS (SELECT doc_id, golden, response, {_TAG} AS tag, {_FIN} AS fin,
+regexp_extract(CASE WHEN length(response) > 100 THEN right(response, 100) ELSE response END, '(?:^|[{_SP}.:,;!?])(A|B)(?:[{_SP}.:,;!?]|$)', 1) AS alone,
+upper(regexp_extract(response, '(?i)(?:answer[{_SP}]+is|choose|选择|选)[{_SP}]*[:{_SP}]?[{_SP}]*(A|B)', 1)) AS phrase, right(regexp_replace(response, '[^AB]', '', 'g'), 1) AS last FROM r),
 a AS (SELECT doc_id, golden, response, CASE WHEN tag IN ('A','B') THEN tag WHEN fin IN ('A','B') THEN fin WHEN alone <> '' THEN alone WHEN phrase <> '' THEN phrase WHEN last <> '' THEN last END AS answer,
 CASE WHEN tag IN ('A','B') THEN 1.0 WHEN fin IN ('A','B') THEN 0.8 WHEN alone <> '' THEN 0.6 WHEN phrase <> '' THEN 0.5 WHEN last <> '' THEN 0.3 ELSE 0.0 END AS confidence FROM c)"""
 QUERIES["str_answer_confidence"] = lambda s, d: _responses(s, d).select("doc_id", T.answer_with_confidence(F.col("response")).alias("x")).select("doc_id", "x.answer", "x.confidence")
 SQL["str_answer_confidence"] = f"WITH {_WRAP}, {_CASC} SELECT doc_id, answer, CAST(confidence AS DOUBLE) AS confidence FROM a"
-_THINK = "CASE WHEN regexp_matches(response, '(?is)<thinking>(.*?)</thinking>') THEN trim(regexp_extract(response, '(?is)<thinking>(.*?)</thinking>', 1), ' ') WHEN regexp_matches(response, '(?is)<think>(.*?)</think>') THEN trim(regexp_extract(response, '(?is)<think>(.*?)</think>', 1), ' ') END"
 QUERIES["rwd_judge"] = lambda s, d: R.judge_base(_responses(s, d)).select("doc_id", "answer", r6("base").alias("base"))
 SQL["rwd_judge"] = f"""WITH {_WRAP}, {_CASC}, n AS (SELECT *, length({_THINK}) AS n FROM a) SELECT doc_id, answer, {s6("CASE WHEN answer IS NOT DISTINCT FROM golden THEN 1.0 ELSE -1.0 END + CASE WHEN contains(response, '<answer>') AND contains(response, '</answer>') THEN 0.3 ELSE -0.3 END + CASE WHEN n < 500 THEN -0.1 WHEN n < 2000 THEN 0.1 WHEN n <= 3500 THEN 0.2 WHEN n <= 5000 THEN 0.1 ELSE -0.1 END")} AS base FROM n"""
 
 
-def _numbers(s, d):
+def _numbers(s, d, *more):
     t = F.concat_ws(" ", F.lit("cost"), F.format_number((F.col("l_extendedprice") * 10).cast("long"), 0), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("#### "), F.col("l_quantity").cast("long").cast("string"))))
-    return table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("id"), t.alias("response"), F.lit("7").alias("golden"))
+    return table(s, d, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(12,2)").cast("string")).alias("id"), t.alias("response"), F.lit("7").alias("golden"), *more)
 
 
 _NUM = """x AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR)) AS id,
@@ -63,16 +92,70 @@ QUERIES["str_last_number"] = lambda s, d: _numbers(s, d).select("id", T.last_num
 SQL["str_last_number"] = f"""WITH {_NUM} SELECT id, replace(regexp_extract_all(response, '#### (-?[0-9.,]+)', 1)[-1], ',', '') AS strict, replace(regexp_extract_all(response, '(-?[0-9.,]*[0-9][0-9.,]*)', 1)[-1], ',', '') AS loose FROM x"""
 QUERIES["rwd_number"] = lambda s, d: R.number_score(_numbers(s, d), True, 0.1).select("id", "score")
 SQL["rwd_number"] = f"""WITH {_NUM}, y AS (SELECT id, replace(regexp_extract_all(response, '#### (-?[0-9.,]+)', 1)[-1], ',', '') AS g FROM x) SELECT id, CAST(CASE WHEN g IS NULL THEN 0 WHEN g = '7' THEN 1 ELSE 0.1 END AS DOUBLE) AS score FROM y"""
-_QA = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'), ' ')"
-_EN = "WHERE strlen(text) = length(text)"
-QUERIES["str_qa_normal"] = lambda s, d: table(s, d, "documents").where(F.octet_length("text") == F.char_length("text")).select("doc_id", F.md5(T.qa_normal(F.col("text"))).alias("x"), T.exact_match(F.col("text"), F.array(F.lit("x"), F.concat(F.upper("text"), F.lit("!")))).alias("em"), T.substring_match(F.col("text"), F.array(F.lit("The Nd"))).alias("sub"))
-SQL["str_qa_normal"] = f"SELECT doc_id, md5({_QA}) AS x, 1 AS em, CAST(contains({_QA}, 'nd') AS INT) AS sub FROM documents {_EN}"
+_QA = r"regexp_replace(lower(text), '[!-/:-@\[-`{-~]', '', 'g')"
+for _ in range(2):  # neighbours share what stands between them
+    _QA = rf"regexp_replace({_QA}, '(^|[^\pL\pN_])(a|an|the)([^\pL\pN_]|$)', '\1 \3', 'g')"
+_QA = f"trim(regexp_replace({_QA}, '[{_SP}]+', ' ', 'g'), ' ')"
+QUERIES["str_qa_normal"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.qa_normal(F.col("text"))).alias("x"), T.exact_match(F.col("text"), F.array(F.lit("x"), F.concat(F.lit("The "), F.translate("text", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit("!")))).alias("em"), T.substring_match(F.col("text"), F.array(F.lit("The Nd"))).alias("sub"))
+SQL["str_qa_normal"] = f"SELECT doc_id, md5({_QA}) AS x, 1 AS em, CAST(contains({_QA}, 'nd') AS INT) AS sub FROM documents"
 QUERIES["str_title_cleanup"] = lambda s, d: table(s, d, "documents").select("doc_id", F.md5(T.title_cleanup(F.concat(F.col("text"), F.lit(" [title] x [y]  z ")))).alias("x"))
-SQL["str_title_cleanup"] = r"SELECT doc_id, md5(replace(regexp_replace(replace(trim(text || ' [title] x [y]  z ', ' '), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ')) AS x FROM documents"
+SQL["str_title_cleanup"] = r"SELECT doc_id, md5(replace(regexp_replace(replace(regexp_replace(text || ' [title] x [y]  z ', '^\s+|\s+$', '', 'g'), ' [title]', '. '), '\[.*?\]', '', 'g'), '  ', ' ')) AS x FROM documents"
 QUERIES["str_normal_v1"] = lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(T.normal_v1(F.concat(F.lit(" \n"), F.col("text"), F.lit("e\u0301\r\nx\r "))), 256).alias("x"))
 SQL["str_normal_v1"] = r"SELECT doc_id, sha256(regexp_replace(replace(replace(nfc_normalize(' ' || chr(10) || text || 'e' || chr(769) || chr(13) || chr(10) || 'x' || chr(13) || ' '), chr(13) || chr(10), chr(10)), chr(13), chr(10)), '^\s+|\s+$', '', 'g')) AS x FROM documents"
-QUERIES["str_minerva"] = lambda s, d: _numbers(s, d).select("id", T.minerva_normal(F.concat(F.lit("x = $"), F.regexp_extract("response", r"cost (\S+)", 1), F.lit("$ \\text{m}"))).alias("x"))
-SQL["str_minerva"] = f"""WITH {_NUM} SELECT id, replace(regexp_extract(response, 'cost (\\S+)', 1), ',', '') AS x FROM x"""
+_ANSWERS = (
+    "x = ${n}$ \\text{{m}}", "so a \\frac{d}2 cm", "\\sqrt{d} units of \\textbf{{{n}}}", "y = $\\overline{{{n}}}^\\circ$ points", "\\boxed{{{n}}} dollars", "{n}\\text{{ inches}} = {n}{{,}}{d}\\ldots ",
+    "\\dfrac{d}{{7}}", "k = {d}/7\\%", "\\left(.{d}, \\tfrac7{{8}}\\right)", "{d}\\text{{ m}} and \\text{{ s}}", "0.5", "a + b = \\sqrt{d}{{.5}}", "\\frac", "\\sqrt", " .5\\$",
+)
+
+
+def _answers(s, d):
+    n = F.format_number((F.col("l_extendedprice") * 10).cast("long"), 0)
+    digit = (F.col("l_linenumber") + 1).cast("string")
+    at = F.pmod(F.col("l_orderkey") + F.col("l_partkey"), F.lit(len(_ANSWERS)))
+    shape = F.get(F.array(*[F.lit(a.replace("{{", "{").replace("}}", "}").replace("{n}", "<n>").replace("{d}", "<d>")) for a in _ANSWERS]), at.cast("int"))
+    answer = F.replace(F.replace(shape, F.lit("<n>"), n), F.lit("<d>"), digit)
+    return _numbers(s, d, answer.alias("answer"))
+
+
+_ANSWER_SQL = f"""x AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR)) AS id,
+replace(replace(([{", ".join("'" + a.replace("{{", "{").replace("}}", "}").replace("{n}", "<n>").replace("{d}", "<d>") + "'" for a in _ANSWERS)}])[1 + (l_orderkey + l_partkey) % {len(_ANSWERS)}],
+'<n>', format('{{:,}}', CAST(trunc(l_extendedprice * 10) AS BIGINT))), '<d>', CAST(l_linenumber + 1 AS VARCHAR)) AS answer FROM lineitem)"""
+
+
+def _replaced(x, pairs):
+    for old, new in pairs:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
+QUERIES["str_minerva"] = lambda s, d: _answers(s, d).select("id", T.minerva_normal(F.col("answer")).alias("x"))
+SQL["str_minerva"] = rf"""WITH {_ANSWER_SQL},
+a AS (SELECT id, {_replaced("string_split(answer, '=')[-1]", [*T._REWRITES, *[(w, "") for w in T._REMOVED]])} AS x FROM x),
+b AS (SELECT id, regexp_replace(x, '(.*?)\$(.*?)\$(.*)', '$\2$', 'g') AS x FROM a),
+c AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(x, '\\text\{{(.*?)\}}', '\1', 'g'), '\\textbf\{{(.*?)\}}', '\1', 'g'), '\\overline\{{(.*?)\}}', '\1', 'g') AS x FROM b),
+e AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(x, '\\boxed\{{(.*)\}}', '\1', 'g'), 'frac([^{{])(.)', 'frac{{\1}}{{\2}}', 'g'), 'sqrt([^{{])', 'sqrt{{\1}}', 'g') AS x FROM c),
+f AS (SELECT id, replace(x, '$', '') AS x FROM e)
+SELECT id, {_strip("CASE WHEN regexp_full_match(replace(x, ',', ''), '[0-9]+') THEN replace(x, ',', '') ELSE x END")} AS x FROM f"""
+QUERIES["str_math"] = lambda s, d: _answers(s, d).select("id", T.math_normal(F.col("answer")).alias("x"), T.math_equal(F.col("answer"), F.concat(F.col("answer"), F.lit(" "))).alias("same"))
+_MATH = rf"""a AS (SELECT id, answer, {_replaced("answer", T._BOX_REWRITES)} AS x FROM x),
+b AS (SELECT id, answer, CASE WHEN len(string_split(x, '\text{{ ')) <= 2 THEN {_replaced(r"string_split(x, '\text{ ')[1]".replace("{", "{"), [("\\\\%", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0.")])} END AS x FROM a),
+c AS (SELECT id, answer, CASE WHEN starts_with(x, '.') THEN '0' || x ELSE x END AS x FROM b),
+e AS (SELECT id, answer, CASE WHEN len(string_split(x, '=')) = 2 AND length(string_split(x, '=')[1]) <= 2 THEN string_split(x, '=')[2] ELSE x END AS x FROM c),
+f AS (SELECT id, answer, replace(CASE WHEN list_contains(string_split(x, '\sqrt')[2:], '') THEN NULL ELSE regexp_replace(x, '\\sqrt([^{{])', '\\sqrt{{\1}}', 'g') END, ' ', '') AS x FROM e),
+g AS (SELECT id, answer, x, [p FOR p IN string_split(x, '\frac')[2:] IF p = '' OR (length(p) = 1 AND p <> '{{')][1] AS odd FROM f),
+h AS (SELECT id, answer, CASE WHEN odd = '' THEN NULL WHEN odd IS NOT NULL THEN x
+    ELSE regexp_replace(regexp_replace(x, '\\frac([^{{])([^{{])', '\\frac{{\1}}{{\2}}', 'g'), '\\frac([^{{])\{{', '\\frac{{\1}}{{', 'g') END AS x FROM g),
+i AS (SELECT id, answer, CASE WHEN x = '0.5' THEN '\frac{{1}}{{2}}' WHEN regexp_full_match(x, '(0|-?[1-9][0-9]*)/(0|-?[1-9][0-9]*)')
+    THEN '\frac{{' || split_part(x, '/', 1) || '}}{{' || split_part(x, '/', 2) || '}}' ELSE x END AS x FROM h)"""
+SQL["str_math"] = f"WITH {_ANSWER_SQL}, {_MATH} SELECT id, x, x IS NOT NULL AS same FROM i"
+_PROMPTS = (
+    ["Answer with the single letter A or B."], ["Reply A, B, C, or D.\nA) x\nB) y"], ["choose A or B or C"], ["Options\n\nA. one\nB. two\nC. three\nD. four"],
+    ["A: one\nB: two\nC: three\nD: four\nE: five"], ["You answer X", "X is A or B or C or D"], ["A) answer A or B"], ["### A Answer: answer A or B ### B Answer: c"],
+    ["answer A or B ### Query: answer A,B,C and D ### A Answer: x ### B Answer: y"], ["select A or B, then answer A, B, C or D"], [],
+)
+_OPTIONS = (2, 4, None, 4, None, 4, None, None, 2, None, None)  # by the rule
+QUERIES["str_n_options"] = lambda s, d: table(s, d, "orders").select("o_orderkey", T.n_options(F.coalesce(*[F.when(F.col("o_orderkey") % len(_PROMPTS) == k, F.array(*map(F.lit, p)) if p else F.array().cast("array<string>")) for k, p in enumerate(_PROMPTS)])).alias("n"))
+SQL["str_n_options"] = f"SELECT o_orderkey, CASE o_orderkey % {len(_PROMPTS)} {' '.join(f'WHEN {k} THEN {n}' for k, n in enumerate(_OPTIONS) if n)} END AS n FROM orders"
 QUERIES["str_canonical_option"] = lambda s, d: evaluations(s, d).select("row_index", M.canonical(F.col("prediction"), F.col("permutation")).alias("x"))
 SQL["str_canonical_option"] = f"WITH {EVAL} SELECT row_index, CASE WHEN prediction = '' THEN '' ELSE substr(permutation, ascii(prediction) - 64, 1) END AS x FROM eval"
 QUERIES["str_option_letter"] = lambda s, d: table(s, d, "lineitem").groupBy(T.option_letter(F.col("l_linenumber")).alias("letter")).agg(F.count(F.lit(1)).alias("n"))
@@ -103,8 +186,8 @@ v AS (SELECT question, k, answer, count(*) AS n, min(row_id) AS first FROM e WHE
 SELECT row_id, CAST(CASE WHEN mode IS NULL THEN 0 WHEN n >= 3 AND answer IS NOT DISTINCT FROM mode THEN 1 ELSE -1 END AS DOUBLE) AS bonus FROM e LEFT JOIN m USING (question, k)"""
 QUERIES["rwd_overlong"] = lambda s, d: trajectories(s, d).select("uid", "slot", r6(R.overlong(F.col("length"), 50, 13)).alias("penalty"))
 SQL["rwd_overlong"] = f"WITH {TRAJ} SELECT uid, slot, {s6('least(-(length - 37) / 13.0, 0)')} AS penalty FROM traj"
-QUERIES["rwd_preference"] = lambda s, d: R.preference(trajectories(s, d).where("uid < 500").select((F.col("uid") * 100 + F.col("slot")).alias("row_id"), "score")).select("row_id", "preferred")
-SQL["rwd_preference"] = f"WITH {TRAJ} SELECT uid * 100 + slot AS row_id, row_number() OVER (PARTITION BY (uid * 100 + slot) // 2 ORDER BY score DESC, slot) = 1 AS preferred FROM traj WHERE uid < 500"
+QUERIES["rwd_preference"] = lambda s, d: R.preference(trajectories(s, d).select((F.col("uid") * 100 + F.col("slot")).alias("row_id"), "score")).select("row_id", "preferred")
+SQL["rwd_preference"] = f"WITH {TRAJ} SELECT uid * 100 + slot AS row_id, row_number() OVER (PARTITION BY (uid * 100 + slot) // 2 ORDER BY score DESC, slot) = 1 AS preferred FROM traj"
 QUERIES["rwd_adaptive_kl"] = lambda s, d: R.adaptive_kl(table(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") / 97).alias("kl"), F.lit(8).alias("n")), 0.2, 0.6, 1000.0).select("run", "step", r6("value").alias("value"))
 SQL["rwd_adaptive_kl"] = f"""WITH e AS (SELECT user_id AS run, event_id AS step, 1 + greatest(least(value / 97 / 0.6 - 1, 0.2), -0.2) * 8 / 1000.0 AS f FROM events)
 SELECT run, step, {s6("0.2 * exp(sum(ln(f)) OVER (PARTITION BY run ORDER BY step))")} AS value FROM e"""
