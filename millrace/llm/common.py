@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -19,15 +18,32 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, the context's checkpoint folder
+    or one below the warehouse, which all of them read and write as well. Never a machine's own temporary folder."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if not held.isDefined():
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/millrace-checkpoints")
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+class Shielded:
+    """docs with its columns renamed, so that an operator can add columns of any name that does not begin with ``own_``."""
+
+    def __init__(self, docs: DataFrame):
+        self.columns = docs.columns
+        self.rows = docs.toDF(*[f"own_{k}" for k in range(len(docs.columns))])
+
+    def __getitem__(self, name: str) -> Column:
+        """A column of docs; of several that differ by case only, the one spelled so."""
+        return F.col(f"own_{self.columns.index(name)}")
+
+    def back(self, rows: DataFrame, **changed: Column) -> DataFrame:
+        """rows with the columns of docs only, under their names; some may be replaced."""
+        return rows.select(*[changed.get(c, F.col(f"own_{k}")).alias(c) for k, c in enumerate(self.columns)])
 
 
 class Scratch:
@@ -69,8 +85,9 @@ class Scratch:
 def most_frequent(counts: DataFrame, limit: int, scratch: Scratch) -> list:
     """Rows of counts (word, n) of largest n, at most limit of them, in order.
 
-    Counts fall in classes of one sixteenth of a doubling (a thousand at most); whole classes are taken from the top
-    while they fit. So tasks send no more than limit rows to the driver between them, however many tasks there are.
+    Order is by n, then by word. Counts fall in classes of one sixteenth of a doubling (a thousand at most); whole classes
+    are taken from the top while they fit, and of the next one as many words as still fit, in that order. So only the rows
+    of one class are ranked, and no task sends more than limit rows.
     """
     counts = scratch.write(counts.withColumn("class", F.floor(F.log2("n") * 16)))
     cut, held = None, 0
@@ -79,6 +96,10 @@ def most_frequent(counts: DataFrame, limit: int, scratch: Scratch) -> list:
             break
         held, cut = held + r["k"], r["class"]
     got = counts.where(F.col("class") >= cut).collect() if held else []
+    last = counts.where(F.lit(True) if cut is None else F.col("class") < cut)
+    top = last.agg(F.max("class")).first()[0] if held < limit else None
+    if top is not None:
+        got += last.where(F.col("class") == top).orderBy(F.desc("n"), "word").limit(limit - held).collect()
     scratch.drop(counts)
     return sorted(got, key=lambda r: (-r["n"], r["word"]))
 

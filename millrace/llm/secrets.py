@@ -109,22 +109,31 @@ def novel_spans(text: str, taken: list[Span], novelty: Novelty) -> list[Span]:
         context = carried or SENSITIVE.search(text, max(0, s - 60), s) is not None or BLOCK.search(text, max(0, s - HEADER), s) is not None
         while at < len(taken) and taken[at][2] <= s and taken[at][1] < s:
             at += 1
-        met = []
-        for kind, lo, hi in taken[at:]:
-            if lo >= e:
-                break
+        met, k = [], at
+        while k < len(taken) and taken[k][1] < e:
+            kind, lo, hi = taken[k]
             met += [(lo, hi, kind)] if s < hi else []
+            k += 1
         last, carried = e, context or any(k != "hex" for _, _, k in met)
         if not context:
             continue
         for lo, hi in _beside(s, e, met):
             if hi - lo >= 16 and _mixed(text[lo:hi]) and novelty(text, lo, hi) >= NOVELTY:
                 found.append(("novel", lo, hi))
-        if found and found[-1][2] == e and (tail := LAST_LINE.match(text, e)) and not any(lo < tail.end(1) and tail.start(1) < hi for _, lo, hi in taken[at:]):
+        if found and found[-1][2] == e and (tail := LAST_LINE.match(text, e)) and not _meets(taken, at, *tail.span(1)):
             found.append(("novel", *tail.span(1)))
     return found
 
 
+def _meets(taken: list[Span], at: int, start: int, end: int) -> bool:
+    """Whether a base span, from number ``at`` on, covers a part of start to end."""
+    while at < len(taken) and taken[at][1] < end:
+        if start < taken[at][2]:
+            return True
+        at += 1
+    return False
+
+
 def _beside(start: int, end: int, met: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """The parts of a span that no base span covers."""
     out = []
@@ -139,7 +148,7 @@ def joined(spans: list[Span]) -> str:
 
 
 def frequent_words(docs: DataFrame, n: int = DICTIONARY_WORDS) -> list[str]:
-    """About the n most frequent words of all documents (see ``most_frequent``), the most frequent first. Strings that could be candidates stay out, however often they are copied."""
+    """The n most frequent words of all documents (see ``most_frequent``), the most frequent first. Strings that could be candidates stay out, however often they are copied."""
     words = F.split(F.coalesce(F.col("text"), F.lit("")), r"[^A-Za-z0-9_]+")
     counts = docs.select(F.explode_outer(words).alias("word")).where(F.length("word").between(4, 40))
     like_a_secret = (F.length("word") >= 16) & F.col("word").rlike("[0-9].*[0-9]") & F.col("word").rlike("[A-Za-z].*[A-Za-z]")

@@ -1,7 +1,11 @@
 import hashlib
+import math
 import random
 import re
 import string
+import time
+
+import zstandard
 
 from millrace.llm import secrets as s
 
@@ -86,3 +90,63 @@ def test_context_goes_on_over_lines_of_a_block():
     assert [text[a:b] for _, a, b in s.novel_spans(text, [], novelty)] == lines[:1]
     text = f"token={lines[0]}\n{lines[1]}\n"
     assert [text[a:b] for _, a, b in s.novel_spans(text, s.base_spans(text), novelty)] == lines[1:2]
+
+
+def _naive_novel(text, words):
+    """The method read literally, over texts without blocks or lines that follow: candidates character by character, context by plain search."""
+    held = zstandard.ZstdCompressionDict(("\n".join(reversed(words)) or "\n").encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=s.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False).compress(x.encode()))
+    covered = {i for _, a, b in _plain(text) for i in range(a, b)}
+    found, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and (text[end].isascii() and text[end].isalnum() or text[end] in "+/_=-"):
+            end += 1
+        line = text[max(text.rfind("\n", 0, at) + 1, at - 60) : at].lower()
+        marks = ("key", "token", "secret", "passw", "pwd", "auth", "credential", "bearer", "private", "signature")
+        if end - at >= 16 and any(m in line and len(line) - line.rindex(m) - len(m) <= 40 for m in marks):
+            k = at
+            while k < end:  # parts that no base span covers
+                stop = k
+                while stop < end and stop not in covered:
+                    stop += 1
+                part = text[k:stop]
+                if len(part) >= 16 and sum(c.isdigit() for c in part) >= 2 and sum(c.isalpha() for c in part) >= 2:
+                    n = math.ceil(len(part) / s.PIECE)
+                    cuts = [k + len(part) * i // n for i in range(n + 1)]
+                    cost = lambda a, b: (size(text[max(0, a - s.AROUND) : a] + text[a:b] + text[b : b + s.AROUND]) - size(text[max(0, a - s.AROUND) : a] + text[b : b + s.AROUND])) / (b - a)
+                    if max(cost(a, b) for a, b in zip(cuts, cuts[1:])) >= s.NOVELTY:
+                        found.append(("novel", k, stop))
+                k = stop + 1
+        at = max(end, at + 1)
+    return found
+
+
+def test_method_against_a_naive_version():
+    rng, words = random.Random(21), ["connection", "public_key_identifier", "configuration_value"]
+    novelty = s.Novelty(words)
+    pieces = ["token", "auth ", "secret=", "key: ", " ", " the ", ". ", "\n words; ", "configuration_value", "0f" * 20, "password: abcdefgh9 ", "picture of ", "a1" * 12, "é"]
+    found = 0
+    for _ in range(500):
+        text = "".join(rng.choice(pieces) if rng.random() < 0.8 else " " + _base64(rng.randrange(10, 40)) + " " for _ in range(12))
+        want = _naive_novel(text, words)
+        assert s.novel_spans(text, s.base_spans(text), novelty) == want, text
+        found += len(want)
+    assert found > 100
+
+
+def test_many_spans_take_time_in_proportion():
+    novelty = s.Novelty(["connection"])
+    text = "".join(f"token=abcdefgh{k:06d} x{k:015d}y\n" for k in range(20_000))
+    began = time.time()
+    base = s.base_spans(text)
+    s.novel_spans(text, base, novelty)
+    assert len(base) == 20_000 and time.time() - began < 30
+
+
+def test_the_dictionary_is_filled_to_its_bound(spark):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(100)]
+    docs = spark.createDataFrame([(1, " ".join(words * 3)), (2, " ".join([*words[60:], "often often often often"] * 1))], "doc_id long, text string")
+    assert s.frequent_words(docs, 50) == ["often", *words[60:], *words[:9]]
+    assert s.frequent_words(docs, 1000) == ["often", *words[60:], *words[:60]]
+    assert s.frequent_words(docs, 0) == []
