@@ -69,7 +69,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bounded_batches, read
+from millrace.llm.common import Scratch, Shielded, bounded_batches, read
 
 SIGNATURE, FIRST_DEPTH, DEPTH, LAST_DEPTH, SMALL, BLOCK = 64, 5, 7, 16, 16, 256
 #: One node in so many has two children; beyond DEPTH more have, so that similar pairs do not thin out.
@@ -512,9 +512,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
 
 def kept_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs per group of near-duplicates, with its own columns, and all rows without doc_id."""
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    gone = Scratch(docs.sparkSession, "near-gone").write(gone.distinct())
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone"))
+    gone, held = Scratch(docs.sparkSession, "near-gone").write(gone.distinct()), Shielded(docs)
+    return held.back(held.rows.join(gone, held["doc_id"] == F.col("gone"), "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,8 +3,8 @@
 Texts are folded first: lower case, letters of other scripts that look Latin
 (homoglyphs) to Latin, and the digits and signs that stand for letters
 (``1d10t``) to those letters. Lexicon entries are beginnings of words; of the
-entries that begin one word the longest counts. Matches inside exception
-phrases do not count. A document's matched weight is set against its length,
+entries that begin one word the longest counts. Matches that begin inside
+exception phrases (whole words, unless marked as a beginning) do not count. A document's matched weight is set against its length,
 and a logistic function of (weight, weight per 100 words, heaviest entry)
 gives the score.
 
@@ -24,15 +24,18 @@ Defined cases: null and empty texts have no matches and get the score of a
 text of no weight; null ids are scored and count as not held out; labels that
 repeat an id count as their largest; null labels are ignored; without any
 labels the starting lexicon and fixed coefficients are used; no documents give
-no rows.
+no rows. Columns other than doc_id and text pass through ``clean_documents``,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -55,7 +58,11 @@ SEEDS = (
     "filth", "fool", "fuck", "garbage", "hateful", "idiot", "imbecile", "jackass", "loathsome", "loser", "lowlife", "moron", "nitwit", "parasite",
     "pathetic", "retard", "scum", "shit", "sleaz", "slut", "stupid", "trash", "twat", "vermin", "whore", "worthless", "wretch",
 )
-EXCEPTIONS = ("trash can", "trash bin", "trash collect", "garbage collect", "garbage can", "class clown", "clown fish", "clownfish", "fool proof", "foolproof", "moronga", "host parasite")
+# A phrase ends where a word ends, but for one with an asterisk, which is the beginning of a word.
+EXCEPTIONS = (
+    "trash can", "trash cans", "trash bin", "trash bins", "trash collect*", "garbage collect*", "garbage can", "garbage cans", "class clown", "class clowns", "clown fish",
+    "clownfish", "fool proof", "foolproof", "moronga*", "host parasite", "host parasites",
+)
 LOOKALIKES = {
     "а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
     "ԁ": "d", "ԛ": "q", "ԝ": "w", "ɡ": "g", "ı": "i", "ɑ": "a", "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p",
@@ -84,9 +91,10 @@ class Matcher:
     def __init__(self, model: Model):
         self.model, self.automaton = model, ahocorasick.Automaton()
         for entry, weight in model.weights.items():
-            self.automaton.add_word(entry, (len(entry), weight))
+            self.automaton.add_word(entry, (len(entry), weight, False))
         for phrase in model.exceptions:
-            self.automaton.add_word(phrase, (len(phrase), None))
+            bare = phrase.removesuffix("*")
+            self.automaton.add_word(bare, (len(bare), None, bare == phrase))
         self.automaton.make_automaton()
 
     def matches(self, text: str | None) -> tuple[dict[int, tuple[int, float]], int]:
@@ -94,16 +102,18 @@ class Matcher:
         folded = fold(text)
         found: dict[int, tuple[int, float]] = {}
         spared: list[tuple[int, int]] = []
-        for last, (size, weight) in self.automaton.iter(folded) if self.model.weights else ():
+        for last, (size, weight, whole) in self.automaton.iter(folded) if self.model.weights else ():
             start = last + 1 - size
-            if start and folded[start - 1].isalpha():
+            if (start and folded[start - 1].isalpha()) or (whole and folded[last + 1 : last + 2].isalpha()):
                 continue
             if weight is None:
                 spared.append((start, last + 1))
             elif start not in found or found[start][0] < last + 1:
                 found[start] = (last + 1, weight)
         if spared:
-            found = {s: x for s, x in found.items() if not any(lo <= s < hi for lo, hi in spared)}
+            spared.sort()
+            starts, ends = [lo for lo, _ in spared], list(accumulate((hi for _, hi in spared), max))
+            found = {s: x for s, x in found.items() if (k := bisect_right(starts, s)) == 0 or ends[k - 1] <= s}
         return found, len(folded.split())
 
     def features(self, text: str | None) -> tuple[float, float, float]:

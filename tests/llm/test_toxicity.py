@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,49 @@ def test_odd_rows(spark):
     assert toxicity.scores(docs.limit(0), model).count() == 0
     odd = spark.createDataFrame([(1, None), (None, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
     assert toxicity.train(docs, odd).coef == pytest.approx(toxicity.Model().coef)
+
+
+def _naive(model, text):
+    """Features without an automaton: every entry is tried at every beginning of a word."""
+    folded = toxicity.fold(text)
+    starts = [i for i in range(len(folded)) if i == 0 or not folded[i - 1].isalpha()]
+    spared = set()
+    for phrase in model.exceptions:
+        bare = phrase.rstrip("*")
+        for i in starts:
+            end = i + len(bare)
+            if folded[i:end] == bare and (phrase != bare or not folded[end : end + 1].isalpha()):
+                spared |= set(range(i, end))
+    weights = []
+    for i in starts:
+        fits = [e for e in model.weights if folded.startswith(e, i)]
+        if fits and i not in spared:
+            weights.append(model.weights[max(fits, key=len)])
+    total = sum(weights)
+    return math.log1p(total), math.log1p(100 * total / max(len(folded.split()), 1)), max(weights, default=0.0)
+
+
+def test_features_and_scores_against_a_naive_matcher():
+    rng = random.Random(5)
+    model = toxicity.Model({**toxicity.Model().weights, "tras": 1.5, "trashy": 6.0, "cl0": 2.0}, (-3.0, 0.7, 0.4, 0.2))
+    matcher = toxicity.Matcher(model)
+    pieces = ["trash", "trash can", "can", "candidate", " ", " ", " ", "clown", "fish", "cl0wn", "1d10t", "ѕtupid", "x", ".", "trash collector", "fool", "proof", "host parasite", "s", "Garbage Cans", "é"]
+    for _ in range(600):
+        text = "".join(rng.choices(pieces, k=rng.randrange(14)))
+        want = _naive(model, text)
+        assert matcher.features(text) == pytest.approx(want), text
+        z = model.coef[0] + sum(c * x for c, x in zip(model.coef[1:], want))
+        assert matcher.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_exceptions_end_with_their_words():
+    m = toxicity.Matcher(toxicity.Model())
+    assert m.features("that trash can")[0] == m.features("the trash cans.")[0] == m.features("a garbage collector")[0] == 0
+    assert m.features("that trash candidate")[0] > 0 and m.features("trash cannot")[0] > 0
+
+
+def test_many_exceptions_take_time_in_proportion():
+    m = toxicity.Matcher(toxicity.Model())
+    began = time.time()
+    assert m.features("trash can " * 60_000)[0] == 0
+    assert time.time() - began < 10
