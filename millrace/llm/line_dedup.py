@@ -1,48 +1,60 @@
 """Line dedup: winnowing over line hashes, and deletion of later repeated runs.
 
 A window is the shortest run of lines from a line on that has ``min_words``
-words (one line, if it is that long). The least line hash of a window is its
-fingerprint, as in winnowing; a passage of min_words words or more that two
-documents share line by line holds a whole window in both, so both select the
-same minimum: fingerprints are guaranteed. Positions meet by fingerprint; so
-that a common line does not tie a passage to some other text where that line
-came first, positions are told apart by a hash of their window. Of the
-positions with equal windows the first in order of doc_id stands, and each
-later one is compared with that one. Those that go on otherwise than the first
-meet each other by hashes of the lines that follow, with the first position of
-each continuation and never in pairs, so a match ends where no earlier position
-goes on alike.
-
-Matches are extended line by line while both documents go on alike. To the
-left that is done by the windows themselves (if the line before is equal too,
-the window that begins there matches); to the right, lines after the last full
-window are compared, up to min_words words. The later run is deleted. A run
-that overlaps its own first occurrence, in one document, loses only what lies
-behind the first.
-
-Rows shuffled are windows (hashes and positions), once to find the firsts with
+words (one line, if it is that long). Each window selects the position of its
+least line hash (of equal ones the one selected before, else the last), and a
+document keeps its selected positions only: about two of w + 1 lines, if a
+window has w. A passage of min_words words or more that two documents share
+line by line holds a whole window in both, so both select an equal line of it:
+fingerprints are guaranteed.
+
+1. A document's selected positions leave Python with the hashes of the lines
+   around them, as far as their windows and the extension can reach.
+2. Positions meet by fingerprint, the hash of the selected line: those whose
+   fingerprint is selected nowhere else drop out. So most of a text without
+   copies ends here.
+3. So that a common line does not tie a passage to some other text where that
+   line came first, positions that met are told apart by a hash of each window
+   that selects them. Of the positions with equal windows the first in order of
+   doc_id stands, and each later one is compared with that one.
+4. The match is extended line by line, to the left and to the right, while both
+   documents go on alike, up to min_words words on either side (what lies
+   beyond is a match of further windows). Those that go on otherwise than the
+   first meet each other by hashes of the lines that follow, with the first
+   position of each continuation and never in pairs, so a match ends where no
+   earlier position goes on alike.
+
+The later run is deleted. A run that overlaps its own first occurrence, in one
+document, loses only what lies behind the first.
+
+Rows shuffled are selected positions (once, against the fingerprints that are
+repeated) and the windows of those that met, once to find the firsts with
 map-side combine and once to join them, where adaptive execution splits a hot
-window; continuations that leave the first likewise. Texts are not shuffled.
+fingerprint or window; continuations that leave the first likewise. Texts are
+not shuffled. A document is read in time proportional to its lines times the
+lines of a window, at most min_words.
 
 Defined cases: a null text has no lines; blank lines match nothing and go only
 if they lie inside a deleted run; white space at line ends does not count;
 documents that repeat an id with another text are kept apart by a hash of the
 text, and with the same text they are one document; a null id comes first; no
-documents give no rows.
+documents give no rows; columns other than doc_id and text pass through
+``without_repeats``, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, bounded_batches, read
+from millrace.llm.common import Scratch, Shielded, bounded_batches, read
 
-MIN_WORDS = 50
+MIN_WORDS, CHUNK = 50, 500_000
 
 
 def lines_of(text: str | None) -> list[tuple[int, int, int, int]]:
@@ -57,35 +69,58 @@ def lines_of(text: str | None) -> list[tuple[int, int, int, int]]:
     return out
 
 
-def windows_of(lines: list[tuple[int, int, int, int]], min_words: int) -> list[tuple[int, int, int, int, list[int]]]:
-    """(fingerprint, window hash, first line, last line, hashes that follow) of every window."""
-    out, end, words = [], 0, 0
+def windows_of(lines: list[tuple[int, int, int, int]], min_words: int) -> list[tuple[int, int, int]]:
+    """(first line, last line, selected line) of every window."""
+    out, end, words, kept = [], 0, 0, -1
+    least: deque[int] = deque()  # lines of the window that are less than all behind them
     for start in range(len(lines)):
         while end < len(lines) and words < min_words:
+            while least and lines[least[-1]][3] >= lines[end][3]:
+                least.pop()
+            least.append(end)
             words += lines[end][2]
             end += 1
         if words < min_words:
             break
-        hashes = [x[3] for x in lines[start:end]]
-        whole = xxhash.xxh64_intdigest(b"".join(h.to_bytes(8, "big", signed=True) for h in hashes)) - (1 << 63)
-        more, tail = 0, []
-        for x in lines[end:]:
-            if more >= min_words:
-                break
-            more += x[2]
-            tail.append(x[3])
-        out.append((min(hashes), whole, start, end - 1, tail))
+        while least[0] < start:
+            least.popleft()
+        if kept < start or lines[kept][3] != lines[least[0]][3]:
+            kept = least[0]
+        out.append((start, end - 1, kept))
         words -= lines[start][2]
     return out
 
 
-def _windows(min_words: int):
+def selected(lines: list[tuple[int, int, int, int]], min_words: int) -> Iterator[tuple[int, int, list[int], list[tuple[int, int]]]]:
+    """(position, first line of the context, line hashes of the context, windows that select the position) of each selected position."""
+    at: dict[int, list[tuple[int, int]]] = {}
+    for first, last, position in windows_of(lines, min_words):
+        at.setdefault(position, []).append((first, last))
+    for position, windows in at.items():
+        lo, hi = windows[0][0], windows[-1][1] + 1
+        words = 0
+        while lo and words < min_words:
+            lo -= 1
+            words += lines[lo][2]
+        words = 0
+        while hi < len(lines) and words < min_words:
+            words += lines[hi][2]
+            hi += 1
+        yield position, lo, [x[3] for x in lines[lo:hi]], windows
+
+
+def _positions(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["doc_id", "text_hash", "fingerprint", "window", "first", "last", "tail"]
+        columns = ["doc_id", "text_hash", "fingerprint", "lo", "context", "firsts", "lasts"]
         for b in batches:
-            rows = []
+            rows, held = [], 0
             for doc_id, text_hash, text in zip(b["doc_id"], b["text_hash"], b["text"], strict=True):
-                rows += [(doc_id, text_hash, *w) for w in windows_of(lines_of(text), min_words)]
+                for position, lo, context, windows in selected(lines_of(text), min_words):
+                    rows.append((doc_id, text_hash, context[position - lo], lo, context, [w[0] for w in windows], [w[1] for w in windows]))
+                    held += len(context)
+                    if held > CHUNK:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
     return run
@@ -131,20 +166,35 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"), "text")
 
 
+def _alike(own: str, other: str) -> Column:
+    """How many lines two arrays of line hashes have in common from the beginning."""
+    differs = F.array_position(F.zip_with(own, other, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs == 0, F.size(own)).otherwise(differs - 1).cast("int")
+
+
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, lo, hi: runs of lines (numbered without blank ones) that repeat an earlier run."""
     bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
-    schema = "doc_id string, text_hash long, fingerprint long, window long, first int, last int, tail array<long>"
-    seen = scratch.write(_keyed(docs).mapInPandas(_windows(min_words), schema).withColumn("doc_id", F.col("doc_id").cast("long")))
-    place = F.struct("doc_id", "text_hash", "first", "last", "tail")
+    schema = "doc_id string, text_hash long, fingerprint long, lo int, context array<long>, firsts array<int>, lasts array<int>"
+    chosen = scratch.write(_keyed(docs).mapInPandas(_positions(min_words), schema).withColumn("doc_id", F.col("doc_id").cast("long")))
+    repeated = chosen.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
+    met = chosen.join(repeated, "fingerprint", "left_semi").withColumn("w", F.explode(F.arrays_zip("firsts", "lasts")))
+    first, last, n = F.col("w.firsts"), F.col("w.lasts"), F.size("context")
+    met = met.select(
+        "doc_id", "text_hash", "fingerprint", F.xxhash64(F.slice("context", first - F.col("lo") + 1, last - first + 1)).alias("window"), first.alias("first"), last.alias("last"),
+        F.reverse(F.slice("context", F.lit(1), first - F.col("lo"))).alias("lead"), F.slice("context", last - F.col("lo") + 2, n - (last - F.col("lo") + 1)).alias("tail"),
+    )
+    seen = scratch.write(met)
+    scratch.drop(chosen)
+    place = F.struct("doc_id", "text_hash", "first", "last", "lead", "tail")
     firsts = seen.groupBy("fingerprint", "window").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     same_doc = F.col("doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("text_hash") == F.col("at.text_hash"))
     later = seen.join(firsts, ["fingerprint", "window"]).where(~(same_doc & (F.col("first") == F.col("at.first"))))
-    differs = F.array_position(F.zip_with("tail", "at.tail", lambda x, y: x.eqNullSafe(y)), False)
-    more = F.when(differs == 0, F.size("tail")).otherwise(differs - 1).cast("int")
-    own = F.when(same_doc, F.greatest("first", F.col("at.last") + 1)).otherwise(F.col("first"))
-    later = scratch.write(later.select("doc_id", "text_hash", "fingerprint", "window", "first", "last", "tail", own.alias("lo"), more.alias("more")))
+    left = F.when(same_doc, F.least(_alike("lead", "at.lead"), F.greatest(F.col("first") - F.col("at.last") - 1, F.lit(0)))).otherwise(_alike("lead", "at.lead"))
+    own = F.when(same_doc, F.greatest("first", F.col("at.last") + 1)).otherwise(F.col("first")) - left
+    later = later.select("doc_id", "text_hash", "fingerprint", "window", "first", "last", "tail", own.alias("lo"), _alike("tail", "at.tail").alias("more"))
+    later = scratch.write(later)
     longer = _continued(later).select("doc_id", "text_hash", "lo", (F.col("last") + F.col("k")).alias("hi"))
     runs = later.select("doc_id", "text_hash", "lo", (F.col("last") + F.col("more")).alias("hi")).union(longer)
     return runs.where(F.col("lo") <= F.col("hi")).distinct()
@@ -176,19 +226,18 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with repeated runs cut out of text; other columns and rows stay."""
-    cut = repeats(docs, min_words).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"))
-    cut = Scratch(docs.sparkSession, "line-cuts").write(cut.distinct())
-    hashed = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(cut, docs["doc_id"].eqNullSafe(cut["__id"]) & (hashed == cut["__hash"]), "left")
-    ends = F.transform(F.split("__spans", ","), lambda s: F.struct(F.split(s, ":")[0].cast("int").alias("lo"), F.split(s, ":")[1].cast("int").alias("hi")))
+    cut = repeats(docs, min_words).where("n_removed > 0").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "spans")
+    cut, held = Scratch(docs.sparkSession, "line-cuts").write(cut.distinct()), Shielded(docs)
+    whole = held["text"]
+    joined = held.rows.join(cut, held["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(whole, F.lit(""))) == F.col("hash")), "left")
+    ends = F.transform(F.split("spans", ","), lambda s: F.struct(F.split(s, ":")[0].cast("int").alias("lo"), F.split(s, ":")[1].cast("int").alias("hi")))
     kept = F.aggregate(
         ends,
         F.struct(F.lit(0).alias("at"), F.lit("").alias("text")),
-        lambda a, s: F.struct(s["hi"].alias("at"), F.concat(a["text"], F.substr(docs["text"], a["at"] + 1, s["lo"] - a["at"])).alias("text")),
+        lambda a, s: F.struct(s["hi"].alias("at"), F.concat(a["text"], F.substr(whole, a["at"] + 1, s["lo"] - a["at"])).alias("text")),
     )
-    rest = F.concat(kept["text"], F.substr(docs["text"], kept["at"] + 1))
-    text = F.when(F.col("__spans").isNull(), docs["text"]).otherwise(rest)
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns])
+    rest = F.concat(kept["text"], F.substr(whole, kept["at"] + 1))
+    return held.back(joined, text=F.when(F.col("spans").isNull(), whole).otherwise(rest))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

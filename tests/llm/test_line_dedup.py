@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -6,22 +7,38 @@ from millrace.llm import line_dedup as ld
 
 
 def _brute(docs, min_words):
-    """Each window against the first equal window, extended line by line; spans of deleted lines."""
-    lines = {i: ld.lines_of(t) for i, t in docs}
-    windows = [(i, w) for i, _ in sorted(docs) for w in ld.windows_of(lines[i], min_words)]
-    first, cut = {}, {i: set() for i, _ in docs}
-    for i, (_, key, lo, hi, _) in windows:
-        if key not in first:
-            first[key] = (i, lo, hi)
-            continue
-        j, x, y = first[key]
-        k = 1
-        words = 0
-        while hi + k < len(lines[i]) and y + k < len(lines[j]) and lines[i][hi + k][3] == lines[j][y + k][3] and words < min_words:
-            words += lines[i][hi + k][2]
-            k += 1
-        cut[i] |= set(range(max(lo, y + 1) if i == j else lo, hi + k))
-    return {i: (len(lines[i]), len(c)) for i, c in cut.items()}
+    """Every two positions of all documents, line by line: (lines, deleted lines, text left) of each. Lines are compared as text."""
+    split = {}
+    for i, text in docs:
+        at, rows = 0, []
+        for line in (text or "").split("\n"):
+            if line.split():
+                rows.append((line.strip(), len(line.split()), at, min(at + len(line) + 1, len(text))))
+            at += len(line) + 1
+        split[i] = rows
+    cut = {i: set() for i, _ in docs}
+    order = sorted(split)
+    for i in order:
+        for j in (k for k in order if k <= i):
+            a, b = split[i], split[j]
+            for x in range(len(a)):
+                for y in range(x if i == j else len(b)):
+                    n = words = need = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n][0] == b[y + n][0]:
+                        words += a[x + n][1]
+                        n += 1
+                    if words >= min_words:
+                        while sum(r[1] for r in b[y : y + need]) < min_words:
+                            need += 1  # the least that a first occurrence holds
+                        cut[i] |= set(range(max(x, y + need) if i == j else x, x + n))
+    left = {}
+    for i, text in docs:
+        gone = {c for k in cut[i] for c in range(split[i][k][2], split[i][k][3])}
+        for k in cut[i]:
+            if k + 1 in cut[i]:
+                gone |= set(range(split[i][k][3], split[i][k + 1][2]))
+        left[i] = "".join(c for k, c in enumerate(text or "") if k not in gone)
+    return {i: (len(split[i]), len(cut[i])) for i in split}, left
 
 
 def test_random_documents_against_brute_force(spark):
@@ -29,7 +46,10 @@ def test_random_documents_against_brute_force(spark):
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 4, 7]))) for _ in range(12)]
     docs = [(i, "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randrange(25)))) for i in range(50)]
     got = ld.repeats(spark.createDataFrame(docs, "doc_id long, text string"), min_words=8).collect()
-    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == _brute(docs, 8)
+    want, left = _brute(docs, 8)
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == want
+    out = ld.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"), min_words=8).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == left
 
 
 def test_passages_in_other_places_are_cut_after_their_first_document(spark):
@@ -57,27 +77,12 @@ def test_odd_rows(spark):
     assert ld.repeats(docs.limit(0)).count() == 0 and ld.without_repeats(docs.limit(0)).count() == 0
 
 
-def _brute_all(docs, min_words):
-    """Each window against all earlier equal windows, extended line by line to the end; spans of deleted lines."""
-    lines = {i: ld.lines_of(t) for i, t in docs}
-    windows = [(i, w) for i, _ in sorted(docs) for w in ld.windows_of(lines[i], min_words)]
-    seen, cut = {}, {i: set() for i, _ in docs}
-    for i, (_, key, lo, hi, _) in windows:
-        for j, _, y in seen.setdefault(key, []):
-            k = 1
-            while hi + k < len(lines[i]) and y + k < len(lines[j]) and lines[i][hi + k][3] == lines[j][y + k][3]:
-                k += 1
-            cut[i] |= set(range(max(lo, y + 1) if i == j else lo, hi + k))
-        seen[key].append((i, lo, hi))
-    return {i: (len(lines[i]), len(c)) for i, c in cut.items()}
-
-
 def test_random_documents_against_all_earlier_positions(spark):
     rng = random.Random(16)
     pool = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 2, 4, 9]))) for _ in range(12)]
     docs = [(i, "\n".join(rng.choice([*pool, ""]) for _ in range(rng.randrange(25)))) for i in range(60)]
     got = ld.repeats(spark.createDataFrame(docs, "doc_id long, text string"), min_words=8).collect()
-    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == _brute_all(docs, 8)
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == _brute(docs, 8)[0]
 
 
 def test_a_run_that_repeats_a_later_document_than_the_first(spark):
@@ -85,3 +90,26 @@ def test_a_run_that_repeats_a_later_document_than_the_first(spark):
     docs = [(1, f"{x}\nother"), (2, f"{x}\n{y1}\n{y2}\nb"), (3, f"{x}\n{y1}\n{y2}\nc"), (4, f"{x}\n{y1}\nd"), (5, f"{x}\nother\ne")]
     got = {r["doc_id"]: r["text"] for r in ld.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: docs[0][1], 2: f"{y1}\n{y2}\nb", 3: "c", 4: "d", 5: "e"}
+
+
+def test_windows_select_few_positions_in_time_proportional_to_the_lines():
+    rng = random.Random(4)
+    text = "\n".join(f"{rng.random()}" for _ in range(100_000))
+    began = time.time()
+    lines = ld.lines_of(text)
+    windows = ld.windows_of(lines, 50)
+    assert len(windows) == 100_000 - 49
+    assert all(lines[p][3] == min(x[3] for x in lines[a : b + 1]) for a, b, p in windows[::997])
+    assert len({p for _, _, p in windows}) < 0.05 * len(lines)
+    assert sum(len(c) for _, _, c, _ in ld.selected(lines, 50)) < 10 * len(lines)
+    assert time.time() - began < 20
+    same = ld.lines_of("x\n" * 100_000)  # equal lines select no more
+    assert len({p for _, _, p in ld.windows_of(same, 50)}) <= 100_000 / 50 + 1
+
+
+def test_a_text_of_many_lines_repeats(spark):
+    rng = random.Random(14)
+    body = [f"{rng.random()}" for _ in range(100_000)]
+    docs = [(1, "\n".join(body)), (2, "\n".join(["head", *body[500:60_000], "tail"]))]
+    got = {r["doc_id"]: r["n_removed"] for r in ld.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 59_500}
