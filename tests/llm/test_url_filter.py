@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from millrace.llm import url_filter as u
 
 
@@ -84,22 +86,54 @@ def test_rare_words_of_a_large_vocabulary_split_hosts(spark):
 
 
 def test_scores_against_whole_counts(spark):
-    rows = [(i, f"http://{'casino' if i % 7 == 0 else 'news'}.net/t{i % 50}k/{'' if i % 3 else 'offer'}", "casino news net") for i in range(400)]
+    rows = [(i, f"http://{'casino' if i % 7 == 0 else 'news'}{'abcdefgh'[i % 8]}.net/t{i % 50}k/{'' if i % 3 else 'offer'}", "casino news net") for i in range(400)]
     rows = [(i, url.replace(f"t{i % 50}k", "".join(chr(97 + int(c)) for c in f"{i % 50:02}")), html) for i, url, html in rows]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     model = u.train(pages)
     got = {r["page_id"]: r for r in u.judge(pages, model).collect()}
     tokens = {i: [f"h:{w}" for w in got[i]["words"].split()] + [f"p:{w}" for w in url.split(".net/")[1].split("/") if w] for i, url, _ in rows}
-    n = {c: {} for c in (True, False)}
+    hosts = spark.createDataFrame([(r["host"],) for r in got.values()], "host string").distinct()
+    half = {r["host"]: r["half"] for r in hosts.withColumn("half", u.half_of(F.col("host"))).collect()}
+    vocabulary = {t for ts in tokens.values() for t in ts}
+    marks = {f"{k}:{m}" for k in "hp" for m in u.MARKS}
     for i, ts in tokens.items():
+        others = [k for k in tokens if half[got[k]["host"]] != half[got[i]["host"]]]  # a page is weighed by the other half's hosts
+        n = {c: {} for c in (True, False)}
+        for k in others:
+            for t in tokens[k]:
+                n[k % 7 == 0][t] = n[k % 7 == 0].get(t, 0) + 1
+        most = max(u.LEAST_PRIOR, u.PRIOR * sum(sum(x.values()) for x in n.values()))
+        whole = {c: sum(n[c].values()) + 0.1 * len(vocabulary) + (2 * len(u.MARKS) * most if c else 0) for c in n}
+        want = math.log((sum(k % 7 == 0 for k in others) + u.PRIOR_PAGES * len(others) + 0.5) / (sum(k % 7 != 0 for k in others) + 0.5))
         for t in ts:
-            n[i % 7 == 0][t] = n[i % 7 == 0].get(t, 0) + 1
-    seen = n[True].keys() | n[False].keys()
-    whole = {c: sum(n[c].values()) + 0.1 * len(seen) for c in n}
-    pages_of = {c: sum((i % 7 == 0) is c for i in tokens) for c in n}
-    for i, ts in tokens.items():
-        want = math.log((pages_of[True] + 0.5) / (pages_of[False] + 0.5))
-        want += sum(math.log((n[True].get(t, 0) + 0.1) / whole[True]) - math.log((n[False].get(t, 0) + 0.1) / whole[False]) for t in ts)
+            want += math.log((n[True].get(t, 0) + 0.1 + (most if t in marks else 0)) / whole[True]) - math.log((n[False].get(t, 0) + 0.1) / whole[False])
         assert abs(got[i]["score"] - want) < 1e-6
     other = u.judge(pages.where("page_id < 50"), model).collect()  # other pages by the same model
     assert {r["page_id"]: r["score"] for r in other} == {i: got[i]["score"] for i in range(50)}
+
+
+def test_a_page_is_not_judged_by_its_own_example(spark):
+    """Marks of a host are a prior; what unmarked hosts share with marked ones is learned from other hosts, and so are pages whose text gives them away."""
+    rows = [(i, f"http://{'casino' if i % 2 else 'poker'}{i}.net/offer/win/{i}", "<p>plain</p>") for i in range(60)]
+    rows += [(100 + i, f"http://nice{i}.net/read/story/{i}", "<p>plain</p>") for i in range(200)]
+    rows += [(400 + i, f"http://nice{300 + i}.net/offer/win/{i}", "<p>plain words</p>") for i in range(6)]
+    rows += [(500 + i, f"http://nice{i}.net/lucky/draw/{i}", "<p>Casino! poker, slots</p>") for i in range(0, 60)]
+    rows += [(600 + i, f"http://nice{400 + i}.net/lucky/draw/{i}", "<script>casino poker slots</script>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    judged = u.judge(pages, u.train(pages))
+    got = {r["page_id"]: r for r in judged.collect()}
+    assert all(got[i]["verdict"] == "block" for i in [*range(60), *range(400, 406), *range(600, 606)])
+    assert all(got[i]["verdict"] == "allow" for i in range(100, 300))
+    assert all(got[i]["example"] == ("block" if i < 60 or 500 <= i < 600 else "allow") for i in got)
+    n = u.held_out(judged)
+    assert sum(n.values()) == len(rows) and n.get(("block", "allow"), 0) == 0
+
+
+def test_odd_rows(spark):
+    long = "http://" + "casinonews" * 2_000 + ".net/" + "deal/" * 20_000
+    rows = [(1, "http://a.net/x", None, 7), (1, "http://a.net/x", None, 7), (None, "http://b.net/y", "", 8), (2, long, "<p>" + "word " * 50_000, 9), (3, None, None, 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
+    got = u.judge(pages, u.train(pages)).collect()
+    assert sorted(str(r["page_id"]) for r in got) == ["1", "1", "2", "3", "None"]
+    assert [r["host"] for r in got if r["page_id"] is None] == ["b.net"]
+    assert [len(r["path"]) for r in got if r["page_id"] == 2] == [100_001]
