@@ -19,27 +19,34 @@ over all documents:
    some window, and every occurrence is found from its own prefix.
 
 Steps 1, 3 and 4 run inside one generated stage per scan; nothing of a
-document is shuffled but its runs. The benchmark side is broadcast in blocks
-of at most ``block_words`` item words, a fixed bound; a larger benchmark takes
-more scans. Runs of a document are gathered per document only.
+document is shuffled but its runs. The benchmark side is counted and then
+broadcast in blocks, by hashes of its rows: ``VOCABULARY`` different shingles or
+``PREFIXES`` prefixes with the words around them, however its items are made
+up; a larger benchmark takes more scans. Runs of a document are gathered per
+document only.
 
 Defined cases: null texts have no words; items without words or id match
 nothing; equal item rows count once; documents that repeat an id with another
-text are kept apart by a hash of the text; empty tables give no hits.
+text are kept apart by a hash of the text; empty tables give no hits; columns
+other than doc_id and text pass through ``clean_documents``, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.llm.common import Scratch, ascii_lower, read
+from millrace.llm.common import Scratch, Shielded, ascii_lower, read
 
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, SHINGLE = 10, 3
+#: Rows of a broadcast: eight bytes each, or up to twenty words each.
+VOCABULARY, PREFIXES = 1_000_000, 100_000
 
 
 def words_of(text: Column) -> Column:
@@ -72,12 +79,19 @@ def _items(benchmark: DataFrame, window: int) -> DataFrame:
     return items.withColumn("need", F.least(F.size("words"), F.lit(window)))
 
 
-def _prefixes(items: DataFrame, docs: DataFrame, n: int, window: int) -> DataFrame:
+def _blocks(table: DataFrame, rows: int, size: int) -> list[DataFrame]:
+    """A table of so many rows in blocks of about size, by a hash of each whole row; rows differ."""
+    n = max(1, math.ceil(rows / size))
+    return [table.where(F.pmod(F.xxhash64(*table.columns), F.lit(n)) == k) if n > 1 else table for k in range(n)]
+
+
+def _prefixes(items: DataFrame, docs: DataFrame, n: int, window: int, scratch: Scratch, most: int) -> DataFrame:
     """The rarest shingle of each window, with the item's words around it."""
     spots = _positions(items, n)
-    vocabulary = spots.select("token").distinct()
+    vocabulary = scratch.counted(spots.select("token").distinct())
     seen = _positions(docs.select(words_of(F.col("text")).alias("words")), n).select("token")
-    counts = seen.join(F.broadcast(vocabulary), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n_seen"))
+    counts = [seen.join(F.broadcast(b), "token").groupBy("token").agg(F.count(F.lit(1)).alias("n_seen")) for b in _blocks(*vocabulary, most)]
+    counts = reduce(DataFrame.unionAll, counts)
     rarity = F.struct(F.coalesce("n_seen", F.lit(0)).alias("n_seen"), "token", "at")
     reach = W.partitionBy("item_id", "words").orderBy("at").rowsBetween(0, window - n)
     firsts = (
@@ -103,21 +117,18 @@ def _equal_run(words: Column, at: Column, step: int, other: Column, most: int) -
     return run
 
 
-def find_runs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = 1_000_000) -> DataFrame:
+def find_runs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, vocabulary: int = VOCABULARY, prefixes: int = PREFIXES) -> DataFrame:
     """doc_id, text_hash, item_id, start, end (words, end exclusive) of matched runs; docs: doc_id, text."""
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = scratch.write(_items(benchmark, window))
-    total = items.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_words))
     shingles = [r[0] for r in items.select(F.least(F.size("words"), F.lit(SHINGLE))).distinct().collect()]  # some of 1, 2, 3
     found = None
-    for block in range(blocks):
-        for n in sorted(shingles):
-            some = items.where(F.least(F.size("words"), F.lit(SHINGLE)) == n).where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block)
-            prefixes = scratch.write(_prefixes(some, docs, n, window))
+    for n in sorted(shingles):
+        some = items.where(F.least(F.size("words"), F.lit(SHINGLE)) == n)
+        for block in _blocks(*scratch.counted(_prefixes(some, docs, n, window, scratch, vocabulary)), prefixes):
             text = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of(F.col("text")).alias("words"))
             bound = F.least(F.col("at"), F.size("before")) + F.least(F.size("words") - F.col("at"), F.size("after"))
-            met = _positions(text, n).join(F.broadcast(prefixes), "token").where(bound >= F.col("need"))
+            met = _positions(text, n).join(F.broadcast(block), "token").where(bound >= F.col("need"))
             left = _equal_run(F.col("words"), F.col("at") - 1, -1, F.col("before"), window - 1)
             right = _equal_run(F.col("words"), F.col("at"), 1, F.col("after"), window)
             runs = met.select("doc_id", "text_hash", "item_id", "need", "at", left.alias("left"), right.alias("right"))
@@ -156,9 +167,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without any occurrence of a window, with their own columns."""
-    runs = find_runs(docs, benchmark, window).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    met = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__hash"))
-    return docs.join(runs, met, "left_anti")
+    runs = find_runs(docs, benchmark, window).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    held = Shielded(docs)
+    met = held["doc_id"].eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(held["text"], F.lit(""))) == F.col("hash"))
+    return held.back(held.rows.join(runs, met, "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

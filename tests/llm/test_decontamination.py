@@ -68,7 +68,7 @@ def test_blocks_and_clean_documents(spark):
     items = spark.createDataFrame([(k, " ".join(long.split()[k : k + 12])) for k in range(15)], "item_id long, text string")
     docs = spark.createDataFrame([(1, long, 0, "a"), (2, "clean text", 1, "b"), (3, None, 2, "c")], "doc_id long, text string, n_hit int, words string")
     one = d.find_runs(docs, items).select("doc_id", "item_id").distinct().count()
-    assert d.find_runs(docs, items, block_words=40).select("doc_id", "item_id").distinct().count() == one == 15
+    assert d.find_runs(docs, items, vocabulary=7, prefixes=5).select("doc_id", "item_id").distinct().count() == one == 15
     clean = d.clean_documents(docs, items)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3]
     assert d.contamination(docs, items).agg(F.sum("n_hit")).first()[0] == 26
