@@ -79,16 +79,19 @@ class Tree:
         self.ends = rows.agg(*[f(f"d_{d}").alias(f"{n}_{d}") for d in DIMS for n, f in (("lo", F.min), ("hi", F.max))]).first()
         self.cuts: list[DataFrame] = []
         rows = self.scratch.write(rows.withColumns(self._scaled()).withColumn("node", F.lit(0).cast("long")))
-        leaves = {0: n_shards}  # by node: leaves; the first leaf of a node is its number
-        while any(n > 1 for n in leaves.values()):
-            self.cuts.append(_cuts(rows, leaves, self._sent, self.scratch))
+        # the nodes of a level: the number of a node is that of its first leaf
+        half = (F.col("n_leaves") + 1).bitwiseAND(-2) / 2
+        nodes = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("node"), F.lit(n_shards).alias("n_leaves"))
+        while n_shards > 1:
+            nodes = nodes.withColumn("left_leaves", half.cast("int"))
+            self.cuts.append(_cuts(rows, nodes.where("n_leaves > 1"), self._sent, self.scratch))
             late = self.scratch.write(self._below(rows, self.cuts[-1]))
             self.scratch.drop(rows)
             rows = late
-            grown = {}
-            for node, n in leaves.items():
-                grown |= {node: (n + 1) // 2, node + (n + 1) // 2: n // 2} if n > 1 else {node: n}
-            leaves = grown
+            left = F.struct("node", F.col("left_leaves").alias("n_leaves"))
+            right = F.struct((F.col("node") + F.col("left_leaves")).alias("node"), (F.col("n_leaves") - F.col("left_leaves")).alias("n_leaves"))
+            nodes = self.scratch.write(nodes.select(F.inline(F.when(F.col("n_leaves") > 1, F.array(left, right)).otherwise(F.array(left)))))
+            n_shards = (n_shards + 1) // 2
         #: doc_id, size, text_crc32, shard of every document.
         self.rows = rows.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"))
 
@@ -132,11 +135,8 @@ def _key(dim: Column) -> Column:
     return F.shiftleft(at, TIE_BITS) + F.col("tie")
 
 
-def _cuts(rows: DataFrame, leaves: dict[int, int], sent, scratch: Scratch) -> DataFrame:
-    """node, dim, cut, left_leaves for every node of more than one leaf."""
-    spark = rows.sparkSession
-    split = [(n, k, (k + 1) // 2) for n, k in leaves.items() if k > 1]
-    nodes = spark.createDataFrame(split, "node long, n_leaves int, left_leaves int")
+def _cuts(rows: DataFrame, nodes: DataFrame, sent, scratch: Scratch) -> DataFrame:
+    """node, dim, cut, left_leaves for every node of nodes (node, n_leaves, left_leaves), which have more than one leaf."""
     wide = (
         rows.groupBy("node")
         .agg(F.sum("size").alias("total"), *[(F.max(f"d_{d}") - F.min(f"d_{d}")).alias(d) for d in DIMS])
