@@ -24,7 +24,8 @@ execution splits where a value or a cell is hot. Both ways compute the same.
 Defined cases: null source, lang or topic are values of their own; a null or
 blank text has no tokens, weighs nothing and is sampled by its cell's
 probability (a cell without tokens: 0); rows that repeat a doc_id and text
-are drawn alike; no rows give no rows.
+are drawn alike; no rows give no rows; other columns, whatever their names,
+pass through ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -35,12 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from millrace.llm.common import Scratch, read
+from millrace.llm.common import Scratch, Shielded, read
 
 DIMS = ("source", "lang", "topic")
 #: Production mix: token shares to these powers.
 TEMPERATURE = {"source": 0.85, "lang": 0.9, "topic": 0.95}
-ITERATIONS, TOLERANCE, SEED = 40, 1e-10, 17
+ITERATIONS, TOLERANCE, SEED, SMALL_CELLS = 40, 1e-10, 17, 100_000
 
 
 def tokens_of(text: Column) -> Column:
@@ -113,7 +114,7 @@ def rake(
 
 
 def mix(
-    docs: DataFrame, targets: Mapping[str, Mapping | float] = TEMPERATURE, seed: int = SEED, small_cells: int = 100_000
+    docs: DataFrame, targets: Mapping[str, Mapping | float] = TEMPERATURE, seed: int = SEED, small_cells: int = SMALL_CELLS
 ) -> DataFrame:
     """doc_id, source, lang, topic, tokens, weight (mean 1 over tokens), probability, sampled of every row of docs."""
     spark = docs.sparkSession
@@ -142,13 +143,13 @@ def mix(
 
 def mixed_documents(docs: DataFrame, targets: Mapping[str, Mapping | float] = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """The sampled rows of docs, with their own columns."""
-    cells = mix(docs, targets, seed).groupBy(*DIMS).agg(F.max("probability").alias("__p"))
-    cells = Scratch(docs.sparkSession, "mix-cells").write(cells).select(*[F.col(d).alias(f"__{d}") for d in DIMS], "__p")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    met = F.col("source").eqNullSafe(F.col("__source")) & F.col("lang").eqNullSafe(F.col("__lang")) & (topic_of(text) == F.col("__topic"))
-    small = cells.count() <= 100_000
-    joined = docs.join(F.broadcast(cells) if small else cells, met)
-    return joined.where(uniform(F.col("doc_id"), text, seed) < F.col("__p")).select(*[docs[c] for c in docs.columns])
+    held = Shielded(docs)
+    cells = mix(docs.select("doc_id", "text", "source", "lang"), targets, seed).groupBy(*DIMS).agg(F.max("probability").alias("p"))
+    cells, n = Scratch(docs.sparkSession, "mix-cells").counted(cells)
+    text = F.coalesce(held["text"], F.lit(""))
+    met = held["source"].eqNullSafe(F.col("source")) & held["lang"].eqNullSafe(F.col("lang")) & (topic_of(text) == F.col("topic"))
+    joined = held.rows.join(F.broadcast(cells) if n <= SMALL_CELLS else cells, met)
+    return held.back(joined.where(uniform(held["doc_id"], text, seed) < F.col("p")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
