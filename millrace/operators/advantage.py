@@ -203,7 +203,33 @@ def gae(sequences: DataFrame, gamma: float = 0.99, lam: float = 0.95) -> DataFra
 
 
 def remax(rows: DataFrame) -> DataFrame:
-    """Token rows: masked return-to-go less the group's baseline (its least score)."""
+    """Token rows with baseline, the score of the group's greedy rollout: masked return-to-go less the baseline."""
     rest = F.sum(F.col("score") * F.col("mask")).over(W.partitionBy("uid").orderBy("slot").rowsBetween(0, W.unboundedFollowing))
-    base = F.min("score").over(_over("uid"))
-    return rows.withColumn("advantage", (rest - base) * F.col("mask"))
+    return rows.withColumn("advantage", (rest - F.col("baseline")) * F.col("mask"))
+
+
+def controlled_batch(rows: DataFrame, mode: str, gate: float | None = None, tolerance: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """rows: uid, perm, pslot, tokens (array of score and mask), base, bonus. Token advantages of a whole batch, and its summary.
+
+    Each token of mask 1 has its row's advantage, every other 0. A batch with a fault has none: a mask other than 0 or 1, or
+    empty; a score that is not finite; a total that is not base plus bonus. The error names the first rows and their faults.
+    """
+    total = F.aggregate("tokens", F.lit(0.0), lambda a, t: a + t["score"] * t["mask"])
+    n = F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t["mask"].cast("long"))
+    finite = lambda x: ~F.isnan(x) & (F.abs(x) != float("inf"))
+    fault = (
+        F.when(F.exists("tokens", lambda t: t["mask"].isNull() | ~t["mask"].isin(0, 1)), "mask")
+        .when(n == 0, "empty")
+        .when(~F.coalesce(F.forall("tokens", lambda t: finite(t["score"])), F.lit(False)), "not_finite")
+        .when(~F.coalesce(F.abs(total - F.col("base") - F.col("bonus")) <= tolerance, F.lit(False)), "total")
+    )
+    faults = rows.select("uid", "perm", "pslot", fault.alias("fault")).where("fault is not null")
+    if first := faults.orderBy("uid", "perm", "pslot").limit(5).collect():
+        raise ValueError(f"faulty rows: {[tuple(r) for r in first]}")
+    scored = controlled(rows.withColumn("score", total), mode=mode, gate=gate)
+    out = scored.withColumn("advantages", F.transform("tokens", lambda t: F.col("advantage") * t["mask"]))
+    summary = scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("uid").alias("groups"), F.avg("score").alias("score_mean"), F.avg("advantage").alias("advantage_mean"),
+        F.avg("weight").alias("weight_mean"), F.avg((F.col("advantage") == 0).cast("int")).alias("zero_fraction"),
+    )
+    return out, summary

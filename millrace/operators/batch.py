@@ -95,14 +95,25 @@ def split(df: DataFrame, size: int) -> DataFrame:
     return df.withColumn("chunk", F.floor(F.col("row_id") / size))
 
 
+CELL = 50_000
+
+
 def minibatches(df: DataFrame, size: int, n: int, epochs: int = 1, seed: int = 0) -> DataFrame:
     """epoch, batch and row_id in a seeded order per epoch; the size must divide n."""
     if n % size:
         raise ValueError(f"{n} rows do not divide into batches of {size}")
     rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(epochs - 1).cast("long"))))
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("row_id").cast("string")))
-    at = F.row_number().over(W.partitionBy("epoch").orderBy(draw, "row_id")) - 1
-    return rows.withColumn("batch", F.floor(at / size))
+    # a cell is a beginning of the draw, so cells have about CELL rows, and only their sizes meet in one task
+    digits = 1
+    while n >> 4 * digits > CELL:
+        digits += 1
+    rows = rows.withColumn("draw", draw).withColumn("cell", F.substring("draw", 1, digits))
+    before = F.coalesce(F.sum("k").over(W.partitionBy("epoch").orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    cells = rows.groupBy("epoch", "cell").agg(F.count(F.lit(1)).alias("k")).select("epoch", "cell", before.alias("before"))
+    own = F.row_number().over(W.partitionBy("epoch", "cell").orderBy("draw", "row_id")) - 1
+    rows = rows.withColumn("own", own).join(cells, ["epoch", "cell"])
+    return rows.withColumn("batch", F.floor((F.col("before") + F.col("own")) / size)).drop("draw", "cell", "own", "before")
 
 
 def union_columns(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from millrace.operators import rank
+
 BOUND = 20.0
 _LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -84,6 +86,34 @@ def weight_metrics(tokens: DataFrame, high: float) -> DataFrame:
     )
 
 
+def rejection_metrics(tokens: DataFrame, level: str, high: float, low: float | None = None) -> DataFrame:
+    """Mean, extremes, shares beyond the bounds, spread and effective sample size of the weights that a rejection looks at, by token and by sequence.
+
+    Extremes and shares of sequence levels count sequences and use unclamped log ratios; everything else weighs tokens of mask 1.
+    """
+    low = 1.0 / high if low is None else low
+    x = tokens.withColumn("r", _ratio(level)).withColumn("w", F.exp(clamp(F.col("r"), -BOUND, BOUND)))
+    x = x.withColumn("cut", clamp(F.col("w"), low, high))
+    m, by_token = F.col("mask"), level == "token"
+    rows = x.groupBy("uid").agg(
+        F.max("r").alias("r"), F.sum(m).alias("n"), F.sum(F.col("w") * m).alias("w"), F.sum(F.col("cut") * m).alias("cut"), F.sum(F.col("cut") * F.col("cut") * m).alias("cut2"),
+        F.max(F.when(m == 1, F.col("w"))).alias("top"), F.min(F.when(m == 1, F.col("w"))).alias("least"),
+        F.sum((F.col("w") > high).cast("int") * m).alias("over"), F.sum((F.col("w") < low).cast("int") * m).alias("under"),
+    ).withColumn("mean", F.col("w") / (F.col("n") + 1e-8))
+    n = F.sum("n") + 1e-8
+    mean_cut = F.sum("cut") / n
+    ends = (F.max("top"), F.min("least")) if by_token else (F.exp(F.least(F.max("r"), F.lit(BOUND))), F.exp(F.min("r")))
+    log_high, log_low = F.ln(F.lit(float(high))), F.ln(F.lit(float(low)))
+    shares = (F.sum("over") / n, F.sum("under") / n) if by_token else (F.avg((F.col("r") > log_high).cast("int")), F.avg((F.col("r") < log_low).cast("int")))
+    return rows.agg(
+        (F.sum("w") / n).alias("mean"), ends[0].alias("max"), ends[1].alias("min"), shares[0].alias("fraction_high"), shares[1].alias("fraction_low"),
+        F.when(F.sum("n") > 1, F.sqrt(F.greatest(F.sum("cut2") / n - mean_cut * mean_cut, F.lit(0.0)))).otherwise(0.0).alias("std"),
+        (F.pow(mean_cut + 1e-8, 2) / (F.sum("cut2") / n)).alias("eff_sample_size"), F.avg("mean").alias("seq_mean"), F.coalesce(F.stddev_samp("mean"), F.lit(0.0)).alias("seq_std"),
+        F.max("mean").alias("seq_max"), F.min("mean").alias("seq_min"), F.max(F.abs(F.col("mean") - 1)).alias("seq_max_deviation"),
+        F.avg((F.col("mean") > high).cast("int")).alias("seq_fraction_high"), F.avg((F.col("mean") < low).cast("int")).alias("seq_fraction_low"),
+    )
+
+
 def diagnostics(tokens: DataFrame) -> DataFrame:
     """KL, k3, perplexities and chi-square of training (old_lp) against rollout (new_lp)."""
     m, old, new = F.col("mask"), F.col("old_lp"), F.col("new_lp")
@@ -143,17 +173,35 @@ def gpg(tokens: DataFrame) -> DataFrame:
 
 @register("kl_cov")
 def kl_cov(tokens: DataFrame, ratio: float = 0.01, coef: float = 1.0) -> DataFrame:
-    """Adds the KL term to the share of tokens of largest centred product of advantage and log-probability; ties: the least (uid, slot).
+    """The plain loss with a KL term for the share of tokens of largest centred product of advantage and log-probability.
 
-    The tokens to mark are a bounded top-k, taken per task before they meet.
+    Products count to nine digits; ties: the least (uid, slot). The last token to mark is found by histograms, so no task
+    holds or sorts the marked ones.
     """
-    means = tokens.where("mask = 1").agg(F.avg("advantage").alias("ma"), F.avg("new_lp").alias("ml"), F.count(F.lit(1)).alias("n"))
-    x = tokens.where("mask = 1").crossJoin(F.broadcast(means)).withColumn("cov", (F.col("advantage") - F.col("ma")) * (F.col("new_lp") - F.col("ml")))
-    top = x.orderBy(F.desc("cov"), "uid", "slot").select("uid", "slot").limit(max(1, int(ratio * (x.count() or 1)))).withColumn("hot", F.lit(1))
+    x, n = _covariance(tokens.where("mask = 1"))
+    hot = rank.top(x, [rank.nine_digits(F.col("cov")), -F.col("uid"), -F.col("slot")], max(1, int(ratio * n)))
     d = F.col("new_lp") - F.col("old_lp")
-    out = x.join(top, ["uid", "slot"], "left")
-    per = -F.col("advantage") * F.exp(d) + F.when(F.col("hot") == 1, coef * F.abs(d)).otherwise(0.0)
-    return out.agg(F.avg(per).alias("loss"), F.count("hot").alias("n_hot"))
+    per = -F.col("advantage") * F.exp(d) + F.when(hot, coef * F.abs(d)).otherwise(0.0)
+    return x.agg(F.avg(per).alias("loss"), F.count_if(hot).alias("n_hot"))
+
+
+def _covariance(tokens: DataFrame) -> tuple[DataFrame, int]:
+    """tokens with cov, the centred product of advantage and log-probability, and their number."""
+    means = tokens.agg(F.avg("advantage").alias("ma"), F.avg("new_lp").alias("ml"), F.count(F.lit(1)).alias("n")).first()
+    cov = (F.col("advantage") - F.lit(means["ma"])) * (F.col("new_lp") - F.lit(means["ml"]))
+    return tokens.withColumn("cov", cov), means["n"]
+
+
+@register("clip_cov")
+def clip_cov(tokens: DataFrame, ratio: float = 0.0002, low: float = 1.0, high: float = 5.0, clip: float = 0.2, seed: int = 0) -> DataFrame:
+    """The clipped loss with a share of the tokens taken out, drawn from those whose centred product lies between low and high
+    and that the clip does not hold already. The draw goes by a hash of (uid, slot) and the seed."""
+    x, n = _covariance(tokens.where("mask = 1"))
+    ratio_of, a = F.exp(F.col("new_lp") - F.col("old_lp")), F.col("advantage")
+    x = x.withColumn("l1", -a * ratio_of).withColumn("l2", -a * clamp(ratio_of, 1 - clip, 1 + clip)).withColumn("draw", F.xxhash64("uid", "slot", F.lit(seed)))
+    open_ = (F.col("cov") > low) & (F.col("cov") < high) & (F.col("l2") <= F.col("l1"))
+    out = open_ & rank.top(x.where(open_), [F.col("draw"), -F.col("uid"), -F.col("slot")], max(1, int(ratio * n)))
+    return x.agg(F.avg(F.when(out, 0.0).otherwise(F.greatest("l1", "l2"))).alias("loss"), F.count_if(out).alias("n_out"), F.count_if(open_).alias("n_open"))
 
 
 def value_loss(tokens: DataFrame, clip: float = 0.5) -> DataFrame:

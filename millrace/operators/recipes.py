@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructType
 from pyspark.sql.window import Window as W
 
 from millrace.functions import text as T
@@ -88,53 +89,95 @@ def new_words(messages: Column, prompt_turns: Column) -> Column:
     return F.aggregate(later, F.lit(0), lambda a, m: a + F.size(F.filter(F.split(m["content"], r"\s+"), lambda w: w != "")))
 
 
-def _terminal_box(text: str | None) -> str:
-    """status|box by the rule: exactly one balanced box, and nothing but white space after it."""
-    marker, found, at = "\\boxed{", [], 0
-    text = text or ""
-    while (start := text.find(marker, at)) >= 0:
-        depth, end = 1, None
-        for k in range(start + len(marker), len(text)):
-            depth += (text[k] == "{") - (text[k] == "}")
-            if not depth:
-                end = k + 1
-                break
-        if end is None:
-            return "invalid:math_parse_failure|"
-        found.append((text[start:end], end))
-        at = start + len(marker)
-    if not found:
-        return "invalid:missing_final_marker|"
-    if len(found) > 1:
-        return "ambiguous:conflicting_markers|" if len({b for b, _ in found}) > 1 else "invalid:duplicate_same_marker|"
-    box, end = found[0]
-    return "invalid:prompt_contract_mismatch|" if text[end:].strip() else f"parsed|{box}"
+_BRACES = re.compile(r"\\boxed\{|[{}]")
 
 
-@F.pandas_udf(StringType())
-def terminal_box(x: pd.Series) -> pd.Series:
-    return x.map(_terminal_box)
+def _boxes(text: str | None) -> tuple[list[str], bool, str]:
+    """The outermost boxes of a text, whether the last one stays open, and what follows the last closed one."""
+    text, boxes, start, depth, end = text or "", [], 0, 0, 0
+    for m in _BRACES.finditer(text):
+        if m[0] == "}":
+            if depth == 1:
+                end = m.end()
+                boxes.append(text[start:end])
+            depth -= depth > 0
+        elif depth or m[0] != "{":  # a brace outside of boxes opens nothing
+            start = start if depth else m.start()
+            depth += 1
+    return boxes, depth > 0, text[end:]
+
+
+_FOUND = StructType().add("boxes", ArrayType(StringType())).add("open", BooleanType()).add("rest", StringType())
+
+
+@F.pandas_udf(_FOUND)
+def _found_boxes(x: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([_boxes(t) for t in x], columns=["boxes", "open", "rest"])
+
+
+def terminal_box(text: Column | str) -> Column:
+    """status|box by the rule: exactly one balanced box, and nothing but white space after it."""
+    found = _found_boxes(F.col(text) if isinstance(text, str) else text)
+    boxes = found["boxes"]
+    return (
+        F.when(found["open"], "invalid:math_parse_failure|")
+        .when(F.size(boxes) == 0, "invalid:missing_final_marker|")
+        .when(F.size(F.array_distinct(boxes)) > 1, "ambiguous:conflicting_markers|")
+        .when(F.size(boxes) > 1, "invalid:duplicate_same_marker|")
+        .when(T.strip(found["rest"]) != "", "invalid:prompt_contract_mismatch|")
+        .otherwise(F.concat(F.lit("parsed|"), F.get(boxes, F.lit(0))))
+    )
+
+
+_OPENING = re.compile(r"\{(?=\s*[\"'}])")
+
+
+def _object_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the balanced pairs of braces that can begin an object, by their starts; quotes are not read."""
+    opened, spans, likely = [], [], {m.start() for m in _OPENING.finditer(text)}
+    for m in re.finditer(r"[{}]", text):
+        if m[0] == "{":
+            opened.append(m.start())
+        elif opened and (start := opened.pop()) in likely:
+            spans.append((start, m.end()))
+    return sorted(spans)
+
+
+def _object(body: str) -> str | None:
+    """A JSON object with sorted keys, as it is or with single quotes and trailing commas repaired."""
+    for quoted in (body, body.replace("'", '"')):
+        for tidy in (quoted, re.sub(r",\s*([}\]])", r"\1", quoted)):
+            try:
+                return json.dumps(json.loads(tidy), sort_keys=True, ensure_ascii=False)
+            except ValueError:
+                continue
+    return None
 
 
 def _find_json(text: str | None) -> str | None:
-    """The last JSON object in free text, with sorted keys; single quotes and trailing commas are repaired."""
-    decoder, found = json.JSONDecoder(), None
+    """The last outermost JSON object in free text, with sorted keys; single quotes and trailing commas are repaired.
+
+    Objects are tried from the end of the text, each outermost pair of braces before the pairs inside it.
+    """
     text = text or ""
-    for at, c in enumerate(text):
-        if c != "{":
+    spans = _object_spans(text)
+    outer: list[list[tuple[int, int]]] = []
+    for span in spans:
+        if outer and span[0] < outer[-1][0][1]:
+            outer[-1].append(span)
+        else:
+            outer.append([span])
+    for group in reversed(outer):
+        for start, end in group:
+            if (found := _object(text[start:end])) is not None:
+                return found
+    decoder = json.JSONDecoder()
+    for start in reversed([m.start() for m in _OPENING.finditer(text)]):  # braces within strings upset the pairs
+        try:
+            return json.dumps(decoder.raw_decode(text, start)[0], sort_keys=True, ensure_ascii=False)
+        except ValueError:
             continue
-        for body in (text[at:], text[at:].replace("'", '"')):
-            for tidy in (body, body.replace(",}", "}").replace(", }", "}").replace(",]", "]")):
-                try:
-                    value, _ = decoder.raw_decode(tidy)
-                except ValueError:
-                    continue
-                found = json.dumps(value, sort_keys=True, ensure_ascii=False)
-                break
-            else:
-                continue
-            break
-    return found
+    return None
 
 
 @F.pandas_udf(StringType())
@@ -162,7 +205,7 @@ def kl_reward(tokens: DataFrame, beta: float, kl: Column) -> DataFrame:
 def resampling_weights(rows: DataFrame, method: str, power: float = 2.0) -> DataFrame:
     """Adds weight by pow, max_min or max_random."""
     one = rows.agg(F.max("score").alias("hi"), F.min("score").alias("lo"))
-    x = rows.crossJoin(F.broadcast(one))
+    x = rows.crossJoin(F.broadcast(one))  # one row
     weight = {
         "pow": F.pow(F.abs("score"), power), "max_min": F.when((F.col("score") == F.col("hi")) | (F.col("score") == F.col("lo")), 1.0).otherwise(0.0),
         "max_random": F.when(F.col("score") == F.col("hi"), 0.4).otherwise(0.1),
@@ -170,22 +213,28 @@ def resampling_weights(rows: DataFrame, method: str, power: float = 2.0) -> Data
     return x.withColumn("weight", weight + 1e-8).drop("hi", "lo")
 
 
+RANGE = 1_000_000
+
+
 def resample(rows: DataFrame, seed: int = 0) -> DataFrame:
     """As many rows as given, drawn in proportion to weight by systematic sampling: a row appears floor or ceil of n * share times.
 
-    Row i covers an interval of the running weight; draws fall at u, u + 1, ... of n. The running weight is summed by
-    group first, so only group totals meet in one window.
+    Row i covers an interval of the running weight, in order of uid and slot; draws fall at u, u + 1, ... of n. Weights are
+    summed as whole numbers of billionths, so the draw does not depend on how rows are spread. The running weight is summed
+    within ranges of uid of about ``RANGE`` groups, so only the totals of ranges meet in one task.
     """
-    w = W.partitionBy("uid").orderBy("slot").rowsBetween(W.unboundedPreceding, 0)
-    groups = rows.groupBy("uid").agg(F.sum("weight").alias("g"))
-    before = F.coalesce(F.sum("g").over(W.orderBy("uid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    groups = groups.withColumn("before", before)
-    total = rows.agg(F.sum("weight").alias("total"), F.count(F.lit(1)).alias("n"))
-    x = rows.withColumn("own", F.sum("weight").over(w)).join(groups, "uid").crossJoin(F.broadcast(total))
-    scale = F.col("n") / F.col("total")
-    u = (0.5 + seed * 0.6180339887498949) % 1.0
-    hi, lo = F.floor((F.col("before") + F.col("own")) * scale - u), F.floor((F.col("before") + F.col("own") - F.col("weight")) * scale - u)
-    return x.withColumn("times", hi - lo).drop("own", "g", "before", "total", "n")
+    lo, hi, total, n = rows.agg(F.min("uid"), F.max("uid"), F.sum(F.round(F.col("weight") * 1e9).cast("decimal(38,0)")), F.count(F.lit(1))).first()
+    if not n or not total:
+        return rows.withColumn("times", F.lit(0).cast("long"))
+    x = rows.withColumn("w", F.round(F.col("weight") * 1e9).cast("decimal(38,0)")).withColumn("range", F.floor((F.col("uid") - F.lit(lo)) / max(1, min(RANGE, hi - lo + 1))))
+    before = F.coalesce(F.sum("g").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = x.groupBy("range").agg(F.sum("w").alias("g")).select("range", before.alias("before"))
+    own = F.sum("w").over(W.partitionBy("range").orderBy("uid", "slot").rowsBetween(W.unboundedPreceding, 0))
+    upto = x.withColumn("own", own).join(ranges, "range").withColumn("upto", (F.col("before") + F.col("own")).cast("decimal(38,0)"))
+    late = 1000 - int((0.5 + seed * 0.6180339887498949) % 1.0 * 1000)  # where the first draw falls, in thousandths from behind
+    drawn = lambda at: f"(cast(({at}) * {n}BD * 1000 + {late}BD * {int(total)}BD as decimal(38,0)) div ({int(total)}BD * 1000))"
+    times = F.expr(f"{drawn('upto')} - {drawn('upto - w')}")
+    return upto.withColumn("times", times.cast("long")).drop("w", "range", "own", "before", "upto")
 
 
 def prime_rloo(tokens: DataFrame) -> DataFrame:

@@ -140,8 +140,22 @@ SQL["adv_reinforce_pp_baseline"] = f"WITH {TRAJ}, c AS (SELECT uid, slot, mask,
 
 
 def adv_remax(spark, sf_dir):
-    return A.remax(trajectories(spark, sf_dir)).select("uid", "slot", r6("advantage").alias("advantage"))
+    rows = trajectories(spark, sf_dir).withColumn("baseline", F.col("length") / 7)
+    return A.remax(rows).select("uid", "slot", r6("advantage").alias("advantage"))
 
 
 QUERIES["adv_remax"] = adv_remax
-SQL["adv_remax"] = f"""WITH {TRAJ} SELECT uid, slot, {s6(f"(sum(score * mask) OVER (PARTITION BY uid ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - min(score) {G}) * mask")} AS advantage FROM traj"""
+SQL["adv_remax"] = f"""WITH {TRAJ} SELECT uid, slot, {s6(f"(sum(score * mask) OVER (PARTITION BY uid ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - length / 7.0) * mask")} AS advantage FROM traj"""
+
+
+def adv_batch(spark, sf_dir):
+    rows = paired(trajectories(spark, sf_dir))
+    token = lambda score, mask: F.struct(score.cast("double").alias("score"), mask.alias("mask"))
+    tokens = F.array(token(F.col("score") - 1, F.lit(1)), token(F.lit(7), F.lit(0)), token(F.lit(1.5), F.lit(1)))
+    rows = rows.select("uid", "perm", "pslot", tokens.alias("tokens"), (F.col("score") - 0.5).alias("base"), F.lit(1.0).alias("bonus"))
+    out, _ = A.controlled_batch(rows, "pa_controlled")
+    return out.select("uid", "perm", "pslot", r6(F.aggregate("advantages", F.lit(0.0), lambda a, x: a + x) / 2).alias("mean"), r6(F.col("advantages")[1]).alias("unmasked"))
+
+
+QUERIES["adv_controlled_batch"] = adv_batch
+SQL["adv_controlled_batch"] = f"""WITH p AS ({SQL["adv_pa"]}) SELECT uid, perm, pslot, advantage AS mean, 0.0::DOUBLE AS unmasked FROM p"""

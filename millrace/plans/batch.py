@@ -49,8 +49,8 @@ _add("bat_unpad", lambda s, d: B.unpad(B.pad_to_divisor(_batch(s, d), 97, _n(s,
 _add("bat_pad_last", lambda s, d: B.pad_with(_batch(s, d), 5, _n(s, d), False), f"{W_}, n AS (SELECT count(*) AS n FROM b) SELECT row_id, cust, status FROM b UNION ALL SELECT n + range, cust, status FROM n, range(5), b WHERE b.row_id = n - 1")
 _add("bat_chunk", lambda s, d: B.chunk(_batch(s, d), 7, _n(s, d)), f"{W_} SELECT row_id, cust, status, row_id // (((SELECT count(*) FROM b) + 6) // 7) AS chunk FROM b")
 _add("bat_split", lambda s, d: B.split(_batch(s, d), 100), f"{W_} SELECT row_id, cust, status, row_id // 100 AS chunk FROM b")
-_add("bat_minibatch", lambda s, d: B.minibatches(B.slice_rows(_batch(s, d), 0, 1000), 50, 1000, 2, 9).select("epoch", "batch", "row_id"),
-     f"{W_} SELECT epoch, (row_number() OVER (PARTITION BY epoch ORDER BY md5('9:' || epoch || ':' || row_id), row_id) - 1) // 50 AS batch, row_id FROM b, (SELECT range AS epoch FROM range(2)) WHERE row_id < 1000")
+_add("bat_minibatch", lambda s, d: B.minibatches(_batch(s, d), 50, _n(s, d), 2, 9).select("epoch", "batch", "row_id"),
+     f"{W_} SELECT epoch, (row_number() OVER (PARTITION BY epoch ORDER BY md5('9:' || epoch || ':' || row_id), row_id) - 1) // 50 AS batch, row_id FROM b, (SELECT range AS epoch FROM range(2))")
 _add("bat_union_columns", lambda s, d: B.union_columns(_batch(s, d), _batch(s, d).select("row_id", "status", (F.col("cust") * 2).alias("twice"))), f"{W_} SELECT row_id, cust, status, cust * 2 AS twice FROM b")
 _add("bat_concat", lambda s, d: B.concat(B.slice_rows(_batch(s, d), 0, 40), B.slice_rows(_batch(s, d), 40, 90)), f"{W_} SELECT row_id % 40 AS row_id, cust, status FROM b WHERE row_id < 40 UNION ALL SELECT row_id - 40, cust, status FROM b WHERE row_id >= 40 AND row_id < 90")
 _add("bat_difference", lambda s, d: _batch(s, d).select("cust").exceptAll(B.slice_rows(_batch(s, d), 0, None, 2).select("cust")), f"{W_} SELECT cust FROM b EXCEPT ALL SELECT cust FROM b WHERE row_id % 2 = 0")

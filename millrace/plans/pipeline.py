@@ -54,7 +54,25 @@ s AS (SELECT sum(({_T}) * mask) / (sum(mask) + 1e-8) AS l, sum(mask) AS n FROM x
 _add("los_geo_mean", lambda s, d: L.loss("geo_mean")(_tokens(s, d)), f"""{W_}, x AS (SELECT *, sign(advantage) * least(sign(advantage) * (new_lp - old_lp), sign(advantage) * greatest(least(new_lp - old_lp, 0.2), -0.2)) AS k FROM tok),
 s AS (SELECT exp({MM.format("k")}) AS r, {MM.format("advantage")} AS a FROM x GROUP BY uid) SELECT {s6("avg(-a * r)")} AS loss FROM s""")
 _add("los_gpg", lambda s, d: L.loss("gpg")(_tokens(s, d)), f"{W_} SELECT {s6(MM.format('-advantage * new_lp'))} AS loss FROM tok")
-_add("los_kl_cov", lambda s, d: L.loss("kl_cov")(_tokens(s, d)).select("n_hot"), f"{W_} SELECT greatest(1, CAST(floor(0.01 * count(*)) AS BIGINT)) AS n_hot FROM tok WHERE mask = 1")
+_COV = f"""{W_}, m AS (SELECT avg(advantage) AS ma, avg(new_lp) AS ml, count(*) AS n FROM tok WHERE mask = 1),
+c AS (SELECT uid, slot, advantage, old_lp, new_lp, n, (advantage - ma) * (new_lp - ml) AS cov FROM tok, m WHERE mask = 1)"""
+_add("los_kl_cov", lambda s, d: L.loss("kl_cov")(_tokens(s, d)), f"""{_COV}, r AS (SELECT *, row_number() OVER (ORDER BY CAST(round(cov * 1e9) AS BIGINT) DESC, uid, slot) <= greatest(1, CAST(floor(0.01 * n) AS BIGINT)) AS hot FROM c)
+SELECT {s6("avg(-advantage * exp(new_lp - old_lp) + CASE WHEN hot THEN abs(new_lp - old_lp) ELSE 0 END)")} AS loss, count(*) FILTER (hot) AS n_hot FROM r""")
+#: A share of one takes all open tokens out, so that SQL needs no draw.
+_add("los_clip_cov", lambda s, d: L.loss("clip_cov")(_tokens(s, d), ratio=1.0, low=0.05, high=0.2), f"""{_COV}, x AS (SELECT *, -advantage * exp(new_lp - old_lp) AS l1, -advantage * greatest(least(exp(new_lp - old_lp), 1.2), 0.8) AS l2 FROM c),
+o AS (SELECT *, cov > 0.05 AND cov < 0.2 AND l2 <= l1 AS open FROM x) SELECT {s6("avg(CASE WHEN open THEN 0 ELSE greatest(l1, l2) END)")} AS loss, count(*) FILTER (open) AS n_out, count(*) FILTER (open) AS n_open FROM o""")
+_add("los_clip_cov_drawn", lambda s, d: L.loss("clip_cov")(_tokens(s, d), ratio=0.01, low=0.05, high=0.2).select("n_out", "n_open"), f"""{_COV}, x AS (SELECT *, -advantage * exp(new_lp - old_lp) AS l1, -advantage * greatest(least(exp(new_lp - old_lp), 1.2), 0.8) AS l2 FROM c)
+SELECT least(count(*) FILTER (cov > 0.05 AND cov < 0.2 AND l2 <= l1), greatest(1, CAST(floor(0.01 * max(n)) AS BIGINT))) AS n_out, count(*) FILTER (cov > 0.05 AND cov < 0.2 AND l2 <= l1) AS n_open FROM x""")
+for level, sql in _LEVEL.items():
+    _w = "exp(greatest(least(r, 20), -20))"
+    _ends = ("max(top)", "min(least)", "sum(over_) / (sum(n) + 1e-8)", "sum(under_) / (sum(n) + 1e-8)") if level == "token" else ("exp(least(max(r), 20))", "exp(min(r))", "avg(CAST(r > ln(1.2) AS INT))", "avg(CAST(r < ln(1 / 1.2) AS INT))")
+    _add(f"off_rejection_metrics_{level}", lambda s, d, k=level: L.rejection_metrics(_tokens(s, d), k, 1.2), f"""{W_}, x AS (SELECT uid, mask, {sql} AS r FROM tok), y AS (SELECT *, {_w} AS w, greatest(least({_w}, 1.2), 1 / 1.2) AS cut FROM x),
+q AS (SELECT max(r) AS r, sum(mask) AS n, sum(w * mask) AS w, sum(cut * mask) AS cut, sum(cut * cut * mask) AS cut2, max(w) FILTER (mask = 1) AS top, min(w) FILTER (mask = 1) AS least,
+count(*) FILTER (mask = 1 AND w > 1.2) AS over_, count(*) FILTER (mask = 1 AND w < 1 / 1.2) AS under_, sum(w * mask) / (sum(mask) + 1e-8) AS mean FROM y GROUP BY uid),
+t AS (SELECT sum(n) + 1e-8 AS n, sum(cut) / (sum(n) + 1e-8) AS mc, sum(cut2) / (sum(n) + 1e-8) AS mc2 FROM q)
+SELECT {s6("sum(w) / (sum(n) + 1e-8)")} AS mean, {s6(_ends[0])} AS max, {s6(_ends[1])} AS min, {s6(_ends[2])} AS fraction_high, {s6(_ends[3])} AS fraction_low,
+{s6("sqrt(greatest((SELECT mc2 - mc * mc FROM t), 0))")} AS std, {s6("(SELECT (mc + 1e-8) * (mc + 1e-8) / mc2 FROM t)")} AS eff_sample_size, {s6("avg(mean)")} AS seq_mean, {s6("stddev_samp(mean)")} AS seq_std, {s6("max(mean)")} AS seq_max,
+{s6("min(mean)")} AS seq_min, {s6("max(abs(mean - 1))")} AS seq_max_deviation, {s6("avg(CAST(mean > 1.2 AS INT))")} AS seq_fraction_high, {s6("avg(CAST(mean < 1 / 1.2 AS INT))")} AS seq_fraction_low FROM q""")
 _add("los_value", lambda s, d: L.value_loss(_tokens(s, d).select("mask", F.col("score").alias("pred"), (F.col("score") - F.col("old_lp")).alias("value"), (F.col("score") - 1).alias("returns"))),
      f"""{W_}, x AS (SELECT mask, score AS pred, score - old_lp AS v, score - 1 AS ret FROM tok), y AS (SELECT mask, pow(pred - ret, 2) AS a, pow(greatest(least(pred, v + 0.5), v - 0.5) - ret, 2) AS b FROM x)
 SELECT {s6("0.5 * " + MM.format("greatest(a, b)"))} AS loss, {s6(MM.format("CAST(b > a AS INT)"))} AS clipfrac FROM y""")

@@ -39,7 +39,9 @@ def _lines(s, d):
     return _docs(s, d).select("doc_id", F.when(k == 0, "x\nB. because\nend").when(k == 1, "<answer>c</answer>").when(k == 2, "A\nD:").otherwise(F.lower("text")).alias("t"))
 
 
-_add("str_official_thinking", lambda s, d: _lines(s, d).where("doc_id % 4 < 3").select("doc_id", R.official_letter(F.col("t"), "thinking").alias("x")), "SELECT doc_id, (['B', 'C', 'D'])[doc_id % 4 + 1] AS x FROM documents WHERE doc_id % 4 < 3")
+_add("str_official_thinking", lambda s, d: _lines(s, d).select("doc_id", R.official_letter(F.col("t"), "thinking").alias("x")), rf"""WITH r AS (SELECT doc_id, {_LINES} AS t FROM documents),
+l AS (SELECT doc_id, t, list_filter(list_transform(string_split(regexp_replace(t, '^\s+|\s+$', '', 'g'), chr(10)), lambda x: regexp_extract(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^([ABCD])($|[.:])', 1)), lambda x: x <> '') AS found FROM r)
+SELECT doc_id, CASE WHEN regexp_matches(t, '(?i)<answer>\s*[ABCD]\s*</answer>') THEN upper(regexp_extract(t, '(?i)<answer>\s*([ABCD])\s*</answer>', 1)) ELSE found[-1] END AS x FROM l""")
 _add("str_official_direct", lambda s, d: _lines(s, d).select("doc_id", R.official_letter(F.col("t"), "direct").alias("x")), f"SELECT doc_id, nullif(regexp_extract(upper({_LINES}), '([ABCD])', 1), '') AS x FROM documents")
 _add("rwd_choice", lambda s, d: _docs(s, d).select("doc_id", R.choice_score(F.concat("text", F.lit("\nANSWER: $"), F.when(F.col("doc_id") % 2 == 0, "B").otherwise("C"), F.lit("$")), F.lit("B")).alias("score")), "SELECT doc_id, CAST(doc_id % 2 = 0 AS DOUBLE) AS score FROM documents")
 
@@ -67,9 +69,11 @@ _add("rwd_geometry", lambda s, d: table(s, d, "orders").select("o_orderkey", r6(
 _add("rwd_kl_penalty", lambda s, d: R.kl_reward(trajectories(s, d), 0.3, F.col("old_lp") - F.col("new_lp")).select("uid", "slot", r6("reward").alias("reward")), f"WITH {TRAJ} SELECT uid, slot, {s6('score - 0.3 * (old_lp - new_lp) * mask')} AS reward FROM traj")
 for _m, _w in {"pow": "pow(abs(score), 2)", "max_min": "CASE WHEN score = max(score) OVER () OR score = min(score) OVER () THEN 1 ELSE 0 END", "max_random": "CASE WHEN score = max(score) OVER () THEN 0.4 ELSE 0.1 END"}.items():
     _add(f"adv_resampling_{_m}", lambda s, d, m=_m: R.resampling_weights(trajectories(s, d), m).select("uid", "slot", r6("weight").alias("weight")), f"WITH {TRAJ} SELECT uid, slot, {s6(f'{_w} + 1e-8')} AS weight FROM traj")
-_add("adv_resample", lambda s, d: R.resample(R.resampling_weights(trajectories(s, d), "max_random")).agg(F.sum("times").alias("n"), F.max("times").alias("most")), f"WITH {TRAJ} SELECT count(*) AS n, 4::BIGINT AS most FROM traj")
-_add("adv_prime_rloo", lambda s, d: R.prime_rloo(trajectories(s, d).select("uid", F.col("perm").alias("rollout"), "slot", "score", "mask").where("uid % 2 = 0")).select("uid", "slot", r6("value").alias("value"), r6("returns").alias("returns")),
-     f"""WITH {TRAJ}, m AS (SELECT uid, perm, avg(CASE WHEN mask = 1 THEN score END) AS m FROM traj WHERE uid % 2 = 0 GROUP BY ALL), g AS (SELECT uid, sum(m) AS s, count(*) AS n FROM m GROUP BY uid HAVING count(*) > 1),
+_add("adv_resample", lambda s, d: R.resample(R.resampling_weights(trajectories(s, d), "max_random")).select("uid", "slot", F.col("times").cast("long").alias("times")), f"""WITH {TRAJ},
+w AS (SELECT uid, slot, CASE WHEN score = max(score) OVER () THEN 40000001 ELSE 10000001 END::HUGEINT AS w FROM traj), r AS (SELECT *, sum(w) OVER (ORDER BY uid, slot) AS upto, sum(w) OVER () AS total, count(*) OVER () AS n FROM w)
+SELECT uid, slot, CAST((2 * upto * n + total) // (2 * total) - (2 * (upto - w) * n + total) // (2 * total) AS BIGINT) AS times FROM r""")
+_add("adv_prime_rloo", lambda s, d: R.prime_rloo(trajectories(s, d).select("uid", F.col("perm").alias("rollout"), "slot", "score", "mask")).select("uid", "slot", r6("value").alias("value"), r6("returns").alias("returns")),
+     f"""WITH {TRAJ}, m AS (SELECT uid, perm, avg(CASE WHEN mask = 1 THEN score END) AS m FROM traj GROUP BY ALL), g AS (SELECT uid, sum(m) AS s, count(*) AS n FROM m GROUP BY uid HAVING count(*) > 1),
 v AS (SELECT uid, perm, slot, mask, CASE WHEN mask = 1 THEN score * n / (n - 1) - s / (n - 1) ELSE 0 END AS v FROM traj JOIN g USING (uid))
 SELECT uid, slot, {s6("v")} AS value, {s6("sum(v * mask) OVER (PARTITION BY uid, perm ORDER BY slot ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")} AS returns FROM v""")
 _add("gat_row_contract", lambda s, d: R.contract_faults(table(s, d, "lineitem").select(F.col("l_orderkey").alias("pair_id"), (F.col("l_linenumber") % 2).alias("permutation_id"), F.when(F.col("l_linestatus") == "F", "AB").otherwise("BA").alias("label"), F.when(F.col("l_returnflag") == "A", "A").otherwise("B").alias("truth"))),
