@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("advantage", "metrics", "batch", "text", "pipeline", "streams", "recipes", "checks")
+FAMILIES = ("advantage", "metrics", "batch", "text", "pipeline", "streams", "recipes", "checks", "contracts")
 
 
 def _modules():
