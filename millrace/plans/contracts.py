@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.operators import contracts as C
+from millrace.sources import files
 from millrace.sources.tables import r6, s6, table, trajectories
 
 QUERIES, SQL = {}, {}
@@ -110,3 +111,19 @@ _add("mth_flops", lambda s, d: C.dense_flops(table(s, d, "lineitem").select(F.co
      f"SELECT l_suppkey AS batch, {s6('(6.0 * (3 * (64 * 128 * 3 + 64 * (64 + 32 + 32 + 64)) + 1000 * 64 * 2) * sum(l_quantity) + 12.0 * sum(l_quantity * l_quantity) * 16 * 4 * 3) / 0.5 / 1e12')} AS teraflops FROM lineitem GROUP BY l_suppkey")
 #: No SQL: the draws of a generator.
 _add("met_bootstrap", lambda s, d: C.bootstrap(trajectories(s, d).select(F.col("uid").alias("group"), F.col("slot").alias("order"), F.col("score").alias("value")), 4, times=50))
+
+
+def _scanned(s, d):
+    """Two tables read as one, in order of files."""
+    rows = files.read_many(s, f"{d}/documents.parquet", f"{d}/benchmark.parquet")
+    message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    return rows.select("file_no", F.coalesce(F.col("doc_id").cast("string"), F.col("item_id").cast("string")).alias("id"), message.alias("prompt"))
+
+
+_add("src_prompt_rows", lambda s, d: files.prompt_rows(_scanned(s, d), longest=900).select("file_no", "id", F.md5(F.col("prompt")[0]["content"]).alias("text")),
+     "SELECT 0 AS file_no, CAST(doc_id AS VARCHAR) AS id, md5(text) AS text FROM documents WHERE length(text) <= 900 UNION ALL SELECT 1, CAST(item_id AS VARCHAR), md5(text) FROM benchmark WHERE length(text) <= 900")
+_add("src_answer_rows", lambda s, d: files.answer_rows(
+    table(s, d, "documents").select("doc_id", F.array(F.struct(F.map_from_arrays(F.array(F.lit("q")), F.array("text")).alias("m"))).alias("turns"), F.struct(F.struct("lang").alias("inner")).alias("out")),
+    "turns", "out", ("m", "q"), ("inner", "lang")).select("doc_id", F.md5("prompt").alias("prompt"), "response"),
+     "SELECT doc_id, md5(text) AS prompt, lang AS response FROM documents")
+_add("src_preference_rows", lambda s, d: files.preference_rows(table(s, d, "documents"), "source", "text", "lang").select("prompt", F.md5("chosen").alias("chosen"), "rejected"), "SELECT source AS prompt, md5(text) AS chosen, lang AS rejected FROM documents")

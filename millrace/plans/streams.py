@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -14,7 +13,8 @@ QUERIES, SQL = {}, {}
 
 
 def _scratch(spark):
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-")
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/millrace-streams"
     return f"{root}/stream-{uuid.uuid4().hex}"
 
 
@@ -56,3 +56,25 @@ def stm_resumable(s, d):
 
 QUERIES["stm_resumable"] = stm_resumable
 SQL["stm_resumable"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+
+def stm_drained(s, d):
+    at = _scratch(s)
+    return Q.drained(_events(s, d), f"{at}/out", f"{at}/checkpoint", F.col("value") > 20).agg(F.sum("generated").alias("generated"), F.sum("dropped").alias("dropped"))
+
+
+QUERIES["stm_drained"] = stm_drained
+SQL["stm_drained"] = "SELECT count(*) FILTER (value > 20) AS generated, count(*) FILTER (value <= 20 OR value IS NULL) AS dropped FROM events"
+
+
+def stm_metric_state(s, d):
+    at = _scratch(s)
+    steps = _events(s, d).select("user_id", F.floor(F.col("event_id") / 500).alias("version"), F.col("event_id").alias("step"), "value", (F.col("event_id") % 3 + 1).alias("samples"))
+    out = Q.replay(Q.metric_state(steps, "user_id"), f"{at}/out", f"{at}/checkpoint")
+    return out.select("user_id", "version", "steps", "samples", *[r6(c).alias(c) for c in ("mean", "last", "total")])
+
+
+QUERIES["stm_metric_state"] = stm_metric_state
+SQL["stm_metric_state"] = f"""WITH v AS (SELECT user_id, event_id // 500 AS version, count(*) AS steps, CAST(sum(event_id % 3 + 1) AS BIGINT) AS samples, {s6("sum(value * (event_id % 3 + 1)) / sum(event_id % 3 + 1)")} AS mean,
+{s6("max_by(value, event_id)")} AS last, {s6("sum(value)")} AS total FROM events GROUP BY ALL)
+SELECT * FROM v QUALIFY version < max(version) OVER (PARTITION BY user_id)"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -76,6 +76,47 @@ def windowed_metrics(events: DataFrame, length: str = "1 hour", slide: str | Non
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def drained(stream: DataFrame, path: str, checkpoint: str, ready: Column) -> DataFrame:
+    """Drains a stream to its end: rows that are ready are merged by batch and appended, the others dropped; batch, generated and dropped of every batch."""
+    spark = stream.sparkSession
+
+    def take(batch: DataFrame, number: int) -> None:
+        # a batch that is tried again writes over itself, so its counters and rows are counted once
+        held = batch.withColumn("ready", F.coalesce(ready, F.lit(False)))
+        held.where("ready").drop("ready").write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        counts = held.agg(F.count_if("ready").alias("generated"), F.count_if(~F.col("ready")).alias("dropped"))
+        counts.write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+    return spark.read.parquet(f"{path}/counts").select(F.col("batch").cast("long").alias("batch"), "generated", "dropped")
+
+
+def metric_state(steps: DataFrame, key: str) -> DataFrame:
+    """Metrics of the steps between two versions: when a key's version moves on, what the last one gathered is sent out and its state is cleared.
+
+    steps: key, version, step, value, samples (all long but value). Emits key, version, steps, samples, mean (weighted by
+    samples), last and total. A version that no other has followed yet is still open and not sent.
+    """
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        version, steps_, samples, weighted, last, total = state.get if state.exists else (None, 0, 0, 0.0, 0.0, 0.0)
+        rows = pd.concat(batches).sort_values(["version", "step"])
+        out = []
+        for v, x, n in zip(rows["version"], rows["value"], rows["samples"], strict=True):
+            if version is not None and v != version:
+                out.append((k[0], version, steps_, samples, weighted / max(samples, 1), last, total))
+                steps_, samples, weighted, total = 0, 0, 0.0, 0.0
+            version, steps_, samples = int(v), steps_ + 1, samples + int(n)
+            weighted, last, total = weighted + float(x) * int(n), float(x), total + float(x)
+        state.update((version, steps_, samples, weighted, last, total))
+        yield pd.DataFrame(out, columns=[key, "version", "steps", "samples", "mean", "last", "total"])
+
+    return steps.select(key, "version", "step", "value", "samples").groupBy(key).applyInPandasWithState(
+        step, f"{key} long, version long, steps long, samples long, mean double, last double, total double",
+        "version long, steps long, samples long, weighted double, last double, total double", "append", GroupStateTimeout.NoTimeout,
+    )
+
+
 def resumable(planned: DataFrame, *keys: str) -> DataFrame:
     """Each key once, whatever is sent again; with a checkpoint an interrupted run goes on where it stopped."""
     return planned.dropDuplicates(list(keys))
