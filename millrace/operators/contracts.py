@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -226,3 +227,73 @@ def bootstrap(rows: DataFrame, size: int, reducers: tuple[str, ...] = ("mean", "
         return pd.DataFrame(found, columns=["group", "reducer", "mean", "std"])
 
     return rows.select("group", "order", "value").groupBy("group").applyInPandas(run, "group long, reducer string, mean double, std double")
+
+
+def statistical_gate(plans: DataFrame, outcomes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """rule, severity (FAIL or WARN) of every broken rule, by whole-number comparisons.
+
+    plans: question, source, generator; outcomes: source, generator, status of the successful candidates (correct, incorrect,
+    ambiguous, invalid, error); pairs: question, source, positive_generator, negative_generator, one for each question.
+    Of each cell of source and generator at most a fifth may be bad, and not all of its decided ones right or wrong; of a
+    source's planned questions a fifth must have a pair and three tenths should; no generator should give more than seven
+    tenths of a side, and none may give nine tenths of all pairs.
+    """
+
+    def said(rows: DataFrame, rule: Column, condition: Column, severity: str) -> DataFrame:
+        return rows.where(condition).select(rule.alias("rule"), F.lit(severity).alias("severity"))
+
+    status = F.col("status")
+    cells = outcomes.groupBy("source", "generator").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(status.isin("invalid", "error")).alias("bad"), F.count_if(status == "correct").alias("right"), F.count_if(status.isin("correct", "incorrect")).alias("decided")
+    )
+    cell = F.concat_ws("/", "source", "generator")
+    planned = plans.select("question", "source").distinct()
+    chosen = pairs.join(planned, ["question", "source"], "left_semi")
+    of_source = planned.groupBy("source").agg(F.count(F.lit(1)).alias("n")).join(chosen.groupBy("source").agg(F.count(F.lit(1)).alias("k")), "source", "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    sides = F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"{side}_generator").alias("generator")) for side in ("positive", "negative")])
+    given = chosen.select("source", F.inline(sides)).select(F.explode(F.array(F.lit("pooled"), F.col("source"))).alias("scope"), "side", "generator")
+    shares = given.groupBy("scope", "side", "generator").agg(F.count(F.lit(1)).alias("k")).withColumn("n", F.sum("k").over(W.partitionBy("scope", "side")))
+    share = F.concat(F.lit("generator_share:"), F.concat_ws("/", "scope", "side", "generator"))
+    pooled = F.col("scope") == "pooled"
+    n, k = F.col("n"), F.col("k")
+    named = lambda name, of, end: F.concat(F.lit(f"{name}:"), of, F.lit(f":{end}"))
+    parts = (
+        said(cells, named("invalid_error_rate", cell, "above_20_percent"), F.col("bad") * 5 > n, "FAIL"),
+        said(cells, named("correct_rate", cell, "binary_extreme"), (F.col("decided") > 0) & ((F.col("right") == 0) | (F.col("right") == F.col("decided"))), "WARN"),
+        said(of_source, named("pair_yield", F.col("source"), "below_20_percent"), k * 5 < n, "FAIL"),
+        said(of_source, named("pair_yield", F.col("source"), "below_30_percent"), k * 10 < n * 3, "WARN"),
+        said(shares, F.concat(share, F.lit(":at_least_90_percent")), pooled & (k * 10 >= n * 9), "FAIL"),
+        said(shares, F.concat(share, F.lit(":above_70_percent")), k * 10 > n * 7, "WARN"),
+        said(shares, F.concat(share, F.lit(":strong_at_least_90_percent")), ~pooled & (k * 10 >= n * 9), "WARN"),
+    )
+    return reduce(DataFrame.unionAll, parts)
+
+
+def gate_status(faults: DataFrame) -> DataFrame:
+    """One row: FAIL with any failure, else PASS_WITH_WARNINGS with any warning, else PASS."""
+    worst = F.when(F.count_if(F.col("severity") == "FAIL") > 0, "FAIL").when(F.count(F.lit(1)) > 0, "PASS_WITH_WARNINGS").otherwise("PASS")
+    return faults.agg(worst.alias("status"))
+
+
+def partial_spans(rows: DataFrame) -> DataFrame:
+    """rows: version_start, version_end. How many trajectories span versions, their share, and the widest span."""
+    span = F.abs(F.col("version_end") - F.col("version_start"))
+    return rows.agg(F.count_if(span > 0).alias("partial"), F.avg((span > 0).cast("int")).alias("ratio"), F.max(span).alias("widest"))
+
+
+def result_groups(rows: DataFrame, judged: bool = True) -> DataFrame:
+    """Adds group: the question that a result belongs to.
+
+    rows: question_id, id, extra (struct of question_id, pair_id, id, original_index), row_index. The first that is there, cut
+    at ``_perm_``; row_index counts only without extra. Where fewer than a tenth of several groups have two rows, judged
+    results go by original_index instead, if all have it.
+    """
+    e = F.col("extra")
+    name = F.coalesce("question_id", "id", e["question_id"], e["pair_id"], e["id"], F.when(e.isNull(), F.col("row_index")), F.lit(""))
+    out = rows.withColumn("group", F.substring_index(name, "_perm_", 1))
+    if not judged:
+        return out
+    groups = out.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count(e["original_index"]).alias("k"))
+    few = groups.agg(((F.count_if(F.col("n") >= 2) * 10 < F.count(F.lit(1))) & (F.count(F.lit(1)) > 1) & (F.sum("n") == F.sum("k"))).alias("few"))
+    out = out.crossJoin(F.broadcast(few))  # one row
+    return out.withColumn("group", F.when(F.col("few"), e["original_index"].cast("string")).otherwise(F.col("group"))).drop("few")

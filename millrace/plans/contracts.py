@@ -127,3 +127,45 @@ _add("src_answer_rows", lambda s, d: files.answer_rows(
     "turns", "out", ("m", "q"), ("inner", "lang")).select("doc_id", F.md5("prompt").alias("prompt"), "response"),
      "SELECT doc_id, md5(text) AS prompt, lang AS response FROM documents")
 _add("src_preference_rows", lambda s, d: files.preference_rows(table(s, d, "documents"), "source", "text", "lang").select("prompt", F.md5("chosen").alias("chosen"), "rejected"), "SELECT source AS prompt, md5(text) AS chosen, lang AS rejected FROM documents")
+
+
+def _gate(s, d):
+    x = table(s, d, "lineitem")
+    source, generator = F.col("l_returnflag").alias("source"), F.concat(F.lit("g"), F.col("l_suppkey") % 3)
+    plans = x.select(F.col("l_orderkey").alias("question"), source, generator.alias("generator"))
+    status = F.when(F.col("l_quantity") % 4 == 0, "invalid").when((F.col("l_suppkey") % 3 == 1) | (F.col("l_quantity") % 4 == 1), "correct").when(F.col("l_quantity") % 4 == 2, "incorrect").otherwise("ambiguous")
+    outcomes = x.select(source, generator.alias("generator"), status.alias("status"))
+    k = F.col("l_orderkey") % 20
+    pairs = x.groupBy("l_orderkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n")).where((F.col("l_returnflag") != "R") & (k < F.when(F.col("l_returnflag") == "A", 5).otherwise(3)))
+    pairs = pairs.select(F.col("l_orderkey").alias("question"), F.col("l_returnflag").alias("source"), F.when(k < 3, "g0").otherwise("g1").alias("positive_generator"), F.when(F.col("n") < 0, "g1").otherwise("g2").alias("negative_generator"))
+    return C.statistical_gate(plans, outcomes, pairs)
+
+
+_G = """x AS (SELECT l_orderkey AS q, l_returnflag AS s, 'g' || l_suppkey % 3 AS g, CASE WHEN l_quantity % 4 = 0 THEN 'invalid' WHEN l_suppkey % 3 = 1 OR l_quantity % 4 = 1 THEN 'correct' WHEN l_quantity % 4 = 2 THEN 'incorrect' ELSE 'ambiguous' END AS st FROM lineitem),
+c AS (SELECT s, g, count(*) AS n, count(*) FILTER (st = 'invalid') AS bad, count(*) FILTER (st = 'correct') AS k, count(*) FILTER (st IN ('correct', 'incorrect')) AS d FROM x GROUP BY ALL),
+p AS (SELECT DISTINCT q, s, CASE WHEN q % 20 < 3 THEN 'g0' ELSE 'g1' END AS pg FROM x WHERE s <> 'R' AND q % 20 < CASE WHEN s = 'A' THEN 5 ELSE 3 END),
+y AS (SELECT s, count(DISTINCT q) AS n, (SELECT count(*) FROM p WHERE p.s = x.s) AS k FROM x GROUP BY s),
+e AS (SELECT s AS scope, 'positive' AS side, pg AS g FROM p UNION ALL SELECT 'pooled', 'positive', pg FROM p UNION ALL SELECT s, 'negative', 'g2' FROM p UNION ALL SELECT 'pooled', 'negative', 'g2' FROM p),
+h AS (SELECT *, sum(k) OVER (PARTITION BY scope, side) AS n, 'generator_share:' || scope || '/' || side || '/' || g AS r FROM (SELECT scope, side, g, count(*) AS k FROM e GROUP BY ALL)),
+f AS (SELECT 'invalid_error_rate:' || s || '/' || g || ':above_20_percent' AS rule, 'FAIL' AS severity FROM c WHERE bad * 5 > n
+UNION ALL SELECT 'correct_rate:' || s || '/' || g || ':binary_extreme', 'WARN' FROM c WHERE d > 0 AND k IN (0, d)
+UNION ALL SELECT 'pair_yield:' || s || ':below_20_percent', 'FAIL' FROM y WHERE k * 5 < n UNION ALL SELECT 'pair_yield:' || s || ':below_30_percent', 'WARN' FROM y WHERE k * 10 < n * 3
+UNION ALL SELECT r || ':at_least_90_percent', 'FAIL' FROM h WHERE scope = 'pooled' AND k * 10 >= n * 9 UNION ALL SELECT r || ':above_70_percent', 'WARN' FROM h WHERE k * 10 > n * 7
+UNION ALL SELECT r || ':strong_at_least_90_percent', 'WARN' FROM h WHERE scope <> 'pooled' AND k * 10 >= n * 9)"""
+_add("gat_statistical", _gate, f"WITH {_G} SELECT * FROM f")
+_add("gat_status", lambda s, d: C.gate_status(_gate(s, d)), f"WITH {_G} SELECT CASE WHEN count(*) FILTER (severity = 'FAIL') > 0 THEN 'FAIL' WHEN count(*) > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS status FROM f")
+_add("met_partial_spans", lambda s, d: C.partial_spans(table(s, d, "lineitem").select(F.col("l_linenumber").alias("version_start"), (F.col("l_linenumber") + F.col("l_orderkey") % 3).alias("version_end"))).select("partial", r6("ratio").alias("ratio"), F.col("widest").cast("long").alias("widest")),
+     f"SELECT count(*) FILTER (l_orderkey % 3 > 0) AS partial, {s6('count(*) FILTER (l_orderkey % 3 > 0) / count(*)')} AS ratio, CAST(max(l_orderkey % 3) AS BIGINT) AS widest FROM lineitem")
+
+
+def _results(s, d, paired):
+    k, name = F.col("o_orderkey") % 4, F.concat(F.lit("q"), F.floor(F.col("o_orderkey") / 4) if paired else F.col("o_orderkey"), F.lit("_perm_"), F.col("o_orderkey") % 2)
+    extra = F.when(k < 3, F.struct(F.lit(None).cast("string").alias("question_id"), F.when(k == 2, name).alias("pair_id"), F.lit("x").alias("id"), F.col("o_custkey").alias("original_index"))) if paired else F.struct(
+        F.lit(None).cast("string").alias("question_id"), name.alias("pair_id"), F.lit("x").alias("id"), F.col("o_custkey").alias("original_index"))
+    none = F.lit(None).cast("string")
+    rows = table(s, d, "orders").select("o_orderkey", (F.when(k == 0, name) if paired else none).alias("question_id"), (F.when(k == 1, name) if paired else none).alias("id"), extra.alias("extra"), F.col("o_orderkey").cast("string").alias("row_index"))
+    return C.result_groups(rows).select("o_orderkey", "group")
+
+
+_add("met_result_groups", lambda s, d: _results(s, d, True), """SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN 'q' || o_orderkey // 4 ELSE CAST(o_orderkey AS VARCHAR) END AS "group" FROM orders""")
+_add("met_result_groups_by_index", lambda s, d: _results(s, d, False), """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS "group" FROM orders""")

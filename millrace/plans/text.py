@@ -191,5 +191,23 @@ SQL["rwd_preference"] = f"WITH {TRAJ} SELECT uid * 100 + slot AS row_id, row_num
 QUERIES["rwd_adaptive_kl"] = lambda s, d: R.adaptive_kl(table(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") / 97).alias("kl"), F.lit(8).alias("n")), 0.2, 0.6, 1000.0).select("run", "step", r6("value").alias("value"))
 SQL["rwd_adaptive_kl"] = f"""WITH e AS (SELECT user_id AS run, event_id AS step, 1 + greatest(least(value / 97 / 0.6 - 1, 0.2), -0.2) * 8 / 1000.0 AS f FROM events)
 SELECT run, step, {s6("0.2 * exp(sum(ln(f)) OVER (PARTITION BY run ORDER BY step))")} AS value FROM e"""
-QUERIES["rwd_point_in_box"] = lambda s, d: table(s, d, "embeddings").select("vec_id", r6(R.point_in_box(F.transform(F.slice("embedding", 1, 8), lambda v: F.struct(v.alias("x"), (-v).alias("y"))), F.array(F.lit(-0.05), F.lit(-0.05), F.lit(0.05), F.lit(0.05)))).alias("score"))
-SQL["rwd_point_in_box"] = f"SELECT vec_id, {s6('coalesce(1.0 / list_position([abs(v) <= 0.05 FOR v IN embedding[:8]], true), 0)')} AS score FROM (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS embedding FROM embeddings)"
+QUERIES["rwd_point_in_box"] = lambda s, d: table(s, d, "embeddings").select("vec_id", r6(R.point_in_box(F.transform("embedding", lambda v: F.struct(v.alias("x"), (-v).alias("y"))), F.array(F.lit(-0.05), F.lit(-0.05), F.lit(0.05), F.lit(0.05)))).alias("score"))
+SQL["rwd_point_in_box"] = f"SELECT vec_id, {s6('coalesce(1.0 / list_position([abs(v) <= 0.05 FOR v IN embedding], true), 0)')} AS score FROM (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS embedding FROM embeddings)"
+
+
+def _points(s, d):
+    """The values of a vector as points; of every fifth vector the third point lies on the line of the first two."""
+    v = lambda i: F.get("embedding", i).cast("double")
+    at = F.sequence(F.lit(0), (F.size("embedding") / 2).cast("int") - 1)
+    odd = (F.col("vec_id") % 5 == 0)
+    x, y = (lambda i, k=k: F.when(odd & (i == 2), 2 * v(F.lit(2 + k)) - v(F.lit(k))).otherwise(v(2 * i + k)) for k in (0, 1))
+    return table(s, d, "embeddings").select("vec_id", F.transform(at, lambda i: F.struct(x(i).alias("x"), y(i).alias("y"))).alias("points"))
+
+
+QUERIES["rwd_point_accuracy"] = lambda s, d: _points(s, d).select("vec_id", r6(R.point_accuracy(F.col("points"), F.array(*[F.lit(b) for b in (-0.02, -0.02, 0.04, 0.04)]))).alias("score"))
+SQL["rwd_point_accuracy"] = f"""WITH e AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS v, len(embedding) // 2 AS n FROM embeddings),
+p AS (SELECT vec_id, n, i, CASE WHEN vec_id % 5 = 0 AND i = 2 THEN 2 * v[3] - v[1] ELSE v[2 * i + 1] END AS x, CASE WHEN vec_id % 5 = 0 AND i = 2 THEN 2 * v[4] - v[2] ELSE v[2 * i + 2] END AS y FROM (SELECT *, unnest(range(n)) AS i FROM e)),
+l AS (SELECT DISTINCT a.vec_id FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i < b.i JOIN p c ON b.vec_id = c.vec_id AND b.i < c.i
+    WHERE abs((b.y - a.y) * (c.x - a.x) - (c.y - a.y) * (b.x - a.x)) <= 1e-9 * greatest(abs((b.y - a.y) * (c.x - a.x)), abs((c.y - a.y) * (b.x - a.x)))),
+f AS (SELECT vec_id, any_value(n) AS n, min(i + 1) FILTER (x BETWEEN -0.02 AND 0.04 AND y BETWEEN -0.02 AND 0.04) AS k FROM p GROUP BY vec_id)
+SELECT vec_id, {s6("CASE WHEN vec_id IN (SELECT vec_id FROM l) THEN -1 WHEN k IS NULL THEN -1.0 / n ELSE 1 / sqrt(n * k) END")} AS score FROM f"""
