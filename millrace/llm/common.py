@@ -62,10 +62,10 @@ class Scratch:
         out._scratch = path
         return out
 
-    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """The written table and its number of rows, counted while it is written."""
+    def counted(self, df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+        """The written table and its number of rows (of those that ``which`` holds for), counted while it is written."""
         seen = Observation()
-        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        out = self.write(df.observe(seen, F.count(F.lit(1) if which is None else F.when(which, 1)).alias("n")))
         return out, seen.get["n"]
 
     def drop(self, df: DataFrame) -> None:

@@ -250,25 +250,27 @@ def _alike(least: int):
     return run
 
 
-def _nodes(reps: DataFrame, scratch: Scratch, trees: int) -> tuple[DataFrame, DataFrame]:
-    """Members (node, id) of the leaves of all trees: small leaves, each once however many trees have it; large ones."""
+def _nodes(reps: DataFrame, scratch: Scratch, trees: int) -> tuple[DataFrame, DataFrame | None]:
+    """Members (node, id) of the leaves of all trees: small leaves, each once however many trees have it; large ones, if there are any."""
     rows = scratch.write(reps.select("id", "sig").mapInPandas(_roots(trees), "node long, id long"))
     small = None
     for depth in range(FIRST_DEPTH, DEPTH + 1):
         leaves, large = _by_size(rows, scratch)
         scratch.drop(rows)
         small = leaves if small is None else small.unionAll(leaves)
+        if large is None:
+            break
         if depth < DEPTH:
             rows = _branched(large, reps, scratch, ONE_IN)
-    return _listed_once(small, scratch), scratch.write(large.distinct())
+    return _listed_once(small, scratch), large if large is None else scratch.write(large.distinct())
 
 
-def _by_size(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """ids (sorted) of the nodes of up to SMALL members; (node, id) of larger ones. Nodes of one member end."""
+def _by_size(rows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """ids (sorted) of the nodes of up to SMALL members; (node, id) of larger ones, None without any. Nodes of one member end."""
     sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    sized = scratch.write(rows.join(sizes, "node"))
+    sized, n = scratch.counted(rows.join(sizes, "node"), F.col("n") > SMALL)
     leaves = sized.where(F.col("n") <= SMALL).groupBy("node").agg(F.array_sort(F.collect_set("id")).alias("ids")).select("ids")
-    return leaves, sized.where(F.col("n") > SMALL).select("node", "id")
+    return leaves, sized.where(F.col("n") > SMALL).select("node", "id") if n else None
 
 
 def _branched(rows: DataFrame, reps: DataFrame, scratch: Scratch, one_in: int) -> DataFrame:
@@ -484,8 +486,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     small, large = _nodes(reps, scratch, trees_for(percent, recall))
     confirm = _Confirmer(docs, reps, scratch, words, percent)
     linker = _Linker(confirm, scratch)
-    part, done = F.pmod(F.xxhash64("node"), F.lit(FIRST_OF)), None
-    for depth in range(DEPTH, LAST_DEPTH + 1):
+    part, done, depth = F.pmod(F.xxhash64("node"), F.lit(FIRST_OF)), None, DEPTH
+    while large is not None:
         for members in (large.where(part == 0), large.where(part != 0)):  # what some nodes link, the others need not test
             linker.star(members)
         late = scratch.write(linker.open(large))
@@ -496,12 +498,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
         if depth == LAST_DEPTH or not crowds.limit(1).count():
             break
         leaves, large = _by_size(_branched(crowds, reps, scratch, ONE_IN_DEEP), scratch)
-        small, large = small.unionAll(_listed_once(leaves, scratch)), scratch.write(large.distinct())
+        small, large, depth = small.unionAll(_listed_once(leaves, scratch)), large if large is None else scratch.write(large.distinct()), depth + 1
     linker.star(small)
     across = linker.open(small).join(reps.select("id", "brief"), "id").groupBy("node")
     across = across.agg(F.collect_list(F.struct("id", "component", "brief")).alias("members")).select("members")
     linker.test(across.mapInPandas(_across(least_equal(percent)), "a long, b long").distinct())
-    rest, n = scratch.counted(linker.open(done))
+    rest, n = scratch.counted(linker.open(done)) if done is not None else (None, 0)
     if n:
         linker.add(_cluster_links(confirm, rest, scratch, percent))
     of_set = reps.select("set_key", "id").join(linker.labels, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))

@@ -133,10 +133,11 @@ def test_crowds_that_do_not_link_branch_on(spark, monkeypatch):
     """Documents that share two thirds of their words fill large nodes without being linked; a pair among them is found."""
     monkeypatch.setattr(nd, "CROWD", 8)
     monkeypatch.setattr(nd, "SMALL", 3)
+    monkeypatch.setattr(nd, "LAST_DEPTH", 9)
     rng = random.Random(8)
     shared = [f"s{i}" for i in range(140)]
-    docs = [(i, " ".join(shared + [f"u{i}x{k}" for k in range(40)])) for i in range(120)]
-    docs += [(500 + i, t + f" more{i}") for i, t in docs[:30]]
+    docs = [(i, " ".join(shared + [f"u{i}x{k}" for k in range(40)])) for i in range(60)]
+    docs += [(500 + i, t + f" more{i}") for i, t in docs[:20]]
     rng.shuffle(docs)
     got = nd.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), words=1).collect()
     assert sorted(map(tuple, got)) == _brute(docs, 1)
