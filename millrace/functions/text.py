@@ -6,13 +6,14 @@ Built-in expressions throughout; Python is used only where no built-in exists
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import BooleanType, IntegerType, StringType
 
 
 def _null_if_empty(x: Column) -> Column:
@@ -234,6 +235,77 @@ def math_equal(answer: Column, truth: Column) -> Column:
     return spelled & (answer.isNull() == truth.isNull())
 
 
+_FRACTION = re.compile(r"(-?)\\[dt]?frac\{(-?[\d.]+)\}\{(-?[\d.]+)\}|(-?[\d.]+)/([\d.]+)")
+_BRACKETS = {"(": ")", "[": "]"}
+CLOSE = 1e-4
+
+
+def _number(text: str) -> float | None:
+    """A number, with thousands commas, a percent sign, or as a plain fraction."""
+    plain = text.strip().replace(",", "").removesuffix("\\").strip()
+    percent = plain.endswith("%")
+    plain = plain.rstrip("%").rstrip("\\")
+    if m := _FRACTION.fullmatch(plain):
+        sign, a, b, c, d = m.groups()
+        above, below = (a, b) if a is not None else (c, d)
+        try:
+            return (-1 if sign else 1) * float(above) / float(below)
+        except (ValueError, ZeroDivisionError):
+            return None
+    try:
+        return float(plain) / (100 if percent else 1)
+    except ValueError:
+        return None
+
+
+def _elements(text: str) -> list[str]:
+    """The parts between the commas outside of brackets."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and not depth:
+            out.append(text[start:i])
+            start = i + 1
+    return [*out, text[start:]]
+
+
+def _matrix(text: str) -> list[list[str]] | None:
+    """The cells of a pmatrix, or of a list of lists."""
+    text = text.strip()
+    if m := re.fullmatch(r"(?s)\\begin\{pmatrix\}(.*)\\end\{pmatrix\}", text):
+        return [[cell.strip() for cell in row.split("&")] for row in re.split(r"\\\\", m[1]) if row.strip()]
+    rows = _elements(text[1:-1]) if text[:1] == "[" and text[-1:] == "]" else []
+    rows = [r.strip() for r in rows]
+    if rows and all(r[:1] == "[" and r[-1:] == "]" for r in rows):
+        return [[cell.strip() for cell in _elements(r[1:-1])] for r in rows]
+    return None
+
+
+def same_answer(answer: str | None, truth: str | None) -> bool:
+    """Equal text but for case and spaces; equal numbers within one in 10^4, also if one is the other's hundredth or hundredfold (percent); intervals, tuples and
+    lists of such in order, with the same brackets; matrices cell by cell. Other symbolic forms are only equal as text."""
+    if answer is None or truth is None:
+        return False
+    x, y = answer.strip(), truth.strip()
+    if x.lower() == y.lower() or x.replace(" ", "") == y.replace(" ", ""):
+        return True
+    a, b = _number(x), _number(y)
+    if a is not None and b is not None:
+        return any(math.isclose(a, c, rel_tol=CLOSE) for c in (b / 100, b, b * 100))
+    if (rows := _matrix(x)) is not None and (others := _matrix(y)) is not None:
+        return [len(r) for r in rows] == [len(r) for r in others] and all(same_answer(c, d) for r, o in zip(rows, others, strict=True) for c, d in zip(r, o, strict=True))
+    inside = x[:1] in _BRACKETS and x[-1:] in _BRACKETS.values() and y[:1] in _BRACKETS and y[-1:] in _BRACKETS.values()
+    if inside and (x[0], x[-1]) != (y[0], y[-1]):
+        return False
+    parts, others = (_elements(z[1:-1] if inside else z) for z in (x, y))
+    return len(parts) == len(others) and (inside or len(parts) > 1) and all(same_answer(p, q) for p, q in zip(parts, others, strict=True))
+
+
+@F.pandas_udf(BooleanType())
+def answers_equal(answer: pd.Series, truth: pd.Series) -> pd.Series:
+    return pd.Series([same_answer(a, t) for a, t in zip(answer, truth, strict=True)], dtype=bool)
+
+
 # How a prompt states its options.
 _CUE = re.compile(r"\b(?:answer|reply|respond|choose|select|single\s+letter)\b|\bX\s+is\b", re.IGNORECASE)
 _NO_MORE = r"(?!\s*(?:(?:,\s*)?(?:or|and)\s+|[,/|]\s*)[A-Z]\b)"

@@ -211,3 +211,19 @@ l AS (SELECT DISTINCT a.vec_id FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i
     WHERE abs((b.y - a.y) * (c.x - a.x) - (c.y - a.y) * (b.x - a.x)) <= 1e-9 * greatest(abs((b.y - a.y) * (c.x - a.x)), abs((c.y - a.y) * (b.x - a.x)))),
 f AS (SELECT vec_id, any_value(n) AS n, min(i + 1) FILTER (x BETWEEN -0.02 AND 0.04 AND y BETWEEN -0.02 AND 0.04) AS k FROM p GROUP BY vec_id)
 SELECT vec_id, {s6("CASE WHEN vec_id IN (SELECT vec_id FROM l) THEN -1 WHEN k IS NULL THEN -1.0 / n ELSE 1 / sqrt(n * k) END")} AS score FROM f"""
+
+_EQUAL = (
+    ("1,000", "1000.00", True), ("50%", "0.5", True), ("\\frac{1}{2}", "1/2", True), ("3.14", "3.15", False), ("(1, 2]", "(1,2.00001]", True), ("(1,2)", "[1,2]", False), ("x + 1", "X+1", False), ("X+1", "x+1", True),
+    ("1, 2, 3", "1,2,3.0", True), ("\\begin{pmatrix}1 & 2\\\\3 & 4\\end{pmatrix}", "[[1,2],[3,4.0]]", True), ("(1,(2,3))", "(1.0,(2,3))", True), ("1,2", "1,2,3", False),
+)
+
+
+def _compared(s, d):
+    k = F.col("o_orderkey") % len(_EQUAL)
+    of = lambda j: F.get(F.array(*[F.lit(e[j]) for e in _EQUAL]), k.cast("int"))
+    return table(s, d, "orders").select("o_orderkey", T.answers_equal(of(0), of(1)).alias("same"), T.answers_equal(F.concat(F.col("o_custkey"), F.lit(".0")), (F.col("o_custkey") + F.col("o_orderkey") % 2).cast("string")).alias("number"))
+
+
+QUERIES["mth_answers_equal"] = _compared
+#: Numbers of 10,000 and more are within one in 10^4 of the next.
+SQL["mth_answers_equal"] = f"SELECT o_orderkey, ([{', '.join(str(e[2]).lower() for e in _EQUAL)}])[1 + o_orderkey % {len(_EQUAL)}] AS same, o_orderkey % 2 = 0 OR 1 <= 1e-4 * (o_custkey + 1) AS number FROM orders"

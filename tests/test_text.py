@@ -65,3 +65,10 @@ def test_option_counts(spark):
     rng = random.Random(2)
     words = ["answer", "A or B", "A, B, C or D", "A)", "\n", "\n\n", "x", "D.", "B.", "C."]
     assert {T.options_of([" ".join(rng.choices(words, k=9))]) for _ in range(300)} == {2, 4, None}
+
+
+def test_equal_answers():
+    for a, b in (("1,000", "1000"), ("-\\frac{1}{4}", "-0.25"), ("(2, 3)", "(2,3)"), ("[0,\\frac{1}{2})", "[0,0.5)"), ("12.5\\%", "0.125"), ("\\begin{pmatrix} 1 \\\\ 2 \\end{pmatrix}", "[[1],[2]]")):
+        assert T.same_answer(a, b) and T.same_answer(b, a), (a, b)
+    for a, b in (("1", "2"), ("(1,2)", "(2,1)"), ("(1,2]", "(1,2)"), ("1,2", "12x"), ("[[1],[2]]", "[[1,2]]"), ("x", "y"), ("", "0"), ("1/0", "1")):
+        assert not T.same_answer(a, b), (a, b)
