@@ -18,8 +18,10 @@ over all documents:
    long as the window marks all its words: each is inside an occurrence of
    some window, and every occurrence is found from its own prefix.
 
-Steps 1, 3 and 4 run inside one generated stage per scan; nothing of a
-document is shuffled but its runs. The benchmark side is counted and then
+Steps 1 and 3 run inside one generated stage per scan; pairs that met leave it
+with the words around them for step 4. With the comparison's code inside, the
+stage's loop grows beyond 8,000 bytes, which HotSpot never compiles. Nothing of
+a document is shuffled but its runs. The benchmark side is counted and then
 broadcast in blocks, by hashes of its rows: ``VOCABULARY`` different shingles or
 ``PREFIXES`` prefixes with the words around them, however its items are made
 up; a larger benchmark takes more scans. Runs of a document are gathered per
@@ -85,6 +87,12 @@ def _blocks(table: DataFrame, rows: int, size: int) -> list[DataFrame]:
     return [table.where(F.pmod(F.xxhash64(*table.columns), F.lit(n)) == k) if n > 1 else table for k in range(n)]
 
 
+def _around(window: int) -> tuple[Column, Column]:
+    """The words before position at, nearest first, and those from it on, up to a window's reach."""
+    back = F.reverse(F.slice("words", F.greatest(F.col("at") - (window - 2), F.lit(1)), F.least(F.col("at"), F.lit(window - 1))))
+    return F.when(F.col("at") > 0, back).otherwise(F.array().cast("array<string>")), F.slice("words", F.col("at") + 1, window)
+
+
 def _prefixes(items: DataFrame, docs: DataFrame, n: int, window: int, scratch: Scratch, most: int) -> DataFrame:
     """The rarest shingle of each window, with the item's words around it."""
     spots = _positions(items, n)
@@ -101,20 +109,14 @@ def _prefixes(items: DataFrame, docs: DataFrame, n: int, window: int, scratch: S
         .select("item_id", "words", "need", "prefix.token", F.col("prefix.at").alias("at"))
         .distinct()
     )
-    back = F.reverse(F.slice("words", F.greatest(F.col("at") - (window - 2), F.lit(1)), F.least(F.col("at"), F.lit(window - 1))))
-    return firsts.select(
-        "item_id", "need", "token", F.when(F.col("at") > 0, back).otherwise(F.array().cast("array<string>")).alias("before"),
-        F.slice("words", F.col("at") + 1, window).alias("after"),
-    )
+    before, after = _around(window)
+    return firsts.select("item_id", "need", "token", before.alias("before"), after.alias("after"))
 
 
-def _equal_run(words: Column, at: Column, step: int, other: Column, most: int) -> Column:
-    """How many words from ``at`` on, in direction ``step``, equal those of ``other``."""
-    run = F.lit(most)
-    for k in reversed(range(most)):
-        same = F.coalesce(F.get(words, at + step * k) == F.get(other, F.lit(k)), F.lit(False))
-        run = F.when(~same, F.lit(k)).otherwise(run)
-    return run
+def _equal_run(words: Column, other: Column) -> Column:
+    """How many first words of two lists are equal."""
+    differs = F.array_position(F.zip_with(words, other, lambda a, b: F.coalesce(a == b, F.lit(False))), False).cast("int")
+    return F.when(differs > 0, differs - 1).otherwise(F.size(words))
 
 
 def find_runs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, vocabulary: int = VOCABULARY, prefixes: int = PREFIXES) -> DataFrame:
@@ -129,9 +131,10 @@ def find_runs(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, vocab
             text = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words_of(F.col("text")).alias("words"))
             bound = F.least(F.col("at"), F.size("before")) + F.least(F.size("words") - F.col("at"), F.size("after"))
             met = _positions(text, n).join(F.broadcast(block), "token").where(bound >= F.col("need"))
-            left = _equal_run(F.col("words"), F.col("at") - 1, -1, F.col("before"), window - 1)
-            right = _equal_run(F.col("words"), F.col("at"), 1, F.col("after"), window)
-            runs = met.select("doc_id", "text_hash", "item_id", "need", "at", left.alias("left"), right.alias("right"))
+            left, right = (_equal_run(mine, F.col(theirs)) for mine, theirs in zip(_around(window), ("before", "after"), strict=True))
+            # Generated, not selected: a filter on selected columns would move into the join, and their code with it.
+            both = F.inline_outer(F.array(F.struct(left.alias("left"), right.alias("right"))))
+            runs = met.select("doc_id", "text_hash", "item_id", "need", "at", both)
             runs = runs.where((F.col("left") + F.col("right") >= F.col("need")) & (F.col("right") > 0))
             runs = runs.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))
             found = runs if found is None else found.unionAll(runs)

@@ -72,3 +72,32 @@ def test_blocks_and_clean_documents(spark):
     clean = d.clean_documents(docs, items)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3]
     assert d.contamination(docs, items).agg(F.sum("n_hit")).first()[0] == 26
+
+
+def test_repeated_words_around_the_prefix(spark):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("ab") for _ in range(n)) for n in (1, 2, 3, 4, 9, 10, 10, 11, 19, 20, 40)]
+    docs = list(enumerate(texts + [" ".join(rng.choice("ab") for _ in range(n)) for n in (0, 3, 9, 10, 30, 300)] + ["a " * 25, "- " + "b " * 25]))
+    for items in (texts, [t for t in texts if len(t.split()) >= 10], ["a " * 10], ["b " * 30]):
+        _check(spark, docs, list(enumerate(items)))
+
+
+def _largest_method(spark, df):
+    """Bytes of the largest method that Spark generates for df."""
+    held = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        parts = debug.codegenStringSeq(plan)
+        return max(parts.apply(k)._3().maxMethodCodeSize() for k in range(parts.size()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", held)
+
+
+def test_hotspot_compiles_the_scans(spark):
+    long = " ".join(f"w{i}" for i in range(30))
+    items = spark.createDataFrame([(1, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, long), (2, "clean text")], "doc_id long, text string")
+    for made in (d.contamination(docs, items), d.clean_documents(docs, items)):
+        assert 0 < _largest_method(spark, made) < 8000  # HotSpot interprets larger ones for good
