@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -212,21 +212,40 @@ def register_reducer(name: str, f: Callable[[np.ndarray], float]) -> None:
         raise ValueError(f"reducer {name!r} is already registered")
 
 
+#: These take all samples at once, along the last axis; others take one sample after the other.
+_BY_AXIS = (np.mean, np.max, np.min, np.median)
+#: Sampled numbers held at once.
+SAMPLED = 1_000_000
+
+
 def bootstrap(rows: DataFrame, size: int, reducers: tuple[str, ...] = ("mean", "best", "worst"), times: int = 1000, seed: int = 42) -> DataFrame:
     """rows: group, order, value. Per group and reducer the mean and deviation over ``times`` samples of ``size`` with replacement.
 
-    Draws repeat the legacy generator from the seed for each group. A group is what one prompt has, a bounded number of rows.
+    Draws repeat the legacy generator from the seed for each group, so groups of one number of rows have the same draws, which
+    are made once and applied to all of them. A group is what one prompt has, a bounded number of rows.
     """
-    chosen = {r: _REDUCERS[r] for r in reducers}
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        values = block.sort_values("order")["value"].to_numpy()
-        draw = np.random.RandomState(seed)
-        samples = [values[draw.choice(len(values), size=size, replace=True)] for _ in range(times)]
-        found = [(block["group"].iloc[0], name, float(np.mean(got)), float(np.std(got))) for name, f in chosen.items() for got in ([f(s) for s in samples],)]
-        return pd.DataFrame(found, columns=["group", "reducer", "mean", "std"])
-
-    return rows.select("group", "order", "value").groupBy("group").applyInPandas(run, "group long, reducer string, mean double, std double")
+    chosen, by_axis, held = {r: _REDUCERS[r] for r in reducers}, _BY_AXIS, SAMPLED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        draws: dict[int, np.ndarray] = {}
+        for batch in batches:
+            group, lists = batch.column(0), batch.column(1)
+            values, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy()
+            starts = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes):
+                if n not in draws:
+                    draw = np.random.RandomState(seed)
+                    draws[n] = np.stack([draw.choice(n, size=size, replace=True) for _ in range(times)])
+                of = np.flatnonzero(sizes == n)
+                for some in np.array_split(of, -(-len(of) * times * size // held)):
+                    samples = values[starts[some][:, None, None] + draws[n]]
+                    for name, f in chosen.items():
+                        got = f(samples, axis=-1) if f in by_axis else np.array([[f(x) for x in g] for g in samples])
+                        yield pa.RecordBatch.from_arrays([group.take(pa.array(some)), pa.array([name] * len(some), pa.string()), pa.array(np.mean(got, axis=-1), pa.float64()), pa.array(np.std(got, axis=-1), pa.float64())], ["group", "reducer", "mean", "std"])
+
+    placed = F.array_sort(F.collect_list(F.struct(F.col("order").isNull().alias("none"), "order", F.col("value").cast("double").alias("value"))))
+    groups = rows.groupBy(F.col("group").cast("long").alias("group")).agg(placed["value"].alias("value"))
+    return groups.mapInArrow(run, "group long, reducer string, mean double, std double")
 
 
 def statistical_gate(plans: DataFrame, outcomes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.operators import contracts as C
 from millrace.operators import pairing as P
 from millrace.operators import search
 
@@ -44,3 +45,21 @@ def test_contenders_hold_all_that_may_be_best():
     kept = search.first(qi, ci, scores[qi, ci].astype(float), 5)
     best = {(q, c) for q in range(30) for c in sorted(range(500), key=lambda c: (-scores[q, c], c))[:5]}
     assert best <= {(int(qi[i]), int(ci[i])) for i in kept} and len(kept) < len(qi)
+
+
+def test_bootstrap_draws_once_for_groups_of_one_size(spark, monkeypatch):
+    """A call of the generator for each group and sample took milliseconds a group; results are those of the plain loop."""
+    rng = random.Random(8)
+    values = {g: [rng.random() for _ in range(1 + g % 7)] for g in range(300)}
+    rows = spark.createDataFrame([(g, -k, v) for g, vs in values.items() for k, v in enumerate(vs)], "group long, order long, value double")
+    monkeypatch.setattr(C, "SAMPLED", 500)
+    out = C.bootstrap(rows, 4, ("mean", "best", "worst", "median"), 9)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["group"], r["reducer"]): (r["mean"], r["std"]) for r in out.collect()}
+    assert len(got) == 1200
+    for g, vs in values.items():
+        draw, ordered = np.random.RandomState(42), np.array(vs[::-1])
+        samples = [ordered[draw.choice(len(vs), size=4, replace=True)] for _ in range(9)]
+        for name, f in (("mean", np.mean), ("best", np.max), ("worst", np.min), ("median", np.median)):
+            assert got[g, name] == (np.mean([f(x) for x in samples]), np.std([f(x) for x in samples]))
+    assert C.bootstrap(rows.limit(0), 4).count() == 0
