@@ -11,7 +11,11 @@ from millrace.functions import text as T
 
 def length_band(thought: Column) -> Column:
     """Reward of a thought's length; a missing thought counts as too short."""
-    n = F.char_length(thought)
+    return length_reward(F.char_length(thought))
+
+
+def length_reward(n: Column) -> Column:
+    """length_band of a thought of n characters."""
     return F.when(n < 500, -0.1).when(n < 2000, 0.1).when(n <= 3500, 0.2).when(n <= 5000, 0.1).otherwise(-0.1)
 
 

@@ -6,10 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from millrace import plans
 from millrace.operators import contracts as C
 from millrace.operators import pairing as P
+from millrace.operators import rewards as R
 from millrace.operators import search
 
+SMALL = "/root/testdata/sf0.001"
+
 
 def _brute(queries, corpus, k):
     out = []
@@ -63,3 +67,11 @@ def test_bootstrap_draws_once_for_groups_of_one_size(spark, monkeypatch):
         for name, f in (("mean", np.mean), ("best", np.max), ("worst", np.min), ("median", np.median)):
             assert got[g, name] == (np.mean([f(x) for x in samples]), np.std([f(x) for x in samples]))
     assert C.bootstrap(rows.limit(0), 4).count() == 0
+
+
+def test_the_order_bonus_makes_no_texts(spark):
+    """A thought's length needs no text of that length."""
+    assert "lpad" not in plans.queries()["rwd_order_bonus"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    n = spark.createDataFrame([(x,) for x in (None, 0, 499, 500, 1999, 2000, 3500, 3501, 5000, 5001)], "n int")
+    same = R.length_reward(F.col("n")).eqNullSafe(R.length_band(F.lpad(F.lit(""), F.col("n"), F.lit("x"))))
+    assert n.where(same).count() == 10
