@@ -11,6 +11,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a group key that one task gets at most, but for large groups.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by the keys to as many tasks as their number asks for; few rows stay as they are, for the session's own number of tasks.
+
+    Tables of any size would else meet in a fixed number of tasks, whose memory grows with the table. Later groupings by the same keys need no exchange.
+    """
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows if tasks <= 1 else rows.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def r6(x: Column | str) -> Column:
     """Six digits, without a negative zero."""
     return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
@@ -28,7 +41,7 @@ ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """uid, slot, perm, pslot, score, length, old_lp, new_lp, mask, flag, status."""
     slot = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ORDER)).cast("long") - 1
-    rows = table(spark, sf_dir, "lineitem").withColumn("slot", slot)
+    rows = dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").withColumn("slot", slot)
     return rows.select(
         F.col("l_orderkey").alias("uid"), "slot", (F.col("slot") % 2).alias("perm"), F.floor(F.col("slot") / 2).alias("pslot"),
         (F.col("l_extendedprice") / 9973.0).alias("score"), F.col("l_quantity").cast("long").alias("length"),

@@ -11,6 +11,7 @@ from millrace.operators import contracts as C
 from millrace.operators import pairing as P
 from millrace.operators import rewards as R
 from millrace.operators import search
+from millrace.sources import tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -75,3 +76,14 @@ def test_the_order_bonus_makes_no_texts(spark):
     n = spark.createDataFrame([(x,) for x in (None, 0, 499, 500, 1999, 2000, 3500, 3501, 5000, 5001)], "n int")
     same = R.length_reward(F.col("n")).eqNullSafe(R.length_band(F.lpad(F.lit(""), F.col("n"), F.lit("x"))))
     assert n.where(same).count() == 10
+
+
+@pytest.mark.parametrize("name", ["jn_pair_position"])
+def test_many_rows_are_dealt_to_more_tasks(spark, monkeypatch, name):
+    """A fixed number of tasks gave each of them memory in proportion to the table."""
+    few = plans.queries()[name](spark, SMALL)
+    monkeypatch.setattr(tables, "TASK_ROWS", 1000)
+    many = plans.queries()[name](spark, SMALL)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan(few) and "RepartitionByExpression" in plan(many) and "pivot" not in plan(many)
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
