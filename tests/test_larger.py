@@ -78,7 +78,7 @@ def test_the_order_bonus_makes_no_texts(spark):
     assert n.where(same).count() == 10
 
 
-@pytest.mark.parametrize("name", ["jn_pair_position", "jn_pair_identity", "adv_pair_faults", "adv_controlled_batch"])
+@pytest.mark.parametrize("name", ["jn_pair_position", "jn_pair_identity", "adv_pair_faults", "adv_controlled_batch", "adv_alc"])
 def test_many_rows_are_dealt_to_more_tasks(spark, monkeypatch, name):
     """A fixed number of tasks gave each of them memory in proportion to the table."""
     few = plans.queries()[name](spark, SMALL)
