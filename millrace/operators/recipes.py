@@ -14,13 +14,39 @@ from pyspark.sql.window import Window as W
 from millrace.functions import text as T
 
 
+#: Rows numbered by one task.
+NUMBERED = 20_000
+
+
+def numbered(rows: DataFrame, order: str) -> DataFrame:
+    """Adds index: the place of each row in the given order, from 0.
+
+    Rows fall in ranges of the order, whose bounds are taken from the keys alone; what precedes a range is counted first, so no
+    task numbers or holds more than the rows of its ranges. Equal keys share a range; missing ones come first.
+    """
+    keys, ranges = rows.select(F.col(order).alias("key")), -(-rows.count() // NUMBERED)
+    key = F.col(order)
+    if ranges <= 1:
+        return rows.withColumn("index", F.row_number().over(W.orderBy(key)).cast("long") - 1)
+    found = keys.repartitionByRange(ranges, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("last")).where("last is not null").orderBy("last").select("last").collect()
+    bounds = F.array(*[F.lit(r["last"]).cast(keys.schema["key"].dataType) for r in found[:-1]])
+    part = lambda k: F.size(F.filter(bounds, lambda last: last < k)) if len(found) > 1 else F.lit(0)
+    sizes, before = keys.groupBy(part(F.col("key")).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect(), {}
+    for r in sizes:
+        before[r["part"]] = sum(x["n"] for x in sizes if x["part"] < r["part"])
+    ahead = F.array(*[F.lit(before.get(k, 0)).cast("long") for k in range(max(before) + 1)])
+    dealt = rows.withColumn("__part", part(key)).repartition(ranges, "__part")
+    place = F.row_number().over(W.partitionBy("__part").orderBy(key)).cast("long") - 1
+    return dealt.withColumn("index", F.get(ahead, F.col("__part")) + place).drop("__part")
+
+
 def five_fields(rows: DataFrame, source: str, ability: str, prompt: Column, truth: Column, order: str, split: str) -> DataFrame:
     """Any source row as a trainer row; the index follows the given total order within its source."""
-    index = F.row_number().over(W.partitionBy(F.lit(source)).orderBy(order)).cast("long") - 1
     message = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
-    return rows.select(
-        F.lit(source).alias("data_source"), F.array(message).alias("prompt"), F.lit(ability).alias("ability"),
-        F.struct(F.lit("rule").alias("style"), truth.alias("ground_truth")).alias("reward_model"), F.struct(F.lit(split).alias("split"), index.alias("index")).alias("extra_info"),
+    fields = rows.select(F.array(message).alias("prompt"), truth.alias("truth"), F.col(order).alias("__order"))
+    return numbered(fields, "__order").select(
+        F.lit(source).alias("data_source"), "prompt", F.lit(ability).alias("ability"),
+        F.struct(F.lit("rule").alias("style"), F.col("truth").alias("ground_truth")).alias("reward_model"), F.struct(F.lit(split).alias("split"), F.col("index")).alias("extra_info"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace import plans
 from millrace.operators import contracts as C
 from millrace.operators import pairing as P
+from millrace.operators import recipes
 from millrace.operators import rewards as R
 from millrace.operators import search
 from millrace.sources import tables
@@ -87,3 +88,17 @@ def test_many_rows_are_dealt_to_more_tasks(spark, monkeypatch, name):
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression" not in plan(few) and "RepartitionByExpression" in plan(many) and "pivot" not in plan(many)
     assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+
+
+def test_rows_are_numbered_within_ranges(spark, monkeypatch):
+    """One task read all texts to number them."""
+    rng = random.Random(2)
+    keys = rng.sample(range(10**15), 300)
+    for kind, values in (("long", keys), ("string", [f"k{k}" for k in keys]), ("double", [k / 7 for k in keys]), ("long", [*keys[:200], *[None] * 100]), ("long", [7] * 150 + keys[:150])):
+        df = spark.createDataFrame([(v,) for v in values], f"k {kind}")
+        monkeypatch.setattr(recipes, "NUMBERED", 20)
+        out = recipes.numbered(df, "k")
+        assert "SinglePartition" not in out._jdf.queryExecution().executedPlan().toString()
+        got = sorted(out.collect(), key=lambda r: r["index"])
+        assert [r["index"] for r in got] == list(range(300))
+        assert [r["k"] for r in got] == sorted(values, key=lambda v: (v is not None, v if v is not None else 0))
