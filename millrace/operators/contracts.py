@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from millrace.functions import text as T
+from millrace.sources.tables import dealt
 
 # Names and formats of the trainer contract.
 ABILITIES = ("math", "logical_reasoning")
@@ -29,6 +30,7 @@ def out_of_order(rows: DataFrame, at: str, *keys: str) -> DataFrame:
     """
     key = F.struct(*keys)
     cells = rows.select(F.col(at).alias("at"), key.alias("key")).withColumn("cell", F.floor(F.col("at") / CELL))
+    cells = dealt(cells, "cell")
     own = cells.withColumn("was", F.lag("key").over(W.partitionBy("cell").orderBy("at"))).where("key < was").select("at")
     ends = cells.groupBy("cell").agg(F.min_by("key", "at").alias("first"), F.min("at").alias("at"), F.max_by("key", "at").alias("last"))
     between = ends.withColumn("was", F.lag("last").over(W.orderBy("cell"))).where("first < was").select("at")
@@ -51,8 +53,10 @@ def trainer_faults(rows: DataFrame, source: str) -> DataFrame:
     }
     own = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(name) for name, c in good.items()])
     lineage = F.struct(*[e[c].alias(c) for c in SHARED])
-    pairs = rows.groupBy(e["pair_id"].alias("pair_id")).agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct(k).alias("k"), F.count_if(k.isin(0, 1)).alias("known"), (F.min(lineage) != F.max(lineage)).alias("mixed")
+    # texts are compared by sorting, so rows are dealt out before: the first of two steps would else sort all that one task reads
+    k_, said = F.col("k"), F.col("lineage")
+    pairs = dealt(rows.select(e["pair_id"].alias("pair_id"), k.alias("k"), lineage.alias("lineage")), "pair_id").groupBy("pair_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(k_).alias("k"), F.count_if(k_.isin(0, 1)).alias("known"), (F.min(said) != F.max(said)).alias("mixed")
     )
     both = pairs.agg(
         F.coalesce(F.sum(F.col("n") - F.col("k")), F.lit(0)).alias("duplicate_identity"), F.count_if((F.col("n") != 2) | (F.col("k") != 2) | (F.col("known") != 2)).alias("incomplete_pair"),

@@ -128,3 +128,15 @@ def test_keyword_search_stores_no_pairs(spark, monkeypatch):
     assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in out.collect()) == sorted(want)
     assert sorted((r["query_id"], r["doc_id"], r["rank"]) for r in P.keyword_top_k(qs, df, 3, block=4).collect()) == sorted(want)
     assert P.keyword_top_k(qs.limit(0), df, 3).count() == 0 and P.keyword_top_k(qs, df.limit(0), 3).count() == 0
+
+
+def test_trainer_rows_are_dealt_before_they_are_grouped(spark, monkeypatch):
+    """Lineages are compared by sorting, and one task sorted all rows of its input."""
+    run = plans.queries()["gat_trainer_contract"]
+    few = run(spark, SMALL)
+    want = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 40)
+    monkeypatch.setattr(C, "CELL", 30)
+    many = run(spark, SMALL)
+    assert many._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") >= 2
+    assert sorted(map(tuple, many.collect())) == want
