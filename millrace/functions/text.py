@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ def _null_if_empty(x: Column) -> Column:
     return F.nullif(x, F.lit(""))
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x computed once however often f names it. An expression that is named twice is computed twice, and in a chain of such steps ever more often."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 # --- answers -----------------------------------------------------------------
 
 
@@ -126,18 +132,29 @@ def option_letter(label: Column) -> Column:
 
 def qa_normal(text: Column) -> Column:
     """Lower case without ASCII punctuation, articles and doubled spaces."""
-    plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]", "")
-    bare = F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " ")
-    return F.trim(F.regexp_replace(bare, f"[{_SPACES}]+", " "))
+    plain = F.regexp_replace(F.lower(text), r"[!-/:-@\[-`{-~]+", "")
+    bare = F.regexp_replace(plain, r"(?=[at])(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " ")  # most places fail at the first letter
+    # a single space stays as it is
+    return F.trim(F.regexp_replace(bare, f" [{_SPACES}]+|[{_SPACES}&&[^ ]][{_SPACES}]*", " "))
 
 
 def exact_match(text: Column, golden: Column) -> Column:
     """1 if the text equals one of golden after qa_normal."""
-    return F.exists(golden, lambda g: qa_normal(g) == qa_normal(text)).cast("int")
+    return _once(qa_normal(text), lambda t: normal_match(t, golden))
 
 
 def substring_match(text: Column, golden: Column) -> Column:
-    return F.exists(golden, lambda g: F.contains(qa_normal(text), qa_normal(g))).cast("int")
+    return _once(qa_normal(text), lambda t: normal_substring(t, golden))
+
+
+def normal_match(normal: Column, golden: Column) -> Column:
+    """exact_match of a text that has gone through qa_normal."""
+    return F.exists(golden, lambda g: qa_normal(g) == normal).cast("int")
+
+
+def normal_substring(normal: Column, golden: Column) -> Column:
+    """substring_match of a text that has gone through qa_normal."""
+    return F.exists(golden, lambda g: F.contains(normal, qa_normal(g))).cast("int")
 
 
 def title_cleanup(text: Column) -> Column:

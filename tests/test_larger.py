@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace import plans
+from millrace.functions import text as T
 from millrace.operators import contracts as C
 from millrace.operators import pairing as P
 from millrace.operators import recipes
@@ -140,3 +141,19 @@ def test_trainer_rows_are_dealt_before_they_are_grouped(spark, monkeypatch):
     many = run(spark, SMALL)
     assert many._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") >= 2
     assert sorted(map(tuple, many.collect())) == want
+
+
+def test_texts_are_normalised_once(spark):
+    """Each golden text had its text normalised again."""
+    plan = plans.queries()["str_qa_normal"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(regexp_replace(regexp_replace(lower(text") == 1
+    texts = ["The  a an\tcat's--\u00a0 the", "\u2003a\n\nthe b ", "an.a", "thea a_the the\u00e9 the", "a  b   c d\t", " ", "", None, "x" + chr(28) + " y", "the the the a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    spaces = T._SPACES
+    plain = F.regexp_replace(F.lower("t"), r"[!-/:-@\[-`{-~]", "")
+    bare = F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(?:a|an|the)(?![\p{L}\p{N}_])", " ")
+    old = F.trim(F.regexp_replace(bare, f"[{spaces}]+", " "))
+    assert df.where(T.qa_normal(F.col("t")).eqNullSafe(old)).count() == len(texts)
+    golden = F.array(F.lit("zz"), F.concat(F.lit("The "), F.col("t")))
+    got = [tuple(r) for r in df.select(T.exact_match(F.col("t"), golden), T.substring_match(F.col("t"), F.array(F.lit("a B")))).collect()]
+    assert [g[0] for g in got] == [None if t is None else 1 for t in texts] and got[4][1] == 1 and got[7][1] is None
