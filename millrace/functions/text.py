@@ -26,6 +26,11 @@ def _once(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
+def as_it_stands(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) as it stands, for what comes from Python, which may not stand beside a lambda."""
+    return f(x)
+
+
 # --- answers -----------------------------------------------------------------
 
 
@@ -222,7 +227,7 @@ _BOX_REWRITES = (
 )
 
 
-def math_normal(answer: Column) -> Column:
+def math_normal(answer: Column, once: Callable[[Column, Callable[[Column], Column]], Column] = _once) -> Column:
     """A boxed answer in one spelling: no units, braces around what follows \\sqrt and \\frac, plain fractions and 0.5 as \\frac.
 
     Null where the rule has no result: units named twice, or a root or fraction of nothing.
@@ -230,24 +235,31 @@ def math_normal(answer: Column) -> Column:
     x = answer
     for old, new in _BOX_REWRITES:
         x = F.replace(x, F.lit(old), F.lit(new))
-    units = F.size(F.split(x, r"\\text\{ ", -1)) - 1
-    x = F.when(units <= 1, F.substring_index(x, "\\text{ ", 1))
+    x = once(x, lambda t: F.when(F.size(F.split(t, r"\\text\{ ", -1)) <= 2, F.substring_index(t, "\\text{ ", 1)))
     for old, new in (("\\\\%", ""), ("\\%", ""), (" .", " 0."), ("{.", "{0.")):
         x = F.replace(x, F.lit(old), F.lit(new))
     x = F.regexp_replace(x, r"\A\.", "0.")
     x = F.regexp_replace(x, r"(?s)\A[^=]{0,2}=([^=]*)\z", "$1")  # a name of up to two characters before the only equals sign
-    x = F.when(~x.rlike(r"\\sqrt(?:\\sqrt|\z)"), F.regexp_replace(x, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}"))
-    x = F.replace(x, F.lit(" "), F.lit(""))
-    short = F.regexp_extract(x, r"(?s)\\frac([^{]?)(?=\\frac|\z)", 0)  # the first fraction that lacks its second part
+    x = once(x, lambda t: F.when(~t.rlike(r"\\sqrt(?:\\sqrt|\z)"), F.regexp_replace(t, r"(?s)\\sqrt([^{])", r"\\sqrt{$1}")))
+    return once(F.replace(x, F.lit(" "), F.lit("")), lambda t: _fractions(t, once))
+
+
+def _fractions(x: Column, once: Callable[[Column, Callable[[Column], Column]], Column]) -> Column:
+    """Braces around the parts of shorthand fractions; plain ones and 0.5 as \\frac."""
     whole = F.regexp_replace(F.regexp_replace(x, r"(?s)\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"(?s)\\frac([^{])\{", r"\\frac{$1}{")
-    x = F.when(short == "", whole).when(short != "\\frac", x)
-    x = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
+    short = F.regexp_extract(x, r"(?s)\\frac([^{]?)(?=\\frac|\z)", 0)  # the first fraction that lacks its second part
+    x = once(short, lambda s: F.when(s == "", whole).when(s != "\\frac", x))
+    x = once(x, lambda t: F.when(t == "0.5", F.lit("\\frac{1}{2}")).otherwise(t))
     return F.regexp_replace(x, r"\A(0|-?[1-9]\d*)/(0|-?[1-9]\d*)\z", r"\\frac{$1}{$2}")
 
 
-def math_equal(answer: Column, truth: Column) -> Column:
+def math_equal(answer: Column, truth: Column, once: Callable[[Column, Callable[[Column], Column]], Column] = _once) -> Column:
     """Whether two boxed answers have one spelling; where one has none, whether they are the same text. Two nulls are equal."""
-    x, y = math_normal(answer), math_normal(truth)
+    return once(math_normal(answer, once), lambda x: once(math_normal(truth, once), lambda y: spelled_alike(x, y, answer, truth)))
+
+
+def spelled_alike(x: Column, y: Column, answer: Column, truth: Column) -> Column:
+    """math_equal of two answers with their math_normal, x and y."""
     spelled = F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(answer.eqNullSafe(truth))
     return spelled & (answer.isNull() == truth.isNull())
 

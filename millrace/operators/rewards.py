@@ -158,7 +158,7 @@ def number_scorer(response: Column, golden: Column) -> Column:
 def math_score(response: Column, golden: Column) -> Column:
     """1 where the last boxed answer and golden have one spelling; 0 otherwise or without a box."""
     box = T.last_box(response)
-    return F.when(box.isNotNull() & T.math_equal(box, golden), 1.0).otherwise(0.0)
+    return F.when(box.isNotNull() & T.math_equal(box, golden, T.as_it_stands), 1.0).otherwise(0.0)
 
 
 register("numbers", number_scorer)

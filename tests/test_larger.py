@@ -157,3 +157,14 @@ def test_texts_are_normalised_once(spark):
     golden = F.array(F.lit("zz"), F.concat(F.lit("The "), F.col("t")))
     got = [tuple(r) for r in df.select(T.exact_match(F.col("t"), golden), T.substring_match(F.col("t"), F.array(F.lit("a B")))).collect()]
     assert [g[0] for g in got] == [None if t is None else 1 for t in texts] and got[4][1] == 1 and got[7][1] is None
+
+
+def test_answers_are_rewritten_once(spark):
+    """Each step named the one before more than once, so the first steps were computed dozens of times a row."""
+    x = str(T.math_normal(F.col("answer"))._jc.toString())
+    assert x.count("tfrac") == 1
+    answers = ["\\frac12", "\\sqrt2", "x=3", "0.5", "3/4", "\\frac", "\\sqrt", "1\\text{ m}\\text{ s}", "2\\text{ m}", None, "", "\\frac1"]
+    want = ["\\frac{1}{2}", "\\sqrt{2}", "3", "\\frac{1}{2}", "\\frac{3}{4}", None, None, None, "2", None, "", "\\frac1"]
+    rows = spark.createDataFrame(list(enumerate(zip(answers, strict=True))), "i int, a struct<t: string>").orderBy("i")
+    assert [r[0] for r in rows.select(T.math_normal(F.col("a.t"))).collect()] == want
+    assert all(r[0] is True for r in rows.select(T.math_equal(F.col("a.t"), F.col("a.t"))).collect())
